@@ -178,24 +178,20 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     spec = vocabulary(docs.sparkSession, tokenizer)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
-        fields.append(T.StructField("ids", T.ArrayType(T.LongType(), False)))
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
 
     def run(batches):
         import pyarrow as pa
 
         bpe = loaded(spec)
-        for batch in batches:
-            n, ids_sha, text_sha, ids_out = [], [], [], []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py())
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                coded = [bpe.encode(text.as_py()) for text in batch.column(1)]
+                columns = [batch.column(0), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string())]
+                columns.append(pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in coded], pa.string()))
                 if with_ids:
-                    ids_out.append(np.frombuffer(ids, "<u4").astype(np.int64))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            if with_ids:
-                columns.append(pa.array(ids_out, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+                    columns.append(pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32), np.frombuffer(b"".join(coded), "<i4")))
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))

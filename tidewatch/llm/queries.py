@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, forced_bpe, quality_rules, token_files
+from . import crf_language, curriculum_mix, forced_bpe, permutation_index, quality_rules, simhash_slices, token_files
 
 
 def tokenizer_path() -> str:
@@ -18,6 +18,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = permutation_index.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    told = crf_language.predict(docs, crf_language.train(docs))
+    return told.select("row.doc_id", crf_language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,6 +44,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.write(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_slices.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum_mix.mix(_table(spark, sf_dir, "documents"))
     mixed = mixed.withColumn("position", F.try_element_at("positions", F.lit(1)))
@@ -40,9 +57,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_permutation_index": op2,
+        "op4_crf_language": op4,
         "op5_forced_boundary_bpe": op5,
         "op6_quality_rules": op6,
         "op8_token_files": op8,
+        "op9_simhash_slices": op9,
         "op10_curriculum_mix": op10,
     }
 
