@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, curriculum_mix, forced_bpe, permutation_index, quality_rules, simhash_slices, token_files
+from . import crf_language, curriculum_mix, forced_bpe, license_scan, permutation_index, quality_rules, quotation_linking, simhash_slices, temporal_url_filter, token_files
 
 
 def tokenizer_path() -> str:
@@ -18,12 +18,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentences", " ").alias("sentences"), F.array_join("licences", " ").alias("licences"), "n_sentences", "n_unknown")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     found = permutation_index.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table holds no quotes: the chats are written as mail first, in which every reply quotes two turns, one in the other."""
+    return quotation_linking.conversations(quotation_linking.as_mail(_table(spark, sf_dir, "conversations")))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     told = crf_language.predict(docs, crf_language.train(docs))
@@ -40,6 +50,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("keep").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: A dated list: pattern, date, action.
+URL_LIST = (
+    ("casino-win.example.com", "2024-01-15", "block"), ("casino-win.example.com", "2024-09-01", "drop"),
+    ("free-bets.example.com", "2024-03-01", "block"),
+    ("cheap-pills.example.com", "2024-02-01", "block"), ("cheap-pills.example.com", "2024-06-01", "drop"), ("cheap-pills.example.com", "2024-10-01", "block"),
+    ("spam-farm.example.com", "2023-12-01", "block"), ("www.spam-farm.example.com", "2024-08-01", "allow"), ("www.spam-farm.example.com", "2024-08-15", "drop"),
+    ("ads-track.example.com", "2024-05-01", "block"), ("m.ads-track.example.com", "2024-07-01", "allow"),
+    ("example.org", "2024-04-01", "block"), ("example.org", "2024-04-15", "drop"), ("blog.ththth.example.org", "2024-04-05", "allow"),
+    ("tionsh.example.net", "2024-11-01", "block"), ("tionsh.example.net", "2024-11-20", "allow"),
+)
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages hold no time of capture: each gets a day of 2024 from its id."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 366).cast("int"))
+    entries = spark.createDataFrame(list(URL_LIST), "pattern string, since string, action string").withColumn("since", F.col("since").cast("date"))
+    return temporal_url_filter.judge(pages.withColumn("day", day), entries, "page_id", "url", "day")
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.write(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -57,10 +87,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_license_sentences": op1,
         "op2_permutation_index": op2,
+        "op3_quotation_linking": op3,
         "op4_crf_language": op4,
         "op5_forced_boundary_bpe": op5,
         "op6_quality_rules": op6,
+        "op7_temporal_url_filter": op7,
         "op8_token_files": op8,
         "op9_simhash_slices": op9,
         "op10_curriculum_mix": op10,
@@ -101,6 +134,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND {_RULES} kept FROM q
 """
 
+_LIST = ", ".join(f"('{p}', DATE '{d}', '{a}')" for p, d, a in URL_LIST)
+
+OP7_SQL = rf"""
+WITH l(pattern, since, action) AS (VALUES {_LIST}),
+i AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) until FROM l),
+p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1)), '') host,
+             DATE '2024-01-01' + CAST(page_id * 7919 % 366 AS INTEGER) fetched FROM pages),
+m AS (SELECT page_id, pattern, action, since, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC) r
+      FROM p JOIN i ON (host = pattern OR ends_with(host, '.' || pattern)) AND fetched >= since AND (until IS NULL OR fetched < until) AND action <> 'drop')
+SELECT p.page_id, host, fetched, pattern, action, since, host IS NOT NULL AND coalesce(action <> 'block', TRUE) kept
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'z') k, md5(coalesce(CAST(doc_id AS VARCHAR), '')) p,
                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) size FROM documents),
@@ -130,4 +176,4 @@ FROM x
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "op10_curriculum_mix": OP10_SQL}
+    return {"op6_quality_rules": OP6_SQL, "op7_temporal_url_filter": OP7_SQL, "op10_curriculum_mix": OP10_SQL}
