@@ -15,7 +15,7 @@ def plain_text(html: Column) -> Column:
     out = F.regexp_replace(html, "<[^>]+>", " ")
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.regexp_replace(out, r"[\s ]+", " ")
+    return F.regexp_replace(out, r"[\s\u00a0]+", " ")
 
 
 def month_number(name: Column) -> Column:
@@ -60,12 +60,12 @@ def decade(d: Column) -> Column:
 
 
 def signed_percent(x: Column) -> Column:
-    return F.format_string("%+.2f%%", x * 100)
+    return F.format_string("%+.2f%%", F.bround(x * 100, 2))
 
 
 def shown(x: Column, kind: str) -> Column:
     """Display text: pct, ratio or int; n/a for null and NaN."""
-    text = {"pct": F.format_string("%.1f%%", x * 100), "ratio": F.format_string("%.2f", x), "int": F.format_string("%d", F.round(x).cast("long"))}[kind]
+    text = {"pct": F.format_string("%.1f%%", F.bround(x * 100, 1)), "ratio": F.format_string("%.2f", F.bround(x, 2)), "int": F.format_string("%d", F.round(x).cast("long"))}[kind]
     return F.when(x.isNull() | F.isnan(x.cast("double")), "n/a").otherwise(text)
 
 

@@ -100,7 +100,8 @@ def detect(bars: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
 
     Clusters are disjoint spans of positions and are spelled out in these, so that bars join them by an equality.
     """
-    f = features(bars, settings)
+    # read by eight branches: kept in executors, and made again from the bars where one is lost
+    f = features(bars, settings).persist()
     c = clustered(legs(bars, f, settings), settings)
     rank = F.array_position(F.array(*map(F.lit, settings.precedence)), F.col("kind"))
     of = lambda kind, x: F.when(F.col("kind") == kind, x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,4 +126,6 @@ def rounds_sql(names, places: int = PLACES) -> str:
 
 
 def with_sql(*ctes: str, select: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
+    """The CTEs, each computed once (but for the recursive one), and the query over them."""
+    once = re.sub(r"\b(?!em\b)(\w+)(\([\w, ]+\))? AS \((?=SELECT|VALUES)", r"\1\2 AS MATERIALIZED (", ",\n".join(ctes))
+    return f"WITH RECURSIVE {once}\n{select}"
