@@ -263,7 +263,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame) -> Crf | None:
     """From text and lang of the labelled documents that aren't held out."""
     spark = docs.sparkSession
-    known = docs.filter(~held_out(docs["doc_id"]) & docs["lang"].isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"))
+    known = docs.filter(~held_out(docs["doc_id"]) & docs["lang"].isNotNull() & docs["doc_id"].isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"))
     langs = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
     if not langs:
         return None
@@ -283,6 +283,8 @@ def train(docs: DataFrame) -> Crf | None:
     # the ids are LANGS x DOCS at most, so is what is broadcast
     sample = texts.join(F.broadcast(ids), "id", "left_semi").filter(F.col("lang").isin(langs)).select("lang", "text").mapInArrow(cut, "lang string, run string")
     runs = sorted((r.lang, r.run) for r in sample.collect())
+    if not runs:
+        return None
     return fit(joined([(x, r.split(" ")) for x, r in runs], langs), langs)
 
 
