@@ -144,4 +144,7 @@ def judge(docs: DataFrame, keep: Column, text: Column, rules: tuple[Rule, ...] =
 def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that are kept, columns as they are."""
     row = F.struct(*[docs[c] for c in docs.columns])
-    return judge(docs, row, docs["text"], rules).filter("kept").select("keep.*")
+    judged = judge(docs, row, docs["text"], rules)
+    # Catalyst would write the measures out in a filter below the stages, each array many times over; it moves no
+    # filter past a column of this kind
+    return judged.withColumn("place", F.monotonically_increasing_id()).filter("kept AND place >= 0").select("keep.*")
