@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import between
+from .indicators import by_date
+from .signals import Strategy
 
 NO_HISTORY = "not enough history for the rules"
 
@@ -21,6 +23,19 @@ def intervals(target_frame: DataFrame) -> DataFrame:
     )
 
 
+def fanned_intervals(averaged: DataFrame, rules: list[Strategy]) -> DataFrame:
+    """The same as intervals() of the rules' targets, with lags and leads taken on the bars, before rules fan out.
+
+    So a bar's return is computed once for all rules, and nothing is sorted by rule yet.
+    """
+    w = by_date()
+    now = F.array(*[r.target() for r in rules])
+    bar = averaged.select("symbol", "date", "open", (F.lead("open").over(w) / F.col("open") - 1).alias("r"), F.lead("date").over(w).alias("ends"), now.alias("now"), F.lag(now).over(w).alias("was"))
+    names = F.array(*[F.lit(r.name) for r in rules])
+    each = bar.select("symbol", "date", "open", "r", "ends", F.explode(F.arrays_zip(names.alias("rule"), F.col("now"), F.coalesce("was", F.transform("now", lambda x: F.lit(None).cast("double"))).alias("was"))).alias("x"))
+    return each.select("symbol", "x.rule", "date", "open", F.col("x.now").alias("target"), "r", F.col("x.was").alias("exposure"), "ends")
+
+
 def compounded(windowed: DataFrame, cost_bps: float = 0.0, by: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
     """Intervals of a window -> turnover, returns after cost, equity and benchmark at each interval's end.
 

@@ -88,16 +88,21 @@ class Both:
         return both(self.a.target(), self.b.target())
 
 
-def targets(bars: DataFrame, rules: list[Strategy]) -> DataFrame:
-    """symbol, rule, date, open, close, target: every rule at every bar.
-
-    Each distinct average is computed once on the bars; rules fan out from the same row, without a join.
-    """
+def with_averages(bars: DataFrame, rules: list[Strategy]) -> DataFrame:
+    """Bars with each distinct average that the rules need, computed once."""
     if not rules:
         raise ValueError("no rules")
-    with_mas = add_averages(bars, [s for r in rules for s in r.needs()])
+    return add_averages(bars, [s for r in rules for s in r.needs()])
+
+
+def fan_out(averaged: DataFrame, rules: list[Strategy]) -> DataFrame:
+    """symbol, rule, date, open, close, target: every rule at every bar, from the same row and without a join."""
     fan = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), r.target().alias("target")) for r in rules]))
-    return with_mas.select("symbol", "date", "open", "close", fan.alias("x")).select("symbol", "x.rule", "date", "open", "close", "x.target")
+    return averaged.select("symbol", "date", "open", "close", fan.alias("x")).select("symbol", "x.rule", "date", "open", "close", "x.target")
+
+
+def targets(bars: DataFrame, rules: list[Strategy]) -> DataFrame:
+    return fan_out(with_averages(bars, rules), rules)
 
 
 def crossings(target_frame: DataFrame) -> DataFrame:
