@@ -23,17 +23,24 @@ def intervals(target_frame: DataFrame) -> DataFrame:
     )
 
 
-def fanned_intervals(averaged: DataFrame, rules: list[Strategy]) -> DataFrame:
-    """The same as intervals() of the rules' targets, with lags and leads taken on the bars, before rules fan out.
+def decided(averaged: DataFrame, rules: list[Strategy]) -> DataFrame:
+    """symbol, date, open, now: the targets of all rules at a bar, as an array in their order."""
+    return averaged.select("symbol", "date", "open", F.array(*[r.target() for r in rules]).alias("now"))
 
-    So a bar's return is computed once for all rules, and nothing is sorted by rule yet.
+
+def fanned_intervals(bars: DataFrame, rules: list[Strategy], spread: bool = True) -> DataFrame:
+    """The same as intervals() of the rules' targets from decided(), with lags and leads taken before rules fan out.
+
+    So a bar's return is computed once for all rules, and nothing is sorted by rule yet.  spread deals the bars of few
+    symbols to all cores before they fan out, a row with an array each; with many symbols they are dealt already.
     """
     w = by_date()
-    now = F.array(*[r.target() for r in rules])
-    bar = averaged.select("symbol", "date", "open", (F.lead("open").over(w) / F.col("open") - 1).alias("r"), F.lead("date").over(w).alias("ends"), now.alias("now"), F.lag(now).over(w).alias("was"))
-    names = F.array(*[F.lit(r.name) for r in rules])
-    each = bar.select("symbol", "date", "open", "r", "ends", F.explode(F.arrays_zip(names.alias("rule"), F.col("now"), F.coalesce("was", F.transform("now", lambda x: F.lit(None).cast("double"))).alias("was"))).alias("x"))
-    return each.select("symbol", "x.rule", "date", "open", F.col("x.now").alias("target"), "r", F.col("x.was").alias("exposure"), "ends")
+    bar = bars.select("symbol", "date", "open", "now", (F.lead("open").over(w) / F.col("open") - 1).alias("r"), F.lead("date").over(w).alias("ends"), F.lag("now").over(w).alias("was"))
+    if spread:
+        bar = bar.repartition("symbol", "date")
+    names = F.split(F.lit("|".join(r.name for r in rules)), r"\|")
+    each = bar.select("symbol", "date", "open", "r", "ends", "was", F.posexplode("now").alias("k", "target"))
+    return each.select("symbol", F.element_at(names, F.col("k") + 1).alias("rule"), "date", "open", "target", "r", F.get("was", F.col("k")).alias("exposure"), "ends")
 
 
 def compounded(windowed: DataFrame, cost_bps: float = 0.0, by: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:

@@ -11,7 +11,7 @@ from ..settings import SETTINGS, Settings
 from ..sources.bars import between
 from . import backtest, metrics
 from .indicators import MASpec
-from .signals import MACrossover, Strategy, fan_out, targets, with_averages
+from .signals import MACrossover, Strategy, targets, with_averages
 
 
 def default_rules(settings: Settings = SETTINGS) -> list[MACrossover]:
@@ -30,8 +30,8 @@ def heatmap_rules(kinds: tuple[str, str] = ("sma", "sma"), settings: Settings =
 def common_window(target_frame: DataFrame, start=None, days: DataFrame | None = None) -> DataFrame:
     """symbol, opens, closes: from the bar after the slowest rule's first target (or start, if later) to the last bar.
 
-    days: symbol and date of the bars, where at hand.  Symbols on which some rule never has a target, or where no bar is
-    left, have no row.
+    target_frame: symbol, rule, date, target; days: symbol and date of the bars, where at hand.  Symbols on which some rule
+    never has a target, or where no bar is left, have no row.
     """
     first = target_frame.groupBy("symbol", "rule").agg(F.min(F.when(F.col("target").isNotNull(), F.col("date"))).alias("first"))
     slow = first.groupBy("symbol").agg(F.max("first").alias("slowest"), F.count_if(F.col("first").isNull()).alias("never")).filter("never = 0")
@@ -51,9 +51,10 @@ def run_grid(bars: DataFrame, rules: list[Strategy], cost_bps: float = 0.0, star
 def _common(bars: DataFrame, rules: list[Strategy], start, end) -> DataFrame:
     """Intervals of the window that the rules share."""
     # read twice, for the window and for the intervals: kept in executors, and made again where one is lost
-    averaged = with_averages(between(bars, end=end), rules).persist()
-    w = common_window(fan_out(averaged, rules), start, averaged.select("symbol", "date"))
-    return backtest.fanned_intervals(averaged, rules).join(w, "symbol").filter("date >= opens").drop("opens", "closes")
+    bar = backtest.decided(with_averages(between(bars, end=end), rules), rules).persist()
+    each = bar.select("symbol", "date", F.posexplode("now").alias("rule", "target"))
+    w = common_window(each, start, bar.select("symbol", "date"))
+    return backtest.fanned_intervals(bar, rules).join(w, "symbol").filter("date >= opens").drop("opens", "closes")
 
 
 def evaluate(bars: DataFrame, rule: Strategy, cost_bps: float = 0.0, start=None, end=None) -> DataFrame:
@@ -81,10 +82,10 @@ def rolling_start(bars: DataFrame, rule: Strategy, horizon_years: int = SETTINGS
     Bars aren't cut at end, so the last interval ends on the bar after it.  An interval lies in horizon_years starts:
     starts come from its own date, so there is no range join.
     """
-    averaged = with_averages(bars, [rule]).persist()
-    frame = fan_out(averaged, [rule])
+    bar = backtest.decided(with_averages(bars, [rule]), [rule]).persist()
+    frame = bar.select("symbol", "date", F.element_at("now", 1).alias("target"))
     known = frame.groupBy("symbol").agg(F.min(F.when(F.col("target").isNotNull(), F.col("date"))).alias("known"), F.max("date").alias("last"))
-    d = backtest.fanned_intervals(averaged, [rule]).filter("r IS NOT NULL AND exposure IS NOT NULL").join(known, "symbol")
+    d = backtest.fanned_intervals(bar, [rule]).filter("r IS NOT NULL AND exposure IS NOT NULL").join(known, "symbol")
     years = F.explode(F.sequence(F.year("date") - horizon_years, F.year("date")))
     d = d.withColumn("year", years).withColumn("start", F.make_date("year", F.lit(1), F.lit(1))).drop("year")
     d = d.withColumn("end", F.add_months("start", 12 * horizon_years))

@@ -42,7 +42,10 @@ def sma(n: int, column: str = "close") -> Column:
 
 
 def add_averages(bars: DataFrame, specs: list[MASpec], column: str = "close") -> DataFrame:
-    """A column for each spec.  Simple ones share one window operator; exponential ones one pass in Python.
+    """A column for each spec.  Simple ones come from one running sum, exponential ones from one pass in Python.
+
+    The running sum is a decimal of 12 places, so the difference of two of its values is the window's sum without the
+    error that doubles would gather, however long the series; each further period costs a lag and no frame of its own.
 
     The exponential average is a recursion, which no window function holds.  A group is one symbol's bars: days, so
     its size is bounded by the calendar and not by the data.
@@ -52,8 +55,20 @@ def add_averages(bars: DataFrame, specs: list[MASpec], column: str = "close") ->
     emas = [s for s in specs if s.kind == "ema"]
     if emas:
         out = _with_emas(out, emas, column)
-    smas = {s.label: sma(s.period, column) for s in specs if s.kind == "sma"}
-    return out.withColumns(smas) if smas else out
+    smas = [s for s in specs if s.kind == "sma"]
+    if not smas:
+        return out
+    so_far, w = by_date().rowsBetween(Window.unboundedPreceding, 0), by_date()
+    exact = F.col(column).try_cast("decimal(28,12)")
+    sums = out.withColumns({"_sum": F.coalesce(F.sum(exact).over(so_far), F.lit(0)).cast("decimal(37,12)"), "_n": F.count(exact).over(so_far)})
+    none = F.lit(0).cast("decimal(37,12)")
+
+    def mean(n):
+        full = F.col("_n") - F.lag("_n", n, 0).over(w) == n
+        before = F.coalesce(F.lag("_sum", n).over(w), none)
+        return F.when(full, (F.col("_sum") - before).cast("double") / n)
+
+    return sums.withColumns({s.label: mean(s.period) for s in smas}).drop("_sum", "_n")
 
 
 def _with_emas(bars: DataFrame, specs: list[MASpec], column: str) -> DataFrame:
