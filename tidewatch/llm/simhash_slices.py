@@ -208,5 +208,7 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def deduplicated(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The rows of docs whose doc_id is their group's; one row of each doc_id, columns as they are."""
     found = near_duplicates(docs, chunk)
-    keep = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct(), "kept")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept"]), "left_semi").dropDuplicates(["doc_id"])
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))  # noqa: E731  one key for join and aggregation: texts move once
+    keep = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name(F.col("doc_id")).alias("key")).distinct(), "kept")
+    rows = docs.select(name(docs["doc_id"]).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(keep, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
