@@ -26,9 +26,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 LANGS, DOCS, WINDOWS, RUN = 64, 300, 4, 24
 #: Weights, hashed; words kept with their scores in a Python worker; words of a block; words labelled at a time.
-SLOTS, CACHE_WORDS, BLOCK, BATCH_WORDS = 1 << 16, 300_000, 32, 200_000
+SLOTS, CACHE_WORDS, BLOCK, BATCH_WORDS = 1 << 16, 150_000, 32, 100_000
 LEXICON, LEXICON_SHARE = 200, 0.8
 #: Letters of a word whose features count; the marks at its ends stand beside these.
 LONGEST = 40
@@ -328,6 +330,7 @@ def predict(docs: DataFrame, crf: Crf | None, keep: list[str] | None = None) ->
     row = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs["text"].cast("string").alias("t"))
     if crf is None:
         return row.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_switches"))
+    small_batches(spark)
     model = Shipped(spark, crf)
 
     def judged(texts):

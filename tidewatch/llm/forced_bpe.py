@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 #: White space beyond ASCII, and controls that some patterns count as such; the pre-tokenizer's \s may take these too.
 WIDE_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Characters whose class no version of Unicode has changed; fragments of these alone take the faster merge routine.
 SETTLED = re.compile("[\x00-\u024f]*")
 #: Fragments kept with their ids in a Python worker, and the longest that is kept.  When full it starts anew.
-CACHE_ENTRIES, CACHED_BYTES = 500_000, 48
+CACHE_ENTRIES, CACHED_BYTES = 200_000, 48
 
 #: How byte-level tokenizers split a text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -175,6 +177,7 @@ def vocabulary(spark, path: str):
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row of docs: its id, n_tokens, the digests of its ids and of the decoded text; with_ids adds the ids."""
+    small_batches(docs.sparkSession)
     spec = vocabulary(docs.sparkSession, tokenizer)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:

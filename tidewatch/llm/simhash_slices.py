@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import small_batches, written
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Fingerprints of a collection that are compared in one task.
@@ -196,6 +196,7 @@ def links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fp, component_id per row of docs."""
+    small_batches(docs.sparkSession)
     rows = written(fingerprints(docs), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = written(components(links(nodes.select("fp"), chunk)), "roots")

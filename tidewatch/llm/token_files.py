@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .forced_bpe import loaded, vocabulary
-from .shared import SharedFiles, fresh_path
+from .shared import SharedFiles, fresh_path, small_batches
 
 #: Rows whose ids a writer holds before they go to the file.
 WRITE_ROWS = 512
@@ -39,6 +39,7 @@ class TokenFiles:
 def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int | None = None, root: str | None = None) -> TokenFiles:
     """Encode every document of docs (doc_id, text) and write the shards."""
     spark = docs.sparkSession
+    small_batches(spark)
     root = root or fresh_path(spark, "tokens")
     spec = vocabulary(spark, tokenizer)
     dtype = "<u2" if len(_pieces(spec.value)) <= 1 << 16 else "<u4"
