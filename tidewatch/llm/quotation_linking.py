@@ -22,7 +22,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, written
 
 QUOTE = re.compile(r"(?:[ \t]*>)+")
 ATTRIBUTION = re.compile(r"\s*(on|le|am|el)\b.*\b(wrote|écrit|schrieb|escribió)\s*:\s*$|.*\b(wrote|a écrit|schrieb|escribió)\s*:\s*$", re.I)
@@ -85,6 +85,7 @@ def link(messages: DataFrame, carry: tuple[str, ...] = ("role",)) -> DataFrame:
             n = [sum(level > 0 for level, _ in p) for p in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(own, pa.string()), pa.array(quoted, unit), pa.array(n, pa.int64())], ["conv_id", "turn", "more", "own_text", "units", "n_quoted"])
 
+    small_batches(messages.sparkSession)
     more = F.struct(*[messages[c].alias(c) for c in carry])
     rows = messages.select(messages["conv_id"].cast("long").alias("conv_id"), messages["turn"].cast("long").alias("turn"), more.alias("more"), messages["text"].cast("string").alias("text"))
     kind = rows.schema["more"].dataType.simpleString()
@@ -95,14 +96,22 @@ def link(messages: DataFrame, carry: tuple[str, ...] = ("role",)) -> DataFrame:
     linked = quotes.join(originals, ["conv_id", "hash"]).filter("original < turn")
     best = F.min_by("original", F.struct("where.level", "where.kind", -F.col("original"))).alias("parent_turn")
     parents = written(linked.groupBy("conv_id", "turn").agg(best, F.sum("whole").alias("n_linked")), "parents")
-    # (turn, up, steps): up is an ancestor, steps away; doubled until every up has no parent
-    chain = parents.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.lit(1).cast("long").alias("steps"))
+    # (turn, up, steps): up is an ancestor, steps away; doubled until every up has no parent.  Messages that have
+    # arrived leave the rounds, and are still there to be looked up
+    active, arrived = parents.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.lit(1).cast("long").alias("steps")), []
     while True:
+        chain = active
+        for done in arrived:
+            chain = chain.unionByName(done)
         above = chain.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"))
-        d = written(chain.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("far", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("moved")), "chain")
-        chain = d.drop("moved")
-        if not d.filter("moved").limit(1).count():
+        d = written(active.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("far", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("moved")), "chain")
+        arrived.append(d.filter("NOT moved").drop("moved"))
+        active = d.filter("moved").drop("moved")
+        if not active.limit(1).count():
             break
+    chain = arrived[0]
+    for done in arrived[1:]:
+        chain = chain.unionByName(done)
     links = parents.join(chain, ["conv_id", "turn"])
     out = told.join(links, ["conv_id", "turn"], "left")
     return out.select(
