@@ -8,8 +8,8 @@ of the differences of places; the CANDIDATES nearest by footrule are joined to t
 exact distance in double precision.
 
 A list is cut into pieces of about BLOCK vectors that are tasks of their own, so that none is too large for one task;
-the queries go to each piece of their lists and leave it with CANDIDATES rows at most, and a vector that shares several
-lists with a query counts in the first.  Of equal vectors only the K + 1 of smallest ids can be among a query's K
+the queries go to each piece of their lists, a task keeps each query's CANDIDATES nearest over all the pieces it reads,
+and a vector that shares several lists with a query counts in the first.  Of equal vectors only the K + 1 of smallest ids can be among a query's K
 nearest; the others are left out of the lists, which changes no result and keeps copies from filling them.
 
 The share of lists is set for vectors without structure, spread evenly over a sphere of 64 dimensions, where neighbours
@@ -31,6 +31,8 @@ from .shared import written
 K, PIVOTS, POSTED, PROBE_SHARE, CANDIDATES, BLOCK = 10, 256, 2, 0.45, 300, 4096
 #: Rows that the pivots are drawn from; pivots are at most 256, a byte each, which bounds what is broadcast.
 SAMPLE = 8192
+#: Candidates that a task holds before it gives them out.
+HELD = 1_000_000
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -79,6 +81,35 @@ def footrule(query: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (np.maximum(places, query) - np.minimum(places, query)).sum(1, dtype=np.int64)
 
 
+class Nearest:
+    """The nearest candidates of each query over the lists that a task has read."""
+
+    def __init__(self, most: int):
+        self.most, self.found, self.held = most, {}, 0
+
+    def add(self, query: int, ids: np.ndarray, distances: np.ndarray) -> None:
+        self.found.setdefault(query, []).append((ids, distances))
+        self.held += len(ids)
+
+    def prune(self) -> int:
+        """Leave each query the candidates that can be among its nearest; how many there are."""
+        for q, parts in self.found.items():
+            ids, d = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            first = np.lexsort((ids, d))[: self.most]
+            self.found[q] = [(ids[first], d[first])]
+        self.held = sum(len(p[0][0]) for p in self.found.values())
+        return self.held
+
+    def taken(self):
+        """All that is held, pruned, as a batch; nothing is held after."""
+        import pyarrow as pa
+
+        parts = [(np.full(len(p[0][0]), q), *p[0]) for q, p in self.found.items()]
+        columns = [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3)]
+        self.found, self.held = {}, 0
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "footrule"])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, candidates: int = CANDIDATES, probe_share: float = PROBE_SHARE, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), id, score: the k nearest found of each query by Euclidean distance."""
     spark = vectors.sparkSession
@@ -115,20 +146,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     keyed = both.repartition("pivot", "piece").sortWithinPartitions("pivot", "piece", "kind", "id")
 
     def scan(batches):
-        import pyarrow as pa
-
-        asked_here, key = [], None
-
-        def ranked(ids, places, near, pivot):
-            out = []
-            for q, own in asked_here:
-                at = np.flatnonzero((own[near].min(1) == own[pivot]) & (ids != q))
-                if len(at):
-                    d = footrule(own, places[at])
-                    best = np.lexsort((ids[at], d))[:candidates]
-                    out.append((np.full(len(best), q), ids[at][best], d[best]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in out]) if out else np.empty(0, np.int64), pa.int64()) for j in range(3)], ["query_id", "id", "footrule"])
-
+        asked_here, key, best = [], None, Nearest(candidates)
         for batch in batches:
             ids, pivot, piece, kind = (batch.column(j).to_numpy(zero_copy_only=False) for j in (0, 3, 4, 5))
             places = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, m)
@@ -138,9 +156,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
                     key, asked_here = (pivot[i], piece[i]), []
                 if kind[i] == 0:
                     asked_here += list(zip(ids[i:j].tolist(), places[i:j]))
-                elif asked_here:
-                    near = batch.column(2).slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1)
-                    yield ranked(ids[i:j], places[i:j], near, pivot[i])
+                    continue
+                near = batch.column(2).slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1) if asked_here else None
+                for q, own in asked_here:
+                    at = i + np.flatnonzero((own[near].min(1) == own[pivot[i]]) & (ids[i:j] != q))
+                    best.add(q, ids[at], footrule(own, places[at]))
+                if best.held > HELD and best.prune() > HELD // 2:
+                    yield best.taken()
+        best.prune()
+        yield best.taken()
 
     met = keyed.mapInArrow(scan, "query_id long, id long, footrule long")
     best = Window.partitionBy("query_id").orderBy("footrule", "id")
