@@ -40,6 +40,17 @@ def test_recall(spark, n, clustered):
     assert hits / (10 * n / 50) >= 0.9
 
 
+def test_rerank_budget_is_measured(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for how in ({"candidates": 10}, {"probe_share": 0.02}):  # far too little: both have to grow
+        hits, asked = 0, range(0, 3000, 100)
+        for r in permutation_index.search(df, df.filter("vec_id % 100 = 0"), **how).collect():
+            hits += r.id in np.argsort(((v - v[r.query_id]) ** 2).sum(1), kind="stable")[1:11]
+        assert hits / (10 * len(asked)) >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 1.0]) for i in range(30)] + [(30, None), (31, [0.0, 0.0]), (32, [nan, 1.0]), (33, [inf, 1.0]), (34, [None, 1.0]), (35, [1.0]), (36, [2.0, 1.0]), (None, [1.0, 2.0])]

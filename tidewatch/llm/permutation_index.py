@@ -4,11 +4,17 @@ PIVOTS vectors are drawn from a bounded sample (SAMPLE rows of smallest md5 of t
 the order of all pivots by nearness, kept as each pivot's place, a byte each, and is posted in the lists of its POSTED
 nearest pivots; every vector is posted.  A query goes to the lists of PROBE_SHARE of the pivots, nearest first, and to
 more while these hold too few vectors for K neighbours.  Each vector met there is ranked by footrule distance, the sum
-of the differences of places; the CANDIDATES nearest by footrule are joined to their vectors and ranked anew by the
-exact distance in double precision.
+of the differences of places; the nearest by footrule are joined to their vectors and ranked anew by the exact distance
+in double precision.
+
+How many are ranked anew is measured, not fixed, as it has to grow with the number of vectors.  TRIALS of the queries
+are answered by brute force; each true neighbour has a place in its query's footrule order, and the budget is the
+smallest that holds the share TRIED of all these neighbours, CANDIDATES at least.  Where the lists visited don't hold
+that share, more lists are visited, in the end all.  A footrule bound for each query, which in a sample of SAMPLE vectors
+lies four standard deviations beyond the budget's place, keeps tasks from giving out more than about the budget.
 
 A list is cut into pieces of about BLOCK vectors that are tasks of their own, so that none is too large for one task;
-the queries go to each piece of their lists, a task keeps each query's CANDIDATES nearest over all the pieces it reads,
+the queries go to each piece of their lists, a task keeps each query's nearest, as many as the budget, over all the pieces it reads,
 and a vector that shares several lists with a query counts in the first.  Of equal vectors only the K + 1 of smallest ids can be among a query's K
 nearest; the others are left out of the lists, which changes no result and keeps copies from filling them.
 
@@ -31,6 +37,8 @@ from .shared import written
 K, PIVOTS, POSTED, PROBE_SHARE, CANDIDATES, BLOCK = 10, 256, 2, 0.45, 300, 4096
 #: Rows that the pivots are drawn from; pivots are at most 256, a byte each, which bounds what is broadcast.
 SAMPLE = 8192
+#: Queries that the budget is measured on, and the share of their true neighbours that it has to hold.
+TRIALS, TRIED = 64, 0.95
 #: Candidates that a task holds before it gives them out.
 HELD = 1_000_000
 
@@ -110,8 +118,77 @@ class Nearest:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "footrule"])
 
 
+def visited(near: np.ndarray, length: np.ndarray, share: float, k: int) -> int:
+    """How many of the lists, in a query's order, it goes to; length: of each list."""
+    return max(int(np.ceil(share * len(length))), int(np.searchsorted(np.cumsum(length[near]), POSTED * (k + 1))) + 1)
+
+
+def true_neighbours(index: DataFrame, trials: list, k: int) -> dict[int, list]:
+    """Rows (id, vec) of the k nearest of each trial, a row with id and vec, by brute force."""
+    own_ids, own = np.array([r.id for r in trials]), np.array([r.vec for r in trials])
+
+    def nearest(batches):
+        import pyarrow as pa
+
+        best = Nearest(k)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            vecs = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            for t in range(len(own)) if len(ids) else ():
+                other = np.flatnonzero(ids != own_ids[t])
+                best.add(t, ids[other], ((vecs[other] - own[t]) ** 2).sum(1))
+            best.prune()
+        found = [(t, int(i), float(x)) for t, p in best.found.items() for i, x in zip(*p[0])]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["t", "id", "square"])
+
+    last = Window.partitionBy("t").orderBy("square", "id")
+    met = index.select("id", "vec").mapInArrow(nearest, "t long, id long, square double")
+    top = met.withColumn("r", F.row_number().over(last)).filter(F.col("r") <= k).select("t", "id")
+    out: dict[int, list] = {}
+    for r in index.select("id", "vec").join(F.broadcast(top), "id").dropDuplicates(["t", "id"]).collect():  # TRIALS x k at most
+        out.setdefault(r.t, []).append(r)
+    return out
+
+
+def budget(index: DataFrame, places: DataFrame, asked: DataFrame, pivots: np.ndarray, length: np.ndarray, k: int, least: int, share: float) -> tuple[int, float]:
+    """Candidates to rank anew and share of lists to visit that the trials need, least and share at least."""
+    trials = asked.orderBy(F.md5(F.concat(F.lit("trial "), F.col("id").cast("string"))), "id").limit(TRIALS).select("id", "vec").collect()
+    true = true_neighbours(index, trials, k) if trials else {}
+    if not true:
+        return least, share
+    order, place = places_of(np.array([r.vec for r in trials]), pivots)
+    shares = [share, (1 + share) / 2, 1.0]
+    takes = [[visited(order[t], length, x, k) for t in range(len(trials))] for x in shares]
+    bounds, inside = {}, {}  # of each trial's true neighbours: footrule distances, and how near the trial their lists are
+    for t, rows in true.items():
+        near, own = places_of(np.array([r.vec for r in rows]), pivots)
+        bounds[t], inside[t] = footrule(place[t], own), place[t][near[:, :POSTED]].min(1)
+
+    def count(batches):
+        import pyarrow as pa
+
+        before = {t: np.zeros((len(shares), len(b)), np.int64) for t, b in bounds.items()}
+        for batch in batches:
+            places = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            near = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for t in bounds if batch.num_rows else ():
+                first, far = place[t][near].min(1), footrule(place[t], places)
+                for x in range(len(shares)):
+                    before[t][x] += np.searchsorted(np.sort(far[first < takes[x][t]]), bounds[t], "right")
+        found = [(t, x, j, int(n)) for t, b in before.items() for x in range(len(shares)) for j, n in enumerate(b[x])]
+        yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(4)], ["t", "x", "j", "n"])
+
+    rows = places.select("place", "near").mapInArrow(count, "t long, x long, j long, n long").groupBy("t", "x", "j").agg(F.sum("n").alias("n")).collect()
+    for x, wide in enumerate(shares):
+        ranks = sorted(r.n if inside[r.t][r.j] < takes[x][r.t] else np.inf for r in rows if r.x == x)
+        need = ranks[int(np.ceil(TRIED * len(ranks))) - 1]
+        if need < np.inf:
+            break
+    return max(least, int(need)), wide
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, candidates: int = CANDIDATES, probe_share: float = PROBE_SHARE, block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), id, score: the k nearest found of each query by Euclidean distance."""
+    """query_id, rank (from 1), id, score: the k nearest found of each query by Euclidean distance; candidates and probe_share are what it starts from."""
     spark = vectors.sparkSession
     every = written(usable(vectors, id_col, vec_col), "vectors")
     asked = usable(queries, id_col, vec_col).join(every.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
@@ -121,10 +198,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     if not len(chosen):
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     shipped, m = spark.sparkContext.broadcast(chosen), len(chosen)
-    lists = written(permutations(index, shipped, POSTED), "places").select("id", "place", "near", F.explode("near").alias("pivot"))
+    places = written(permutations(index, shipped, POSTED), "places")
+    lists = places.select("id", "place", "near", F.explode("near").alias("pivot"))
     sizes = {r.pivot: r["count"] for r in lists.groupBy("pivot").count().collect()}  # one number for each pivot
     length = np.array([sizes.get(p, 0) for p in range(m)])
     pieces = np.maximum(1, -(-length // block))
+    candidates, probe_share = budget(index, places, asked, chosen, length, k, candidates, probe_share)
+
+    sample = places.orderBy(F.md5(F.concat(F.lit("bound "), F.col("id").cast("string"))), "id").limit(SAMPLE).select("place", "near").collect()
+    drawn = spark.sparkContext.broadcast((np.frombuffer(b"".join(bytes(r.place) for r in sample), np.uint8).reshape(len(sample), -1), np.array([r.near for r in sample])))
+    due = candidates * len(sample) / max(1, places.count())
+    due = int(np.ceil(due + 4 * np.sqrt(due) + 4))
 
     def route(batches):
         import pyarrow as pa
@@ -133,16 +217,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
             out = []
             for i, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 near = np.argsort(np.frombuffer(place, np.uint8), kind="stable")
-                take = max(int(np.ceil(probe_share * m)), int(np.searchsorted(np.cumsum(length[near]), POSTED * (k + 1))) + 1)
-                out += [(i, place, p, piece) for p in near[:take].tolist() if length[p] for piece in range(int(pieces[p]))]
-            columns = list(zip(*out)) or [[]] * 4
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "place", "pivot", "piece"])
-
-    routed = permutations(asked, shipped, POSTED).select("id", "place").mapInArrow(route, "id long, place binary, pivot int, piece long")
+                take = visited(near, length, probe_share, k)
+                own, (others, homes) = np.frombuffer(place, np.uint8), drawn.value
+                far = np.sort(footrule(own, others[own[homes].min(1) < take]))
+                bound = [int(far[due]) if due < len(far) else m * m]
+                out += [(i, place, bound, p, piece) for p in near[:take].tolist() if length[p] for piece in range(int(pieces[p]))]
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "place", "near", "pivot", "piece"])
+
+    routed = permutations(asked, shipped, POSTED).select("id", "place").mapInArrow(route, "id long, place binary, near array<int>, pivot int, piece long")  # near: the bound
     of = F.element_at(F.lit([int(x) for x in pieces]), F.col("pivot") + 1)
     dealt = lists.withColumn("piece", F.pmod(F.xxhash64("id", "pivot"), of.cast("long")))
-    both = routed.select("id", "place", F.lit(None).cast("array<int>").alias("near"), "pivot", "piece", F.lit(0).alias("kind")).unionByName(dealt.withColumn("kind", F.lit(1)))
+    both = routed.withColumn("kind", F.lit(0)).unionByName(dealt.withColumn("kind", F.lit(1)))
     keyed = both.repartition("pivot", "piece").sortWithinPartitions("pivot", "piece", "kind", "id")
 
     def scan(batches):
@@ -155,12 +242,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
                 if (pivot[i], piece[i]) != key:
                     key, asked_here = (pivot[i], piece[i]), []
                 if kind[i] == 0:
-                    asked_here += list(zip(ids[i:j].tolist(), places[i:j]))
+                    asked_here += list(zip(ids[i:j].tolist(), places[i:j], batch.column(2).slice(i, j - i).flatten().to_pylist()))
                     continue
                 near = batch.column(2).slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1) if asked_here else None
-                for q, own in asked_here:
+                for q, own, bound in asked_here:
                     at = i + np.flatnonzero((own[near].min(1) == own[pivot[i]]) & (ids[i:j] != q))
-                    best.add(q, ids[at], footrule(own, places[at]))
+                    far = footrule(own, places[at])
+                    best.add(q, ids[at[far <= bound]], far[far <= bound])
                 if best.held > HELD and best.prune() > HELD // 2:
                     yield best.taken()
         best.prune()
