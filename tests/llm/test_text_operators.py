@@ -57,6 +57,51 @@ def test_licences(text, want):
     assert license_scan.licences([x for _, x in license_scan.identifiers(text)]) == want
 
 
+GPL = """This program is free software{sep} you can redistribute it and/or modify
+it under the terms of the GNU {l}General Public License as published by
+the Free Software Foundation{mid} either version {v} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {l}General Public License for more details."""
+BSD = """Copyright (c) 2020, A. B. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED."""
+THIRD = """3. Neither the name of {who} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+STANDARD = [
+    ("GPL-2.0-or-later", GPL.format(sep=";", l="", mid=";", v=2)), ("GPL-3.0-or-later", GPL.format(sep=":", l="", mid=",", v=3)), ("LGPL", GPL.format(sep=";", l="Lesser ", mid=";", v="2.1").replace("program", "library")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSD-2-Clause", BSD.format(third="")), ("BSD-3-Clause", BSD.format(third=THIRD.format(who="the copyright holder"))), ("BSD-3-Clause", BSD.format(third=THIRD.format(who="A. B. Inc."))),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY.'),
+    ("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("Apache-2.0", APACHE),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0\nInternational License."), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."),
+    ("GPL-2.0-only", "Licensed under the GNU General Public License, version 2."), ("public-domain", "This is free and unencumbered software released into the public domain."),
+]
+
+
+@pytest.mark.parametrize("licence,text", STANDARD)
+def test_standard_texts(licence, text):
+    commented = "/*\n" + "\n".join(f" * {x}".rstrip() for x in text.split("\n")) + "\n */"
+    for form in (text, " ".join(re.sub(r"(?m)^# ?", "", text).split()), commented):
+        assert license_scan.licences([x for _, x in license_scan.identifiers(form)]) == [licence], form
+
+
 def test_known_sentences_have_critical_words():
     for _, pattern in license_scan.SENTENCES:
         assert license_scan.CRITICAL.search(pattern), pattern

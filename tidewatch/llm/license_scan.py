@@ -5,7 +5,8 @@ identifiers, in order, are matched against ordered rules, each a sequence that n
 first rule that fits takes its identifiers; a licence sentence that no pattern knows is ``unknown`` and breaks a sequence.
 
 A sentence starts at the text's start, at a line's start or after a stop, and goes on over line ends to its stop, so
-wrapped licence texts are read as well as one-line notices.  Normalising lowers, drops comment signs, quotes and repeated
+wrapped licence texts are read as well as one-line notices; known sentences with stops inside, as "; either version 2"
+or "v. 2.0", go on past them.  Normalising lowers, drops comment signs, quotes and repeated
 white space, and writes license and & alike.  Whole texts are read; texts without any of CRITICAL's words can hold no
 known sentence and are not cut up.
 
@@ -40,20 +41,22 @@ SENTENCES = (
     ("gpl2-notice", r"(this \w+ is )?licensed under the gnu general public license,? (version|v) ?2(\.0)?"),
     ("gpl3-notice", r"(this \w+ is )?licensed under the gnu general public license,? (version|v) ?3(\.0)?"),
     ("gpl-notice", r"(this \w+ is )?licensed under the gnu general public license"),
-    ("gpl2-later", r"(this program is free software; )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (\(at your option\) )?any later version"),
-    ("gpl3-later", r"(this program is free software; )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (\(at your option\) )?any later version"),
+    ("gpl2-later", r"(this \w+ is free software[;:] )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation[;,] either version 2 of the license, or (\(at your option\) )?any later version"),
+    ("gpl3-later", r"(this \w+ is free software[;:] )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation[;,] either version 3 of the license, or (\(at your option\) )?any later version"),
+    ("lgpl-later", r"(this \w+ is free software[;:] )?you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation[;,] either version (2\.1|3) of the license, or (\(at your option\) )?any later version"),
     ("gpl-hope", r"this program is distributed in the hope that it will be useful, but without any warranty.*"),
     ("lgpl-notice", r"(this \w+ is )?licensed under the gnu lesser general public license,? (version|v) ?(2\.1|3)(\.0)?"),
-    ("cc-by-nc4", r"licensed under (the )?(cc by-nc 4\.0|creative commons attribution-noncommercial 4\.0( international)?)( license)?"),
-    ("cc-by-nc3", r"licensed under (the )?(cc by-nc 3\.0|creative commons attribution-noncommercial 3\.0( unported)?)( license)?"),
-    ("cc-by-nc", r"licensed under (the )?cc by-nc( \d\.\d)?"),
-    ("cc-by-sa4", r"licensed under (the )?(cc by-sa 4\.0|creative commons attribution-sharealike 4\.0( international)?)( license)?"),
-    ("cc-by4", r"licensed under (the )?(cc by 4\.0|creative commons attribution 4\.0( international)?)( license)?"),
+    ("cc-by-nc4", r"(this \w+ is )?licensed under (the |a )?(cc by-nc 4\.0|creative commons attribution-noncommercial 4\.0( international)?)( license)?"),
+    ("cc-by-nc3", r"(this \w+ is )?licensed under (the |a )?(cc by-nc 3\.0|creative commons attribution-noncommercial 3\.0( unported)?)( license)?"),
+    ("cc-by-nc", r"(this \w+ is )?licensed under (the |a )?cc by-nc( \d\.\d)?"),
+    ("cc-by-sa4", r"(this \w+ is )?licensed under (the |a )?(cc by-sa 4\.0|creative commons attribution-sharealike 4\.0( international)?)( license)?"),
+    ("cc-by4", r"(this \w+ is )?licensed under (the |a )?(cc by 4\.0|creative commons attribution 4\.0( international)?)( license)?"),
     ("mpl2", r"this source code form is subject to the terms of the mozilla public license, v\. ?2\.0"),
     ("mpl2-copy", r"if a copy of the mpl was not distributed with this file, you can obtain one at.*"),
     ("mit-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.*"),
     ("mit-copies", r"the above copyright notice and this permission notice( \(including the next paragraph\))? shall be included in all copies or substantial portions of the software"),
     ("as-is", r"the software is provided as is,? without warranty of any kind, express or implied.*"),
+    ("isc-as-is", r"the software is provided as is and (the author|\w+) disclaims all warranties with regard to this software.*"),
     ("isc-grant", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.*"),
     ("bsd-grant", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd-source", r"(\d\. ?|- ?|\(\w\) ?)?redistributions of source code must retain the above copyright notice.*"),
@@ -72,6 +75,7 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl3-later", "gpl-hope")),
     ("MIT", ("mit-title", "mit-grant", "mit-copies", "as-is")),
     ("MIT", ("mit-grant", "mit-copies", "as-is")),
+    ("ISC", ("isc-grant", "isc-as-is")),
     ("ISC", ("isc-grant", "as-is")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
@@ -84,6 +88,7 @@ RULES = (
     ("GPL-3.0-only", ("gpl3-notice",)),
     ("GPL", ("gpl-notice",)),
     ("LGPL", ("lgpl-notice",)),
+    ("LGPL", ("lgpl-later",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-grant",)),
     ("MIT", ("mit-title",)),
@@ -98,7 +103,9 @@ RULES = (
 )
 
 STARTS = re.compile(r"^|(?<=\n)|(?<=[.!?;:] )", re.M)
-STOP = re.compile(r"[.!?;](?=\s|\Z)|:(?=[ \t]*(?:\n|\Z))|\n[ \t#*/]*\n|\Z")
+STOP = re.compile(r"[.!?;](?=\s|\Z)|:(?=[ \t]*(?:\n|\Z))|(?<=(?i:conditions)):(?=\s)|(?<=(?i:conditions are met)):(?=\s)|\n[ \t#*/]*\n|\Z")
+#: Beginnings of known sentences that hold stops of their own; these may go on to a later stop of the paragraph.
+GOES_ON = re.compile(r"\W*" + r"[\W_]+".join(r"(?:this \w+ is free software|you can redistribute it|this source code form is|neither the name of|this software is provided by)".split(" ")), re.I)
 QUOTES, NOISE = re.compile("[\"'`“”‘’]+"), re.compile(r"[*#/|]+|\s+")
 #: Characters that a normalised sentence may take; the longest known sentence is far shorter.
 REACH = 1200
@@ -120,6 +127,18 @@ def identifier(sentence: str) -> str | None:
     return None
 
 
+def known_whole(text: str, i: int, stop: re.Match | None) -> tuple[str, int] | None:
+    """The identifier of a sentence with stops inside, and its end: the first stop in reach at which a pattern knows it."""
+    end = min(len(text), i + REACH)
+    while stop and not stop[0].startswith("\n"):
+        if found := identifier(normalised(text[i : stop.start()])):
+            return found, max(stop.start(), i + 1)
+        if stop.end() <= stop.start() or stop.end() >= end:
+            return None
+        stop = STOP.search(text, stop.end(), end)
+    return (found, max(stop.start(), i + 1)) if stop and (found := identifier(normalised(text[i : stop.start()]))) else None
+
+
 def identifiers(text: str | None) -> list[tuple[int, str]]:
     """(start, identifier) of every licence sentence, in order; those that no pattern knows are unknown."""
     text = text or ""
@@ -132,6 +151,10 @@ def identifiers(text: str | None) -> list[tuple[int, str]]:
             continue
         stop = STOP.search(text, i, min(len(text), i + REACH)) or None
         j = stop.start() if stop else min(len(text), i + REACH)
+        if whole := known_whole(text, i, stop) if GOES_ON.match(text, i, min(len(text), i + 100)) else None:
+            out.append((i, whole[0]))
+            at = whole[1]
+            continue
         if not CRITICAL.search(text, i, j):
             continue
         sentence = normalised(text[i:j])
