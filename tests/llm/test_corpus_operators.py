@@ -130,6 +130,18 @@ def test_temporal_list_against_loops(spark):
     assert temporal_url_filter.judge(c, e.limit(0), "page_id", "url", "day").filter("kept").count() == 301
 
 
+def test_hosts_of_odd_urls(spark):
+    odd = {
+        "http://my_site.example.com/a": "my_site.example.com", "http://münchen.de/": "münchen.de", "http://casino-win.example.com/a|b": "casino-win.example.com", "https://y.com/s?q=[x y]": "y.com", "https://x.com/{id}": "x.com",
+        " HTTP://User:p@X.com.:80?q ": "x.com", "http://[::1]:80/": "[::1]", "http://a.b#c@d": "a.b", "http:///x": None, "not a url": None, "": None, None: None,
+    }
+    c = spark.createDataFrame([(u, "2024-02-01") for u in odd], "url string, t string").selectExpr("url AS page_id", "url", "date(t) day")
+    e = spark.createDataFrame([("casino-win.example.com", "2024-01-15", "block")], "pattern string, s string, action string").selectExpr("pattern", "date(s) since", "action")
+    rows = temporal_url_filter.judge(c, e, "page_id", "url", "day").collect()
+    assert {r.page_id: r.host for r in rows} == odd
+    assert {r.host for r in rows if not r.kept} == {None, "casino-win.example.com"}
+
+
 # near-duplicates
 
 

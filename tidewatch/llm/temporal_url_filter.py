@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIONS = ("block", "allow", "drop")
+#: Scheme, user if any, host: nothing else of a URL has to be well-formed.
+HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host without final dot; null if there is none."""
-    host = F.rtrim(F.lower(F.try_parse_url(F.trim(url), F.lit("HOST"))), F.lit("."))
+    host = F.rtrim(F.lower(F.trim(F.regexp_extract(F.trim(url), HOST, 1))), F.lit("."))
     return F.when(host != "", host)
 
 
