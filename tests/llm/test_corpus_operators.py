@@ -226,6 +226,15 @@ def test_groups_of_documents(spark):
     assert simhash_slices.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_document_of_each_group_without_ids(spark):
+    rng = random.Random(3)
+    base = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(60)) for _ in range(9)]
+    rows = [(None, t) for t in base[:6]] + [(None, base[0]), (5, base[1]), (7, base[6]), (7, base[7]), (8, base[8]), (8, base[8]), (8, base[8])]
+    docs = spark.createDataFrame([(*x, "en", "s", 1) for x in rows], DOCS)
+    kept = [(r.doc_id, r.text) for r in simhash_slices.deduplicated(docs.repartition(3)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, base[k]) for k in (0, 2, 3, 4, 5)] + [(5, base[1]), (7, base[6]), (7, base[7]), (8, base[8])], key=str)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, k) for k in range(200, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(5, 5)]

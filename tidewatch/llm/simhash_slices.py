@@ -194,22 +194,39 @@ def links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return dealt.mapInArrow(_linked, "u long, v long")
 
 
+def groups(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows of doc_id and fp, in files -> fp, root (one for each group), component_id per fingerprint."""
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    roots = written(components(links(nodes.select("fp"), chunk)), "roots")
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return written(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+
+
 def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fp, component_id per row of docs."""
     small_batches(docs.sparkSession)
     rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = written(components(links(nodes.select("fp"), chunk)), "roots")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(groups(rows, chunk).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The rows of docs whose doc_id is their group's; one row of each doc_id, columns as they are."""
-    found = near_duplicates(docs, chunk)
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))  # noqa: E731  one key for join and aggregation: texts move once
-    keep = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name(F.col("doc_id")).alias("key")).distinct(), "kept")
-    rows = docs.select(name(docs["doc_id"]).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return rows.join(keep, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    """One row of each group, columns as they are: of its rows the one of smallest doc_id, null last, then of smallest text hash."""
+    small_batches(docs.sparkSession)
+    row = F.struct(*[docs[c] for c in docs.columns])
+    kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row.alias("row"))
+    kind = kept.schema["row"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "row"])
+
+    marked = kept.mapInArrow(run, f"doc_id long, fp long, row {kind}").withColumn("place", F.monotonically_increasing_id())
+    rows = written(marked.withColumn("hashed", F.xxhash64("row.text")), "fingerprints")  # read again, a row's place stays
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hashed", "place")
+    firsts = rows.groupBy("fp").agg(F.min(order).alias("first")).join(groups(rows.select("doc_id", "fp"), chunk), "fp")
+    keep = written(firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.place"), "kept")
+    return rows.select("place", "row").join(keep, "place", "left_semi").select("row.*")
