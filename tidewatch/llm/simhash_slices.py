@@ -23,9 +23,10 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .shared import small_batches, written
+from .shared import named, small_batches, whole_rows, written
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Fingerprints of a collection that are compared in one task.
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), named(docs, "text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def slices(values: np.ndarray, bits: int) -> np.ndarray:
@@ -213,19 +214,20 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def deduplicated(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row of each group, columns as they are: of its rows the one of smallest doc_id, null last, then of smallest text hash."""
     small_batches(docs.sparkSession)
-    row = F.struct(*[docs[c] for c in docs.columns])
-    kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), row.alias("row"))
-    kind = kept.schema["row"].dataType.simpleString()
+    place, held = docs.columns.index("text"), docs.schema["text"].dataType.typeName() == "string"  # the text goes to Python once, inside its row
+    kept = docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), whole_rows(docs).alias("row"), *([] if held else [named(docs, "text").cast("string").alias("text")]))
+    kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("row", kept.schema["row"].dataType)])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "row"])
+            texts = batch.column(1).field(place) if held else batch.column(2)
+            fps = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(1)], ["doc_id", "fp", "row"])
 
-    marked = kept.mapInArrow(run, f"doc_id long, fp long, row {kind}").withColumn("place", F.monotonically_increasing_id())
-    rows = written(marked.withColumn("hashed", F.xxhash64("row.text")), "fingerprints")  # read again, a row's place stays
+    marked = kept.mapInArrow(run, kind).withColumn("place", F.monotonically_increasing_id())
+    rows = written(marked.withColumn("hashed", F.xxhash64(F.col("row").getField("text"))), "fingerprints")  # read again, a row's place stays
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "hashed", "place")
     firsts = rows.groupBy("fp").agg(F.min(order).alias("first")).join(groups(rows.select("doc_id", "fp"), chunk), "fp")
     keep = written(firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.place"), "kept")
