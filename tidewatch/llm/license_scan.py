@@ -1,14 +1,15 @@
 """License scans by sentence rules.
 
-A text's sentences that may speak of a licence are normalised and mapped to identifiers of known sentences; the
-identifiers, in order, are matched against ordered rules, each a sequence that names a licence.  At every place the
-first rule that fits takes its identifiers; a licence sentence that no pattern knows is ``unknown`` and breaks a sequence.
+A text is read paragraph by paragraph.  A paragraph's sentences are normalised and set one to a line; known licence
+sentences are found in them and mapped to identifiers, and the identifiers, in the order in which they stand, are
+matched against ordered rules, each a sequence that names a licence.  At every place the first rule that fits takes its
+identifiers.  A sentence with one of WORDS that holds no known one is ``unknown`` and breaks a sequence.
 
-A sentence starts at the text's start, at a line's start or after a stop, and goes on over line ends to its stop, so
-wrapped licence texts are read as well as one-line notices; known sentences with stops inside, as "; either version 2"
-or "v. 2.0", go on past them.  Normalising lowers, drops comment signs, quotes and repeated
-white space, and writes license and & alike.  Whole texts are read; texts without any of CRITICAL's words can hold no
-known sentence and are not cut up.
+A known sentence counts wherever it stands: on a line of its own, wrapped over lines, behind comment signs, or inside a
+longer sentence, however long that is.  Normalising lowers, drops comment signs, quotes and repeated white space, and
+writes license and & alike.  An SPDX tag's expression names each licence in it; licences are written as SPDX writes
+them, those that SPELLING doesn't hold in lower case.  Whole texts are read; paragraphs without any of WORDS or
+HINTS can hold no known sentence and are not cut up.
 
 A null or empty text has no sentences.  Rows are scanned one by one, so repeated rows get equal results; an empty table
 gives an empty table; columns other than id and text play no part.
@@ -17,177 +18,302 @@ gives an empty table; columns other than id and text play no part.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import named, small_batches
 
-#: Words of which every licence sentence has one.
-CRITICAL = re.compile(r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|spdx|copyleft|\bmpl\b", re.I)
+#: A sentence that speaks of a licence has one of these, in any case; paragraphs without these or HINTS hold none.
+WORDS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "spdx", "copyleft", "all rights reserved")
+#: What else a known sentence may be told by.
+HINTS = ("gpl", "the mpl", "mpl-", "apache", "bsd", "cc by", "cc-by", "cc0", "creative commons", "wtfpl", "epl-", "cddl", "source versions", "origin of this software", "this notice may not")
 UNKNOWN = "unknown"
 
+#: Licences that notices and titles name: SPDX identifier and pattern of the name.  Fixed values.
+NAMES = (
+    ("AGPL-3.0-or-later", r"gnu affero general public license,? (?:\(agpl\) )?(?:version |v ?)3(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?"),
+    ("AGPL-3.0-only", r"(?:gnu affero general public license|agpl),?(?: license)?(?: version| v)? ?-?v?3(?:\.0)?(?: license)?"),
+    ("LGPL-2.1-or-later", r"gnu lesser general public license,? (?:version |v ?)2\.1,? or (?:\(at your option\) )?(?:any )?later(?: version)?"),
+    ("LGPL-3.0-or-later", r"gnu lesser general public license,? (?:version |v ?)3(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?"),
+    ("LGPL-2.1-only", r"(?:gnu lesser general public license|lgpl),?(?: license)?(?: version| v)? ?-?v?2\.1(?: license)?"),
+    ("LGPL-3.0-only", r"(?:gnu lesser general public license|lgpl),?(?: license)?(?: version| v)? ?-?v?3(?:\.0)?(?: license)?"),
+    ("GPL-2.0-or-later", r"gnu general public license,? (?:version |v ?)2(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?"),
+    ("GPL-3.0-or-later", r"gnu general public license,? (?:version |v ?)3(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?"),
+    ("GPL-2.0-only", r"(?:gnu general public license|gnu gpl|gpl),?(?: license)?(?: version| v)? ?-?v?2(?:\.0)?(?: license)?"),
+    ("GPL-3.0-only", r"(?:gnu general public license|gnu gpl|gpl),?(?: license)?(?: version| v)? ?-?v?3(?:\.0)?(?: license)?"),
+    ("GPL", r"gnu general public license|gnu gpl|gpl license"),
+    ("LGPL", r"gnu lesser general public license|lgpl license"),
+    ("Apache-2.0", r"apache(?: software)?(?: license)?,?(?: version| v)? ?-?v?2(?:\.0)?(?: license)?"),
+    ("Apache-1.1", r"apache(?: software)? license,? (?:version |v ?)1\.1"),
+    ("Apache", r"apache license"),
+    ("MIT", r"mit(?: expat)? license(?: \(mit\))?|expat license"),
+    ("BSD-3-Clause", r"(?:new |modified |revised )bsd license|(?:bsd )?3-clause (?:bsd )?license|bsd-3-clause(?: license)?|bsd license \(3-clause\)"),
+    ("BSD-2-Clause", r"(?:simplified |freebsd )(?:bsd )?license|(?:bsd )?2-clause (?:bsd )?license|bsd-2-clause(?: license)?|bsd license \(2-clause\)"),
+    ("BSD", r"bsd(?:-style)? license"),
+    ("ISC", r"isc license"),
+    ("MPL-2.0", r"(?:mozilla public license|mpl),?(?: version| v)? ?-?v?[. \n]*2\.0"),
+    ("MPL-1.1", r"(?:mozilla public license|mpl),?(?: version| v)? ?-?v?[. \n]*1\.1"),
+    ("EPL-2.0", r"(?:eclipse public license|epl)(?: -)?,?(?: version| v)? ?-?v?[. \n]*2\.0"),
+    ("EPL-1.0", r"(?:eclipse public license|epl)(?: -)?,?(?: version| v)? ?-?v?[. \n]*1\.0"),
+    ("CDDL-1.0", r"common development and distribution license(?: \(cddl\))?(?:,? (?:version |v ?)1\.0)?"),
+    ("BSL-1.0", r"boost software license(?:,? (?:-? ?version |v ?)1\.0)?"),
+    ("Zlib", r"zlib(?: libpng)? license"),
+    ("Artistic-2.0", r"artistic license,? (?:version |v ?)?2\.0"),
+    ("Artistic-1.0", r"artistic license(?:,? (?:version |v ?)?1\.0)?"),
+    ("Unlicense", r"unlicense(?: license)?"),
+    ("WTFPL", r"do what the fuck you want to public license|wtfpl"),
+    ("CC0-1.0", r"(?:creative commons )?(?:cc0|zero)(?:[ -]?v?1\.0)?(?: universal)?(?: public domain dedication)?(?: license)?"),
+    ("CC-BY-NC-SA-4.0", r"(?:cc[ -]by-nc-sa|creative commons attribution-noncommercial-sharealike)[ -]4\.0(?: international)?(?: license)?"),
+    ("CC-BY-NC-ND-4.0", r"(?:cc[ -]by-nc-nd|creative commons attribution-noncommercial-noderivatives)[ -]4\.0(?: international)?(?: license)?"),
+    ("CC-BY-NC-4.0", r"(?:cc[ -]by-nc|creative commons attribution-noncommercial)[ -]4\.0(?: international)?(?: license)?"),
+    ("CC-BY-NC-3.0", r"(?:cc[ -]by-nc|creative commons attribution-noncommercial)[ -]3\.0(?: unported)?(?: license)?"),
+    ("CC-BY-NC", r"(?:cc[ -]by-nc|creative commons attribution-noncommercial)(?![\w-])(?: license)?"),
+    ("CC-BY-ND-4.0", r"(?:cc[ -]by-nd|creative commons attribution-noderivatives)[ -]4\.0(?: international)?(?: license)?"),
+    ("CC-BY-SA-4.0", r"(?:cc[ -]by-sa|creative commons attribution-sharealike)[ -]4\.0(?: international)?(?: license)?"),
+    ("CC-BY-SA-3.0", r"(?:cc[ -]by-sa|creative commons attribution-sharealike)[ -]3\.0(?: unported)?(?: license)?"),
+    ("CC-BY-4.0", r"(?:cc[ -]by|creative commons attribution)[ -]4\.0(?: international)?(?: license)?"),
+    ("CC-BY-3.0", r"(?:cc[ -]by|creative commons attribution)[ -]3\.0(?: unported)?(?: license)?"),
+)
+
+#: What stands between two known halves of a sentence that holds a stop: a stop's place, or nothing of the kind.
+_GAP = r"[;:,]?[ \n]"
+_OR_LATER = rf"you can redistribute it and or modify it under the terms of the {{}} as published by the free software foundation{_GAP}either version {{}} of the license, or (?:\(at your option\) )?any later version"
 #: Known sentences, as patterns over normalised ones.  Fixed values.
 SENTENCES = (
-    ("spdx", r"spdx-license-identifier: (?P<spdx>[a-z0-9.+-]+)"),
-    ("mit-title", r"(the )?mit license( \(mit\))?"),
-    ("apache2-title", r"(the )?apache license,? (version|v) ?2(\.0)?(, january 2004)?"),
-    ("mit-notice", r"(this \w+ is )?(released|licensed|distributed|available) under (the )?(terms of )?(the )?mit license"),
-    ("apache2-notice", r"(this \w+ is )?licensed under the apache license, version 2(\.0)?( \(the license\))?"),
-    ("apache2-file", r"you may not use this file except in compliance with the license"),
-    ("apache2-copy", r"you may obtain a copy of the license at.*"),
-    ("apache2-basis", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis.*"),
+    ("spdx", r"spdx-license-identifier: ?(?P<spdx>\(*[a-z0-9.+-]+\)*(?: (?:or|and|with) \(*[a-z0-9.+-]+\)*)*)"),
+    ("apache2-notice", r"licensed under the apache license, version 2(?:\.0)?(?: \(the license\))?(?=[;,.]?[ \n]+you may not use)"),
+    ("apache2-file", r"you may not use (?:this file|this work|this software|it) except in compliance with the license"),
+    ("apache2-copy", r"you may obtain a copy of the license at"),
+    ("apache2-basis", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis"),
     ("apache2-see", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("gpl2-notice", r"(this \w+ is )?licensed under the gnu general public license,? (version|v) ?2(\.0)?"),
-    ("gpl3-notice", r"(this \w+ is )?licensed under the gnu general public license,? (version|v) ?3(\.0)?"),
-    ("gpl-notice", r"(this \w+ is )?licensed under the gnu general public license"),
-    ("gpl2-later", r"(this \w+ is free software[;:] )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation[;,] either version 2 of the license, or (\(at your option\) )?any later version"),
-    ("gpl3-later", r"(this \w+ is free software[;:] )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation[;,] either version 3 of the license, or (\(at your option\) )?any later version"),
-    ("lgpl-later", r"(this \w+ is free software[;:] )?you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation[;,] either version (2\.1|3) of the license, or (\(at your option\) )?any later version"),
-    ("gpl-hope", r"this program is distributed in the hope that it will be useful, but without any warranty.*"),
-    ("lgpl-notice", r"(this \w+ is )?licensed under the gnu lesser general public license,? (version|v) ?(2\.1|3)(\.0)?"),
-    ("cc-by-nc4", r"(this \w+ is )?licensed under (the |a )?(cc by-nc 4\.0|creative commons attribution-noncommercial 4\.0( international)?)( license)?"),
-    ("cc-by-nc3", r"(this \w+ is )?licensed under (the |a )?(cc by-nc 3\.0|creative commons attribution-noncommercial 3\.0( unported)?)( license)?"),
-    ("cc-by-nc", r"(this \w+ is )?licensed under (the |a )?cc by-nc( \d\.\d)?"),
-    ("cc-by-sa4", r"(this \w+ is )?licensed under (the |a )?(cc by-sa 4\.0|creative commons attribution-sharealike 4\.0( international)?)( license)?"),
-    ("cc-by4", r"(this \w+ is )?licensed under (the |a )?(cc by 4\.0|creative commons attribution 4\.0( international)?)( license)?"),
-    ("mpl2", r"this source code form is subject to the terms of the mozilla public license, v\. ?2\.0"),
-    ("mpl2-copy", r"if a copy of the mpl was not distributed with this file, you can obtain one at.*"),
-    ("mit-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.*"),
-    ("mit-copies", r"the above copyright notice and this permission notice( \(including the next paragraph\))? shall be included in all copies or substantial portions of the software"),
-    ("as-is", r"the software is provided as is,? without warranty of any kind, express or implied.*"),
-    ("isc-as-is", r"the software is provided as is and (the author|\w+) disclaims all warranties with regard to this software.*"),
-    ("isc-grant", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("agpl3-later", _OR_LATER.format("gnu affero general public license", "3")),
+    ("lgpl21-later", _OR_LATER.format("gnu lesser general public license", r"2\.1")),
+    ("lgpl3-later", _OR_LATER.format("gnu lesser general public license", "3")),
+    ("gpl2-later", _OR_LATER.format("gnu general public license", "2")),
+    ("gpl3-later", _OR_LATER.format("gnu general public license", "3")),
+    ("free-software", r"this \w+ is free software"),
+    ("gpl-implied", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl-hope", r"this \w+ is distributed in the hope that it will be useful, but without any warranty"),
+    ("gpl-see", r"see the gnu (?:lesser |affero )?general public license for more details"),
+    ("gpl-copy", r"you should have received a copy of the gnu (?:lesser |affero )?general public license along with this \w+"),
+    ("mpl2", r"this source code form is subject to the terms of the mozilla public license, v[. \n]*2\.0"),
+    ("mpl2-copy", r"if a copy of the mpl was not distributed with this file, you can obtain one at"),
+    ("mit-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("bsl-grant", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("mit-copies", r"the above copyright notice and this permission notice(?: \(including the next paragraph\))? shall be included in all copies or substantial portions of the software"),
+    ("as-is", r"the software is provided as is,? without warranty of any kind, express or implied"),
+    ("isc-as-is", r"the software is provided as is and (?:the author|\w+) disclaims all warranties with regard to this software"),
+    ("isc-grant", r"permission to use, copy, modify, and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib-as-is", r"this software is provided as-is, without any express or implied warranty"),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("zlib-origin", r"the origin of this software must not be misrepresented"),
+    ("zlib-altered", r"altered source versions must be plainly marked as such"),
+    ("zlib-notice", r"this notice may not be removed or altered from any source distribution"),
     ("bsd-grant", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd-source", r"(\d\. ?|- ?|\(\w\) ?)?redistributions of source code must retain the above copyright notice.*"),
-    ("bsd-binary", r"(\d\. ?|- ?|\(\w\) ?)?redistributions in binary form must reproduce the above copyright notice.*"),
-    ("bsd-names", r"(\d\. ?|- ?|\(\w\) ?)?neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-as-is", r"this software is provided by .* as is and any express or implied warranties.*"),
-    ("public-domain", r"this (is free and unencumbered software|\w+ is|work is) (released into|dedicated to|in) the public domain"),
-    ("copyright", r"copyright( \(c\)| ©)? .*"),
-    ("all-rights", r".*all rights reserved.*copyright.*"),
+    ("bsd-source", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-names", r"neither the name of (?:(?!neither the name of)[^\0])*?may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-as-is", r"this software is provided by (?:(?!this software is provided)[^\0])*?as is and any express or implied warranties"),
+    ("bsl-as-is", r"distributed under the boost software license, version 1\.0"),
+    ("epl-available", r"this program and the accompanying materials are made available under the terms of the eclipse public license(?: -)?,? v(?:ersion)?[. \n]*(?P<epl>[12]\.0)"),
+    ("unlicense-free", r"this is free and unencumbered software released into the public domain"),
+    ("cc0-waived", r"to the extent possible under law, (?:(?!to the extent)[^\n])*? waived all copyright"),
+    ("public-domain", r"is (?:released into|dedicated to|placed in|in) the public domain"),
+    ("public-domain", r"(?:hereby|been) (?:released into|dedicated to|placed in|in) the public domain"),
+    ("copyright", r"copyright(?: \(c\)| ©)? \d{4}"),
+    ("copyright", r"(?m:^)copyright\b"),
+    ("all-rights", r"all rights reserved"),
 )
 
-#: Ordered rules: at a place of the sequence the first that fits names the licence.
+#: Ordered rules: at a place of the sequence the first that fits names the licence.  Notices and titles come after these.
 RULES = (
     ("Apache-2.0", ("apache2-notice", "apache2-file", "apache2-copy", "apache2-basis", "apache2-see")),
-    ("GPL-2.0-or-later", ("gpl2-later", "gpl-hope")),
-    ("GPL-3.0-or-later", ("gpl3-later", "gpl-hope")),
-    ("MIT", ("mit-title", "mit-grant", "mit-copies", "as-is")),
+    ("Apache-2.0", ("apache2-notice", "apache2-file", "apache2-copy", "apache2-basis")),
+    ("AGPL-3.0-or-later", ("agpl3-later", "gpl-hope", "gpl-implied", "gpl-see", "gpl-copy")),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "gpl-hope", "gpl-implied", "gpl-see", "gpl-copy")),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "gpl-hope", "gpl-implied", "gpl-see", "gpl-copy")),
+    ("GPL-2.0-or-later", ("gpl2-later", "gpl-hope", "gpl-implied", "gpl-see", "gpl-copy")),
+    ("GPL-3.0-or-later", ("gpl3-later", "gpl-hope", "gpl-implied", "gpl-see", "gpl-copy")),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("GPL-2.0-or-later", ("gpl2-later",)),
+    ("GPL-3.0-or-later", ("gpl3-later",)),
+    ("MIT", ("title:MIT", "mit-grant", "mit-copies", "as-is")),
     ("MIT", ("mit-grant", "mit-copies", "as-is")),
+    ("MIT", ("mit-grant", "as-is")),
+    ("ISC", ("title:ISC", "isc-grant", "isc-as-is")),
     ("ISC", ("isc-grant", "isc-as-is")),
     ("ISC", ("isc-grant", "as-is")),
+    ("BSL-1.0", ("title:BSL-1.0", "bsl-grant", "as-is")),
+    ("BSL-1.0", ("bsl-grant", "as-is")),
+    ("Zlib", ("zlib-as-is", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSD-3-Clause", ("title:BSD-3-Clause", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is")),
+    ("BSD-2-Clause", ("title:BSD-2-Clause", "bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("MPL-2.0", ("mpl2", "mpl2-copy")),
     ("Apache-2.0", ("apache2-notice", "apache2-file")),
     ("Apache-2.0", ("apache2-notice",)),
-    ("GPL-2.0-or-later", ("gpl2-later",)),
-    ("GPL-3.0-or-later", ("gpl3-later",)),
-    ("GPL-2.0-only", ("gpl2-notice",)),
-    ("GPL-3.0-only", ("gpl3-notice",)),
-    ("GPL", ("gpl-notice",)),
-    ("LGPL", ("lgpl-notice",)),
-    ("LGPL", ("lgpl-later",)),
-    ("MIT", ("mit-notice",)),
     ("MIT", ("mit-grant",)),
-    ("MIT", ("mit-title",)),
-    ("Apache-2.0", ("apache2-title",)),
+    ("BSL-1.0", ("bsl-as-is",)),
     ("MPL-2.0", ("mpl2",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc4",)),
-    ("CC-BY-NC-3.0", ("cc-by-nc3",)),
-    ("CC-BY-NC", ("cc-by-nc",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa4",)),
-    ("CC-BY-4.0", ("cc-by4",)),
+    ("EPL-1.0", ("epl-available:1.0",)),
+    ("EPL-2.0", ("epl-available:2.0",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("CC0-1.0", ("cc0-waived",)),
     ("public-domain", ("public-domain",)),
 )
 
-STARTS = re.compile(r"^|(?<=\n)|(?<=[.!?;:] )", re.M)
-STOP = re.compile(r"[.!?;](?=\s|\Z)|:(?=[ \t]*(?:\n|\Z))|(?<=(?i:conditions)):(?=\s)|(?<=(?i:conditions are met)):(?=\s)|\n[ \t#*/]*\n|\Z")
-#: Beginnings of known sentences that hold stops of their own; these may go on to a later stop of the paragraph.
-GOES_ON = re.compile(r"\W*" + r"[\W_]+".join(r"(?:this \w+ is free software|you can redistribute it|this source code form is|neither the name of|this software is provided by)".split(" ")), re.I)
-QUOTES, NOISE = re.compile("[\"'`“”‘’]+"), re.compile(r"[*#/|]+|\s+")
-#: Characters that a normalised sentence may take; the longest known sentence is far shorter.
-REACH = 1200
+#: SPDX identifiers as they are written, and the ones that older spellings stand for.  Fixed values.
+SPELLING = {x.lower(): x for x in (
+    "MIT", "MIT-0", "Apache-1.1", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "0BSD", "ISC", "Zlib", "BSL-1.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CDDL-1.0", "CDDL-1.1",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Artistic-1.0", "Artistic-2.0", "Unlicense", "WTFPL", "CC0-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-3.0",
+    "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "PSF-2.0", "Python-2.0", "Ruby", "OFL-1.1", "NCSA", "PostgreSQL", "X11", "BlueOak-1.0.0", "EUPL-1.2", "MS-PL", "OpenSSL", "Vim", "curl",
+)} | {
+    "gpl-2.0": "GPL-2.0-only", "gpl-2.0+": "GPL-2.0-or-later", "gpl-3.0": "GPL-3.0-only", "gpl-3.0+": "GPL-3.0-or-later", "lgpl-2.1": "LGPL-2.1-only", "lgpl-2.1+": "LGPL-2.1-or-later",
+    "lgpl-3.0": "LGPL-3.0-only", "lgpl-3.0+": "LGPL-3.0-or-later", "agpl-3.0": "AGPL-3.0-only", "agpl-3.0+": "AGPL-3.0-or-later",
+}
+
+#: A stop ends a sentence; so do a colon at a line's end and one behind "conditions".
+STOP = re.compile(r"[.!?;]+(?=\s|\Z)|:(?=[ \t]*(?:\n|\Z))|(?<=(?i:conditions)):(?=\s)|(?<=(?i:conditions are met)):(?=\s)")
+#: What parts paragraphs: a line with nothing but comment signs.
+PARAGRAPH = re.compile(r"\n(?:[ \t\r#*/|;%-]*\n)+")
+#: Comment signs at a line's start, and quotes and signs anywhere.
+COMMENT = re.compile(r"(?m)^[ \t]*(?:#+|/[/*]+|\*+/?|;+|--+|%+|>+|<!--|dnl\b|rem\b)[ \t]*")
+QUOTES, NOISE = re.compile("[\"'`“”‘’]+"), re.compile(r"[*#/|\0]+|\s+")
+_AND = re.compile(r"\band/or\b")
 
 
 def normalised(sentence: str) -> str:
-    s = NOISE.sub(" ", QUOTES.sub("", sentence).lower().replace("licence", "license").replace("&", "and").replace("and/or", "and or"))
-    return " ".join(s.split()).strip(" .!?:;,-")
+    s = QUOTES.sub("", COMMENT.sub(" ", sentence)).lower().replace("licence", "license").replace("&", "and")
+    return " ".join(NOISE.sub(" ", _AND.sub("and or", s)).split()).strip(" .!?:;,-")
 
 
-_KNOWN = tuple((name, re.compile(p.replace("and/or", "and or"))) for name, p in SENTENCES)
+def _known() -> dict[str, re.Pattern]:
+    """Known sentences by the word that they start with, each set in one pattern; of those that fit at a place the first counts."""
+    by_word: dict[str, list[str]] = {}
+    for k, (_, p) in enumerate(SENTENCES):
+        first = re.match(r"(?:\(\?m:\^\))?(?:\(\?:([a-z|]+)\)|([a-z-]+))", p)
+        for word in (first[1] or first[2]).split("|"):
+            by_word.setdefault(word, []).append(f"(?P<s{k}>{p})")
+    under = r"(?:under|by|subject to) (?:the |a |an )?(?:terms (?:and conditions )?of )?(?:the |a |an )?"
+    notice = f"{under}(?:" + "|".join(f"(?P<n{k}>{p})" for k, (_, p) in enumerate(NAMES)) + ")"
+    for word in ("under", "by", "subject"):
+        by_word.setdefault(word, []).append(notice)
+    return {w: re.compile("(?:" + "|".join(ps) + r")(?![\w-])") for w, ps in by_word.items()}
 
 
-def identifier(sentence: str) -> str | None:
-    """The identifier of a normalised sentence; the licence itself for an SPDX tag; None if no pattern knows it."""
-    for name, pattern in _KNOWN:
-        if m := pattern.fullmatch(sentence):
-            return f"spdx:{m['spdx']}" if name == "spdx" else name
-    return None
+KNOWN = _known()
+#: A licence's name as a sentence's beginning that nothing but a heading's rest follows.
+TITLE = re.compile("(?:the )?(?:" + "|".join(f"(?P<t{k}>{p})" for k, (_, p) in enumerate(NAMES)) + r")(?=$|,? \(|,? copyright|,? version|,? january|,? http)", re.M)
+#: Where a known sentence may start.
+START = re.compile(r"(?m)^|(?<![\w-])(?=(?:" + "|".join(sorted(map(re.escape, KNOWN))) + r")(?![\w-]))")
+FIRST = re.compile(r"[\w-]*")
 
 
-def known_whole(text: str, i: int, stop: re.Match | None) -> tuple[str, int] | None:
-    """The identifier of a sentence with stops inside, and its end: the first stop in reach at which a pattern knows it."""
-    end = min(len(text), i + REACH)
-    while stop and not stop[0].startswith("\n"):
-        if found := identifier(normalised(text[i : stop.start()])):
-            return found, max(stop.start(), i + 1)
-        if stop.end() <= stop.start() or stop.end() >= end:
-            return None
-        stop = STOP.search(text, stop.end(), end)
-    return (found, max(stop.start(), i + 1)) if stop and (found := identifier(normalised(text[i : stop.start()]))) else None
+def _name(m: re.Match) -> str:
+    """The identifier of a match."""
+    kind, k = m.lastgroup[0], int(m.lastgroup[1:])
+    if kind == "n":
+        return f"notice:{NAMES[k][0]}"
+    if kind == "t":
+        return f"title:{NAMES[k][0]}"
+    name = SENTENCES[k][0]
+    return f"spdx:{m['spdx']}" if name == "spdx" else f"{name}:{m['epl']}" if name == "epl-available" else name
 
 
-def identifiers(text: str | None) -> list[tuple[int, str]]:
-    """(start, identifier) of every licence sentence, in order; those that no pattern knows are unknown."""
-    text = text or ""
-    if not CRITICAL.search(text):
-        return []
-    out, at, pending = [], 0, None  # pending: start and words of a sentence begun on an earlier line and not known there
-    for start in STARTS.finditer(text):
+def known_in(lines: str) -> list[re.Match]:
+    """The known sentences that stand in normalised ones, set one to a line, from left to right; none overlaps another."""
+    out, at = [], 0
+    for start in START.finditer(lines):
         i = start.start()
         if i < at:
             continue
-        stop = STOP.search(text, i, min(len(text), i + REACH)) or None
-        j = stop.start() if stop else min(len(text), i + REACH)
-        if whole := known_whole(text, i, stop) if GOES_ON.match(text, i, min(len(text), i + 100)) else None:
-            out.append((i, whole[0]))
-            at = whole[1]
-            continue
-        if not CRITICAL.search(text, i, j):
-            continue
-        sentence = normalised(text[i:j])
-        if re.fullmatch(r"https?: *[^ ]+( [^ ]+)*", sentence) and " " not in text[i:j].strip(" \t\n#*/"):
-            continue  # an address alone is no sentence
-        found = identifier(sentence)
-        if found is None:
-            line = text.find("\n", i, j)
-            if line >= 0:
-                found, end = identifier(normalised(text[i:line])), line
-                if found is None and CRITICAL.search(text, line, j):
-                    continue  # the licence sentence may start at a later line
-                j = end if found else j
-        out.append((i, found or UNKNOWN))
-        at = max(j, i + 1)
+        pattern = KNOWN.get(FIRST.match(lines, i)[0])
+        m = pattern.match(lines, i) if pattern else None
+        if m is None and (i == 0 or lines[i - 1] == "\n"):
+            m = TITLE.match(lines, i)
+        if m:
+            out.append(m)
+            at = m.end()
+    return out
+
+
+def sentences(text: str) -> list[tuple[int, str]]:
+    """(start, normalised sentence) of a paragraph's sentences; those of which nothing is left are passed over."""
+    out, at = [], 0
+    for stop in STOP.finditer(text):
+        out.append((at, text[at : stop.start()]))
+        at = stop.end()
+    out.append((at, text[at:]))
+    return [(i, s) for i, s in ((i, normalised(s)) for i, s in out) if s]
+
+
+def speaks(text: str, words: tuple[str, ...] = WORDS + HINTS) -> bool:
+    """Whether a text in lower case holds one of the words."""
+    return any(w in text for w in words)
+
+
+def identifiers(text: str | None) -> list[tuple[int, str]]:
+    """(start of its sentence, identifier) of every licence sentence, in order; those that no pattern knows are unknown."""
+    text = text or ""
+    if not speaks(text.lower()):
+        return []
+    out, at = [], 0
+    for part in [*PARAGRAPH.finditer(text), None]:
+        paragraph = text[at : part.start() if part else len(text)]
+        if speaks(paragraph.lower()):
+            out += [(at + i, name) for i, name in _of_paragraph(paragraph)]
+        at = part.end() if part else len(text)
     return out
 
 
+def _of_paragraph(text: str) -> list[tuple[int, str]]:
+    found = sentences(text)
+    begins, k = [], 0
+    for _, s in found:
+        begins.append(k)
+        k += len(s) + 1
+    out, held = [], set()
+    for m in known_in("\n".join(s for _, s in found)):
+        first = bisect_right(begins, m.start()) - 1
+        held.update(range(first, bisect_right(begins, m.end() - 1)))
+        out.append((m.start(), found[first][0], _name(m)))
+    out += [(b, i, UNKNOWN) for k, (b, (i, s)) in enumerate(zip(begins, found)) if k not in held and speaks(s, WORDS)]
+    return [(i, name) for _, i, name in sorted(out)]
+
+
+def spdx_licences(expression: str) -> list[str]:
+    """The licences of an SPDX expression, each once; exceptions (after with) name none."""
+    words = expression.replace("(", " ").replace(")", " ").split()
+    named_here = [w for k, w in enumerate(words) if w not in ("or", "and", "with") and (not k or words[k - 1] != "with")]
+    return list(dict.fromkeys(SPELLING.get(w, w) for w in named_here))
+
+
+_BY_FIRST: dict[str, list] = {}
+for _rule in RULES:
+    _BY_FIRST.setdefault(_rule[1][0], []).append(_rule)
+
+
 def licences(names: list[str]) -> list[str]:
     """Licences that the ordered rules find in a sequence of identifiers; copyright lines don't break a sequence."""
-    names = [x for x in names if x not in ("copyright", "all-rights")]
+    names = [x for x in names if x not in ("copyright", "all-rights", "free-software")]
     out, k = [], 0
     while k < len(names):
-        if names[k].startswith("spdx:"):
-            out.append(names[k][5:])
-            k += 1
-            continue
-        for licence, rule in RULES:
+        kind, _, rest = names[k].partition(":")
+        for licence, rule in _BY_FIRST.get(names[k], ()):
             if tuple(names[k : k + len(rule)]) == rule:
                 out.append(licence)
                 k += len(rule)
                 break
         else:
+            out += spdx_licences(rest) if kind == "spdx" else [rest] if kind in ("notice", "title") else []
             k += 1
     return out
 
@@ -200,10 +326,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
         for batch in batches:
             seqs = [[x for _, x in identifiers(t.as_py())] for t in batch.column(1)]
-            named = [list(dict.fromkeys(licences(s))) for s in seqs]
-            columns = (pa.array(seqs, pa.list_(pa.string())), pa.array(named, pa.list_(pa.string())), pa.array(map(len, seqs), pa.int64()), pa.array([s.count(UNKNOWN) for s in seqs], pa.int64()))
+            told = [list(dict.fromkeys(licences(s))) for s in seqs]
+            columns = (pa.array(seqs, pa.list_(pa.string())), pa.array(told, pa.list_(pa.string())), pa.array(map(len, seqs), pa.int64()), pa.array([s.count(UNKNOWN) for s in seqs], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "sentences", "licences", "n_sentences", "n_unknown"])
 
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, sentences array<string>, licences array<string>, n_sentences long, n_unknown long")
+    many = T.ArrayType(T.StringType())
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("sentences", many), T.StructField("licences", many), T.StructField("n_sentences", T.LongType()), T.StructField("n_unknown", T.LongType())])
+    return docs.select(named(docs, id_col).alias("_id"), named(docs, text_col).cast("string").alias("_text")).mapInArrow(run, out)
