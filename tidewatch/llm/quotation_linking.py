@@ -1,17 +1,19 @@
 """Quotation linking: conversations rebuilt from quotes, and told without them.
 
-A line's leading ``>`` signs are its quote level.  Lines of one level form passages, parted by blank lines; a line that
-says who wrote what is quoted below belongs to the quote.  A passage, and each of its lines, is normalised (lower case,
-single spaces) and hashed.  Hashes of quoted passages are joined, within a conversation, to the first message that holds
-the passage, or else the line, as its own.  The message that the least nested linked quote comes from, the latest of
-several, is the parent.  Parents are followed by doubling, so a reply's first message and depth take rounds in the
-logarithm of the longest chain.  Each conversation is told by first message, then turn: every message after its parent,
-with its own lines only.
-
-Originals are reduced to one row per conversation and hash before the join, so a passage that stands in many messages
-joins each quote once.  A null or empty text has no lines of its own and no quotes.  Rows without conversation or turn
-are told, but link to nothing.  Repeated rows stay, with equal links.  A quote whose original isn't found, or stands in
-no earlier turn, links to nothing.  An empty table gives an empty table.
+A line's leading ``>`` signs are its quote level.  Lines end with a line feed, before which a carriage return may stand;
+no other character ends a line.  Lines of one level form passages, parted by blank lines; a line that says who wrote what
+is quoted below belongs to the quote.  A passage, and each of its lines, is normalised (lower case, single spaces) and
+hashed.  Hashes of quoted passages are joined, within a conversation, to the latest earlier message that holds the
+passage, or else the line, as its own.  The message that the least nested linked quote comes from, the latest of several,
+is the parent.  Parents are followed by doubling, so a reply's first message and depth take rounds in the logarithm of
+the longest chain.  Each conversation is told by first message, then turn: every message after its parent, with its own
+lines only, as they are written but for blank lines at the text's ends.
+
+The join is as of the quoting turn: a conversation's turns are cut to spans of SPAN, each span of a passage gets the
+latest holder before it, and the rest is a running last value inside the span.  So a passage that stands in a third of
+all messages is many small windows.  A null or empty text has no lines of its own and no quotes.  Rows without
+conversation or turn are told, but link to nothing.  Repeated rows stay, with equal links.  A quote whose original isn't
+found, or stands in no earlier turn, links to nothing.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,10 +21,14 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import small_batches, written
+from .shared import named, small_batches, written
+
+#: Turns of a conversation that meet in one window.
+SPAN = 1024
 
 QUOTE = re.compile(r"(?:[ \t]*>)+")
 ATTRIBUTION = re.compile(r"\s*(on|le|am|el)\b.*\b(wrote|écrit|schrieb|escribió)\s*:\s*$|.*\b(wrote|a écrit|schrieb|escribió)\s*:\s*$", re.I)
@@ -31,14 +37,14 @@ ATTRIBUTION = re.compile(r"\s*(on|le|am|el)\b.*\b(wrote|écrit|schrieb|escribió
 def parsed(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """Own text, and (level, passage) of every passage in order, level 0 included."""
     rows = []
-    for line in (text or "").splitlines():
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text or ""):
         m = QUOTE.match(line)
         rows.append((m[0].count(">"), line[m.end() :]) if m else (0, line))
     own, passages, level, held = [], [], None, []
 
     def close():
         if held:
-            passages.append((level, "\n".join(held)))
+            passages.append((level, "\n".join(x.removesuffix("\n").removesuffix("\r") for x in held)))
         held.clear()
 
     following = [next_level for next_level, _ in rows[1:]] + [0]
@@ -54,7 +60,7 @@ def parsed(text: str | None) -> tuple[str, list[tuple[int, str]]]:
         if content.strip():
             held.append(content)
     close()
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n"), passages
+    return "".join(own).strip("\r\n"), passages
 
 
 def mark(passage: str) -> str:
@@ -72,6 +78,21 @@ def units(passages: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
+def latest_holders(each: DataFrame, span: int = SPAN) -> DataFrame:
+    """conv_id, turn, level, kind, hash of units -> conv_id, turn, hash, where, whole, original: quotes with the latest earlier turn that holds them."""
+    at = F.floor(F.col("turn") / span)
+    # a turn's quotes of a passage and its own lines are one row of each sort
+    rows = each.groupBy("conv_id", "hash", "turn", (F.col("level") == 0).alias("own")).agg(F.min(F.struct("level", "kind")).alias("where"), F.max((F.col("kind") == 0).cast("int")).alias("whole"))
+    rows = rows.withColumn("span", at)
+    last = rows.filter("own").groupBy("conv_id", "hash", "span").agg(F.max("turn").alias("last"))
+    spans = rows.filter("NOT own").select("conv_id", "hash", "span").distinct().join(last, ["conv_id", "hash", "span"], "full")
+    before = Window.partitionBy("conv_id", "hash").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    brought = spans.withColumn("turn", F.max("last").over(before)).filter("turn IS NOT NULL").select("conv_id", "hash", "turn", F.lit(True).alias("own"), F.lit(None).cast(rows.schema["where"].dataType).alias("where"), F.lit(0).alias("whole"), "span")
+    earlier = Window.partitionBy("conv_id", "hash", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    met = rows.unionByName(brought).withColumn("original", F.max(F.when(F.col("own"), F.col("turn"))).over(earlier))
+    return met.filter("NOT own AND original IS NOT NULL").select("conv_id", "turn", "hash", "where", "whole", "original")
+
+
 def link(messages: DataFrame, carry: tuple[str, ...] = ("role",)) -> DataFrame:
     """messages (conv_id, turn, text, carry) -> conv_id, turn, carry, own_text, n_quoted (passages), n_linked, parent_turn, root_turn, depth."""
 
@@ -86,14 +107,12 @@ def link(messages: DataFrame, carry: tuple[str, ...] = ("role",)) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(own, pa.string()), pa.array(quoted, unit), pa.array(n, pa.int64())], ["conv_id", "turn", "more", "own_text", "units", "n_quoted"])
 
     small_batches(messages.sparkSession)
-    more = F.struct(*[messages[c].alias(c) for c in carry])
+    more = F.struct(*[named(messages, c).alias(c) for c in carry])
     rows = messages.select(messages["conv_id"].cast("long").alias("conv_id"), messages["turn"].cast("long").alias("turn"), more.alias("more"), messages["text"].cast("string").alias("text"))
-    kind = rows.schema["more"].dataType.simpleString()
-    told = written(rows.mapInArrow(run, f"conv_id long, turn long, more {kind}, own_text string, units array<struct<level:int,kind:int,hash:string>>, n_quoted long"), "parsed")
+    out = T._parse_datatype_string("conv_id long, turn long, own_text string, units array<struct<level:int,kind:int,hash:string>>, n_quoted long").fields
+    told = written(rows.mapInArrow(run, T.StructType([*out[:2], rows.schema["more"], *out[2:]])), "parsed")
     each = told.select("conv_id", "turn", F.explode("units").alias("u")).select("conv_id", "turn", "u.*").filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-    originals = each.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
-    quotes = each.filter("level > 0").groupBy("conv_id", "turn", "hash").agg(F.min(F.struct("level", "kind")).alias("where"), F.max((F.col("kind") == 0).cast("int")).alias("whole"))
-    linked = quotes.join(originals, ["conv_id", "hash"]).filter("original < turn")
+    linked = latest_holders(each)
     best = F.min_by("original", F.struct("where.level", "where.kind", -F.col("original"))).alias("parent_turn")
     parents = written(linked.groupBy("conv_id", "turn").agg(best, F.sum("whole").alias("n_linked")), "parents")
     # (turn, up, steps): up is an ancestor, steps away; doubled until every up has no parent.  Messages that have
@@ -115,7 +134,7 @@ def link(messages: DataFrame, carry: tuple[str, ...] = ("role",)) -> DataFrame:
     links = parents.join(chain, ["conv_id", "turn"])
     out = told.join(links, ["conv_id", "turn"], "left")
     return out.select(
-        "conv_id", "turn", *[F.col("more")[c].alias(c) for c in carry], "own_text", "n_quoted",
+        "conv_id", "turn", *[F.col("more").getField(c).alias(c) for c in carry], "own_text", "n_quoted",
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         "parent_turn", F.coalesce("up", "turn").alias("root_turn"), F.coalesce("steps", F.lit(0)).cast("long").alias("depth"),
     )
@@ -127,10 +146,10 @@ def conversations(messages: DataFrame, carry: tuple[str, ...] = ("role",)) -> Da
 
 
 def as_mail(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a chat written as mail: each turn quotes the one before, and in it the one before that."""
-    one = turns.select("conv_id", "turn", "text").dropDuplicates(["conv_id", "turn"])
+    """conv_id, turn, role, text of a chat written as mail: each turn quotes the one before, and in it the one before that; of a repeated turn the smallest text."""
+    one = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     before = lambda n: one.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"t{n}"))
-    quoted = lambda c, sign: F.regexp_replace(F.col(c), r"(?m)^", sign)
+    quoted = lambda c, sign: F.regexp_replace(F.col(c), r"(?md)^", sign)
     d = turns.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
     deep = F.concat(F.lit("> Someone wrote:\n"), quoted("t2", "> > "), F.lit("\n"))
     quote = F.concat(F.lit("Someone wrote:\n"), F.coalesce(deep, F.lit("")), quoted("t1", "> "), F.lit("\n\n"))
