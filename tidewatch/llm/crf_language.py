@@ -1,16 +1,20 @@
 """Language of words by a linear-chain conditional random field, and of documents by their words.
 
-A word is a run of letters, lower-cased.  Its features are its affixes of one to four letters, its two- and
-three-letter n-grams with its ends marked, itself, and for each language whether a lexicon of that language's
-characteristic words, learned as well, holds it.  A chain's score adds feature weights and learned transitions;
+A word is a run of letters with their combining marks, lower-cased; a run of more than LONGEST letters goes on in words
+of at most LONGEST, and in scripts that are written without spaces every letter is a word of its own, so every letter
+of a text counts.  A word's features are its affixes of one to four letters, its two- and three-letter n-grams with its
+ends marked, itself, and for each language whether a lexicon of that language's characteristic words, learned as well,
+holds it.  A chain's score adds feature weights and learned transitions;
 forward-backward gives each word's probability of each language in its whole text, so words of code-switched text
 get labels of their own.  A document's language has the largest mean probability over its words; that mean is its
 score.
 
-Fitting takes a bounded sample: of each of the LANGS most frequent languages the DOCS documents of smallest md5 of
-their id, and of each of these WINDOWS runs of RUN words, spread over the whole text.  Some runs of different
-languages are joined to chains, so that transitions are learned from switches.  Everything else covers all rows and
-whole texts: a long chain is cut into blocks whose transfer matrices are multiplied, which is exact.
+Every label that stands in the table is a class.  Fitting takes a bounded sample: of each language the DOCS documents
+of smallest md5 of their id, and of each of these WINDOWS runs of RUN words, spread over the whole text.  Some runs of
+different languages are joined to chains, so that transitions are learned from switches.  Everything else covers all
+rows and whole texts: a long chain is cut into blocks whose transfer matrices are multiplied, which is exact.  With many
+languages features are hashed to fewer slots, so that a model holds MODEL_BYTES at most; over MOST_LANGS labels are no
+languages and an error.
 
 A text that is null or has no letter is ``und`` with score 0.  If no row is labelled, all are ``und``.  Ties go to the
 language that comes first in code-point order.  Repeated rows get equal results; an empty table gives an empty table.
@@ -23,38 +27,61 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import named, small_batches
 
-LANGS, DOCS, WINDOWS, RUN = 64, 300, 4, 24
-#: Weights, hashed; words kept with their scores in a Python worker; words of a block; words labelled at a time.
-SLOTS, CACHE_WORDS, BLOCK, BATCH_WORDS = 1 << 16, 150_000, 32, 100_000
+DOCS, WINDOWS, RUN, MOST_LANGS = 300, 4, 24, 2048
+#: Slots of hashed weights, fewer with many languages; bytes of all of these.
+SLOTS, MODEL_BYTES = 1 << 16, 1 << 25
+#: Scores kept in a Python worker, in numbers; words of a block; numbers of a word and language labelled at a time.
+CACHE_SCORES, BLOCK, BATCH_SCORES = 600_000, 32, 400_000
 LEXICON, LEXICON_SHARE = 200, 0.8
-#: Letters of a word whose features count; the marks at its ends stand beside these.
+#: Letters of a word; a longer run is several words.
 LONGEST = 40
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Scripts written without spaces between words: Thai to Tibetan, Myanmar, Khmer, kana, Han.  Fixed values.
+UNSPACED = "\u0e01-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aad\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\U0001b000-\U0001b16f\U00020000-\U000323af"
 UNKNOWN = "und"
 
 
+#: Words of texts without characters from U+0300 on, of which the last six look like letters to re; what tells of such.
+PLAIN, FAR = re.compile(rf"[^\W\d_²³¹¼½¾]{{1,{LONGEST}}}"), re.compile("[\u0300-\U0010ffff]")
+#: Runs of letters and marks of any text; letters of scripts without spaces, each with its marks.
+RUNS, LONE = regex.compile(r"\p{L}[\p{L}\p{M}]*+"), regex.compile(rf"[{UNSPACED}]\p{{M}}*+|(?:[^{UNSPACED}]\p{{M}}*+){{1,{LONGEST}}}+")
+
+
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+    """The words of a whole text, lower-cased."""
+    low = (text or "").lower()
+    if not FAR.search(low):
+        return PLAIN.findall(low)
+    return [w for run in RUNS.findall(low) for w in ((run,) if run.isascii() and len(run) <= LONGEST else LONE.findall(run))]
+
+
+def slots_for(n_langs: int) -> int:
+    """SLOTS, halved until the weights of n_langs languages fit in MODEL_BYTES."""
+    slots = SLOTS
+    while slots * n_langs * 4 > MODEL_BYTES and slots > 256:
+        slots //= 2
+    return slots
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all features of words, and the number of the word that each belongs to.
+def features(words: list[str], n_slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all features of words, of every letter, and the number of the word that each belongs to.
 
     A feature's slot is a hash of its characters, its kind and its length, taken for all words at once.
     """
-    marked = [f"<{w[:LONGEST]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     c = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     end = np.cumsum(size)
     start = end - size
     word = np.repeat(np.arange(len(marked)), size)
     place = np.arange(len(c)) - start[word]
-    slots, owners = [_slot(np.add.reduceat(c * _powers(LONGEST + 2)[place], start), 1)], [np.arange(len(marked))]
+    slots, owners = [_slot(np.add.reduceat(c * _powers(int(size.max()))[place], start), 1)], [np.arange(len(marked))]
     for n in (2, 3):
         at = np.flatnonzero(place + n <= size[word])
         slots.append(_slot(sum(c[at + k] * _powers(n)[k] for k in range(n)), n))
@@ -64,11 +91,12 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for salt, head in ((8, start[has]), (16, end[has] - n)):
             slots.append(_slot(sum(c[head + k] * _powers(n)[k] for k in range(n)), salt + n))
             owners.append(has)
-    return np.concatenate(slots), np.concatenate(owners)
+    return np.concatenate(slots) & (n_slots - 1), np.concatenate(owners)
 
 
 def _powers(n: int) -> np.ndarray:
-    return np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, n + 1)], np.uint64)
+    """The first n powers of an odd number, modulo 2^64."""
+    return np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
 
 
 def _slot(x: np.ndarray, salt: int) -> np.ndarray:
@@ -101,7 +129,7 @@ class Crf:
             new = list({w for w, r in zip(words, found) if r is None})
             if self.table is None or len(rows) + len(new) > len(self.table):
                 rows.clear()
-                self.table = np.empty((max(CACHE_WORDS, len(set(words))), len(self.langs)), np.float32)
+                self.table = np.empty((max(CACHE_SCORES // len(self.langs), len(set(words))), len(self.langs)), np.float32)
                 new = list(set(words))
             at = len(rows)
             self.table[at : at + len(new)] = self._fresh(new)
@@ -113,7 +141,7 @@ class Crf:
         out = np.empty((len(words), len(self.langs)), np.float32)
         for k in range(0, len(words), 1 << 13):
             part = words[k : k + (1 << 13)]
-            out[k : k + (1 << 13)] = summed(self.weights, *features(part), len(part))
+            out[k : k + (1 << 13)] = summed(self.weights, *features(part, len(self.weights)), len(part))
         for i, w in enumerate(words):
             for lang in self.lexicon.get(w, ()):
                 out[i] += self.lexicon_weights[lang]
@@ -177,7 +205,7 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, sizes: np.ndar
 
 
 def fit(chains: list[tuple[list[str], list[int]]], langs: list[str], rounds: int = 6, rate: float = 0.4, decay: float = 1e-6, seed: int = 0) -> Crf:
-    """Maximum likelihood by AdaGrad; chains: words and their languages' numbers."""
+    """Maximum likelihood by AdaGrad; chains: words and their languages' numbers.  A step touches only the slots that its chains' features have."""
     k, rng = len(langs), np.random.default_rng(seed)
     counts = [Counter() for _ in langs]
     for words, labels in chains:
@@ -193,13 +221,14 @@ def fit(chains: list[tuple[list[str], list[int]]], langs: list[str], rounds: int
                 held += 1
     kinds = sorted(all_counts)
     number = {w: i for i, w in enumerate(kinds)}
-    slots, owners = features(kinds)
+    n_slots = slots_for(k)
+    slots, owners = features(kinds, n_slots)
     by_owner = np.argsort(owners, kind="stable")
     flat, starts = slots[by_owner], np.cumsum([0, *np.bincount(owners, minlength=len(kinds))])
     lex = np.zeros((len(kinds), k))
     for w, ys in lexicon.items():
         lex[number[w], ys] = 1
-    weights, lexicon_weights, transitions = np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros((k, k))
+    weights, lexicon_weights, transitions = np.zeros((n_slots, k)), np.zeros((k, k)), np.zeros((k, k))
     squares = [np.full_like(x, 1e-6) for x in (weights, lexicon_weights, transitions)]
     for _ in range(rounds):
         for part in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // 64)):
@@ -217,9 +246,8 @@ def fit(chains: list[tuple[list[str], list[int]]], langs: list[str], rounds: int
             gold = np.eye(k)[y]
             miss = np.zeros((len(used), k))
             np.add.at(miss, at, p - gold)
-            g = np.zeros_like(weights)
-            for lang in range(k):
-                g[:, lang] = np.bincount(f, miss[owner, lang], SLOTS)
+            touched, spot = np.unique(f, return_inverse=True)
+            g = np.stack([np.bincount(spot, miss[owner, lang], len(touched)) for lang in range(k)], 1) + decay * weights[touched]
             inner = np.ones(len(ids), bool)
             inner[np.cumsum(sizes) - sizes] = False
             nxt = np.flatnonzero(inner)
@@ -227,7 +255,9 @@ def fit(chains: list[tuple[list[str], list[int]]], langs: list[str], rounds: int
             came = _previous(scores, before, nxt)
             joint = came[:, :, None] * np.exp(transitions)[None] * (p[nxt] / np.maximum(np.einsum("nk,kl->nl", came, np.exp(transitions)), 1e-300))[:, None, :]
             gt = joint.sum(0) - gold[nxt - 1].T @ gold[nxt]
-            for x, grad, sq in zip((weights, lexicon_weights, transitions), (g + decay * weights, lex[used].T @ miss, gt), squares):
+            squares[0][touched] += g * g
+            weights[touched] -= rate * g / np.sqrt(squares[0][touched])
+            for x, grad, sq in zip((lexicon_weights, transitions), (lex[used].T @ miss, gt), squares[1:]):
                 sq += grad * grad
                 x -= rate * grad / np.sqrt(sq)
     return Crf(langs, weights.astype(np.float32), lexicon, lexicon_weights.astype(np.float32), transitions)
@@ -265,15 +295,18 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame) -> Crf | None:
     """From text and lang of the labelled documents that aren't held out."""
     spark = docs.sparkSession
-    known = docs.filter(~held_out(docs["doc_id"]) & docs["lang"].isNotNull() & docs["doc_id"].isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"))
-    langs = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
+    narrow = docs.select(named(docs, "doc_id").alias("doc_id"), named(docs, "lang").cast("string").alias("lang"), named(docs, "text").cast("string").alias("text"))
+    known = narrow.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "lang")
+    langs = sorted(r[0] for r in known.select("lang").distinct().limit(MOST_LANGS + 1).collect())
     if not langs:
         return None
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} labels are no languages")
     first = Window.partitionBy("lang").orderBy("mark", "id")
     picked = known.filter(F.col("lang").isin(langs)).withColumn("mark", F.md5(F.col("id").cast("string"))).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= DOCS).select("id", "lang")
-    chosen = picked.collect()  # LANGS x DOCS ids at most
+    chosen = picked.collect()  # MOST_LANGS x DOCS ids at most
     ids = spark.createDataFrame(sorted({(r.id,) for r in chosen}), "id long")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    texts = narrow.select(F.col("doc_id").cast("long").alias("id"), "lang", "text")
 
     def cut(batches):
         import pyarrow as pa
@@ -282,7 +315,7 @@ def train(docs: DataFrame) -> Crf | None:
             found = [(a, " ".join(r)) for a, t in zip(batch.column(0).to_pylist(), batch.column(1)) for r in runs_of(words_of(t.as_py())) if r]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["lang", "run"])
 
-    # the ids are LANGS x DOCS at most, so is what is broadcast
+    # the ids are MOST_LANGS x DOCS at most, so is what is broadcast
     sample = texts.join(F.broadcast(ids), "id", "left_semi").filter(F.col("lang").isin(langs)).select("lang", "text").mapInArrow(cut, "lang string, run string")
     runs = sorted((r.lang, r.run) for r in sample.collect())
     if not runs:
@@ -302,7 +335,7 @@ def _loaded(model) -> Crf:
 
 
 class Shipped:
-    """A fitted model broadcast to the workers; its size is set by SLOTS and LANGS."""
+    """A fitted model broadcast to the workers; it has MODEL_BYTES and a matrix of languages at most."""
 
     def __init__(self, spark, crf: Crf):
         import uuid
@@ -327,7 +360,9 @@ def label_words(crf: Crf, text: str | None) -> list[tuple[str, str, float]]:
 def predict(docs: DataFrame, crf: Crf | None, keep: list[str] | None = None) -> DataFrame:
     """keep (doc_id if none) and lang_pred, score, n_words, n_switches (between neighbouring words' languages)."""
     spark, keep = docs.sparkSession, keep or ["doc_id"]
-    row = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs["text"].cast("string").alias("t"))
+    # a text that is kept is sent to Python once, inside its row
+    text, held = named(docs, "text"), "text" in keep and docs.schema["text"].dataType.typeName() == "string"
+    row = docs.select(F.struct(*[named(docs, c) for c in keep]).alias("row"), *([] if held else [text.cast("string").alias("t")]))
     if crf is None:
         return row.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_switches"))
     small_batches(spark)
@@ -357,23 +392,24 @@ def predict(docs: DataFrame, crf: Crf | None, keep: list[str] | None = None) ->
         for t in texts:
             lists.append(words_of(t.as_py()))
             total += len(lists[-1])
-            if total >= BATCH_WORDS:
+            if total * len(own.langs) >= BATCH_SCORES:
                 flush()
                 total = 0
         flush()
         return out
 
-    fields = row.schema["row"].dataType
+    fields, place = row.schema["row"].dataType, keep.index("text") if held else 0
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = judged(batch.column(1))
+            got = judged(batch.column(0).field(place) if held else batch.column(1))
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in got], kind) for k, kind in enumerate(kinds))], ["row", "lang_pred", "score", "n_words", "n_switches"])
 
-    return row.mapInArrow(run, f"row {fields.simpleString()}, lang_pred string, score double, n_words long, n_switches long")
+    kinds = (T.StructField("row", fields), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("n_switches", T.LongType()))
+    return row.mapInArrow(run, T.StructType(list(kinds)))
 
 
 #: A document goes if its language is unknown or its score is below this.
