@@ -3,8 +3,8 @@
 A byte pair that occurs inside no token of the vocabulary can never be merged over, so it is a certain
 cut: what stands left and right of it is encoded on its own and the ids are concatenated.  The table of
 such pairs comes from the vocabulary.  A text is cut at every certain pair where the pre-tokenizer's
-pattern also sees the same pieces left and right of the cut; the fragments are short and repeat, so a
-bounded cache holds their ids and the tokenizer library encodes the others.
+pattern also sees the same pieces left and right of the cut, but never beside white space beyond ASCII; the
+fragments are short and repeat, so a bounded cache holds their ids and the tokenizer library encodes the others.
 
 Results, for any text, equal ``Tokenizer.encode(text, add_special_tokens=False).ids`` and
 ``Tokenizer.decode(ids, skip_special_tokens=False)``.  A null or empty text has no ids and decodes to "".
@@ -22,15 +22,15 @@ from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import named, small_batches
 
 #: White space beyond ASCII, and controls that some patterns count as such; the pre-tokenizer's \s may take these too.
-WIDE_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+WIDE_BLANKS = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+WIDE_BYTES = re.compile(b"|".join(re.escape(c.encode()) for c in WIDE_BLANKS))
 #: Characters whose class no version of Unicode has changed; fragments of these alone take the faster merge routine.
-SETTLED = re.compile("[\x00-\u024f]*")
+SETTLED = re.compile("[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u024f]*")
 #: Fragments kept with their ids in a Python worker, and the longest that is kept.  When full it starts anew.
 CACHE_ENTRIES, CACHED_BYTES = 200_000, 48
 
@@ -58,7 +58,7 @@ def inner_pairs(tokens: list[bytes]) -> np.ndarray:
 def pattern_allows() -> np.ndarray:
     """256 x 256: whether a cut between the two bytes leaves the pre-tokenizer's pieces as they are.
 
-    Valid for texts without WIDE_BLANKS.  The pattern looks only to the right, so a fragment that starts
+    Valid but beside WIDE_BLANKS, where no cut is made.  The pattern looks only to the right, so a fragment that starts
     inside a run of letters, digits or signs ends where the run ends.  White space looks ahead, and an
     apostrophe may start a contraction: no cut after either, nor before an apostrophe that follows a sign,
     nor inside a contraction.  No cut before a continuation byte.
@@ -113,6 +113,10 @@ class ForcedBpe:
             return [raw]
         codes = np.frombuffer(raw, np.uint8)
         at = np.flatnonzero(self.cuts[(codes[:-1].astype(np.uint16) << 8) | codes[1:]]) + 1
+        if not raw.isascii() or codes.min() < 0x20:
+            beside = [x for m in WIDE_BYTES.finditer(raw) for x in m.span()]
+            if beside:
+                at = np.setdiff1d(at, beside, assume_unique=False)
         ends = [*at.tolist(), len(raw)]
         return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
@@ -120,8 +124,6 @@ class ForcedBpe:
         """Ids, as little-endian unsigned 32-bit integers, of a text without added tokens."""
         if not text:
             return b""
-        if WIDE_BLANKS.search(text):
-            return self._library([text])[0]
         cache, parts = self.cache, self.fragments(text.encode())
         found = list(map(cache.get, parts))
         if None in found:
@@ -197,4 +199,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                     columns.append(pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32), np.frombuffer(b"".join(coded), "<i4")))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))
+    return docs.select(named(docs, id_col).alias("_id"), named(docs, text_col).cast("string").alias("_text")).mapInArrow(run, T.StructType(fields))
