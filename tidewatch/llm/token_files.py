@@ -1,19 +1,20 @@
 """Flat token files with 64-bit document offsets.
 
-Documents are dealt to shards by ranges of doc_id and sorted inside each, so shard after shard they stand in
-ascending order.  A shard is ``NNNNN.bin``, all ids one after the other as unsigned 16-bit (vocabularies up to
+Documents are dealt to shards of about SHARD_BYTES of text by ranges of doc_id, and of a hash of the text where ids are
+equal or null, and sorted inside each, so shard after shard they stand in ascending order.  A shard is ``NNNNN.bin``, all ids one after the other as unsigned 16-bit (vocabularies up to
 65,536) or 32-bit little-endian integers; ``NNNNN.idx``, 64-bit offsets of its documents and its end, counted
 from its start; ``NNNNN.doc``, the documents' 64-bit ids; ``NNNNN.nil``, a byte for each that is 1 if the id is
 null.  A shard's base, the ids before it in all shards, is the prefix sum of the shards' sizes.  Readers map the
 files into memory and take any document by its offsets.
 
-Null ids come first.  Rows of equal id stand side by side, ordered by text.  A null or empty text has the end
+Null ids come first.  Rows of equal id stand side by side, ordered by XXH64 (seed 42, signed) of the text, then text.  A null or empty text has the end
 id alone.  An empty table makes no shard and reads back as an empty table.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .forced_bpe import loaded, vocabulary
-from .shared import SharedFiles, fresh_path, small_batches
+from .shared import SharedFiles, fresh_path, named, small_batches
 
-#: Rows whose ids a writer holds before they go to the file.
-WRITE_ROWS = 512
+#: Rows whose ids a writer holds before they go to the file, and rows that a reader gives out at a time.
+WRITE_ROWS, READ_ROWS = 512, 4096
+#: Text in a shard, and the least that is worth one.
+SHARD_BYTES, LEAST_BYTES = 1 << 28, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,12 @@ class TokenFiles:
     shards: tuple[tuple[str, int, int, int], ...]
 
 
+def shards_for(texts: DataFrame) -> int:
+    """As many shards as SHARD_BYTES of text each make, or, of less text, four for each core as far as there is enough for them."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // SHARD_BYTES), min(4 * texts.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int | None = None, root: str | None = None) -> TokenFiles:
     """Encode every document of docs (doc_id, text) and write the shards."""
     spark = docs.sparkSession
@@ -43,16 +52,17 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int | None =
     root = root or fresh_path(spark, "tokens")
     spec = vocabulary(spark, tokenizer)
     dtype = "<u2" if len(_pieces(spec.value)) <= 1 << 16 else "<u4"
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = narrow.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    narrow = docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), named(docs, "text").cast("string").alias("text"))
+    n = shards or shards_for(narrow)
+    order = (F.col("doc_id").asc_nulls_first(), F.col("h").asc_nulls_first())
+    ordered = narrow.withColumn("h", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").drop("h")
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         bpe, files, name = loaded(spec), SharedFiles(root), f"{TaskContext.get().partitionId():05d}"
-        ids, nil, ends, total = [], [], [], 0
+        ids, nil, ends, total = array("q"), bytearray(), array("Q", [0]), 0
         end = np.asarray([end_id], dtype).tobytes()
 
         def chunks():
@@ -71,9 +81,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int | None =
             yield b"".join(held)
 
         files.write(f"{name}.bin", chunks())
-        files.write(f"{name}.idx", [np.asarray([0, *ends], "<u8").tobytes()])
+        files.write(f"{name}.idx", [np.asarray(ends, "<u8").tobytes()])
         files.write(f"{name}.doc", [np.asarray(ids, "<i8").tobytes()])
-        files.write(f"{name}.nil", [np.asarray(nil, "u1").tobytes()])
+        files.write(f"{name}.nil", [bytes(nil)])
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64())], ["name", "docs", "ids"])
 
     # one row of three values for each shard: as many as there are partitions
@@ -112,9 +122,11 @@ def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
                 name, base, n, _ = files.shards[shard]
                 tokens, at = src.array(f"{name}.bin", files.dtype), src.array(f"{name}.idx", "<u8").astype(np.int64)
                 nil = src.array(f"{name}.nil", "u1").astype(bool)
-                crc = [zlib.crc32(tokens[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                 ids = pa.array(np.array(src.array(f"{name}.doc", "<i8")), mask=nil)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for k in range(0, n, READ_ROWS):
+                    part = at[k : k + READ_ROWS + 1]
+                    crc = [zlib.crc32(tokens[i:j].astype("<u4").tobytes()) for i, j in zip(part[:-1].tolist(), part[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([ids.slice(k, len(crc)), pa.array(base + part[:-1]), pa.array(np.diff(part)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     k = len(files.shards)
     return spark.range(0, k, 1, k).mapInArrow(run, schema)
