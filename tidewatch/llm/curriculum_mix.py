@@ -4,17 +4,18 @@ Targets.  Sources in code-point order, null last, take the weights in turn; toge
 A target stops at cap x its source's words and the excess goes to the others by weight until none is above: with
 sources ordered by cap / weight those that stop are a prefix, found by running sums over one row per source.
 
-Takes.  Each source's documents stand in the order of the md5 of their id.  The mix goes through that stream again
+Takes.  Each source's documents stand in the order of the md5 of their id and their text's md5.  The mix goes through that stream again
 and again until the target is met, so a document is taken whole as often as the target holds the source, and once
 more if it lies before the rest; the one on the edge is taken up to the edge.  Offsets are prefix sums in two
-levels, of 4,096 md5 ranges within a source and of documents within a range, so that no task holds a source.
+levels, of 65,536 md5 ranges within a source and of documents within a range, so that no task holds a source, nor
+all rows of equal or null ids.  Sources themselves, one narrow row each, meet in one task.
 
 Positions.  A source's weight over training time 0..1 is a line through knots.  Its integral, scaled to the target,
 is the cumulative demand of words; inverted at the offset of a document's copy it gives the time at which that copy
 is due.  Sorting by ranges of that time gives the training order.
 
-Null or empty texts have size 0 and are not taken.  Rows of equal id are rows of their own, ordered by size.  A
-source whose words are 0 has target 0.  An empty table gives an empty table.  Carried columns travel in one struct,
+Null or empty texts have size 0 and are not taken.  Rows of equal id are rows of their own, ordered by their texts'
+digests; rows that share both are alike.  A source whose words are 0 has target 0.  An empty table gives an empty table.  Carried columns travel in one struct,
 so names can't clash.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, written
+from .shared import BLANKS, named, written
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 #: Weight over time of each source in turn, as (time, weight) knots from time 0 to 1: rising, even, falling.
@@ -35,18 +36,18 @@ def n_words(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, source, size, the place in the source's stream (md5, of which the first three digits are the range), and carry as a struct."""
-    more = [F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []
-    digest = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")))
+    """doc_id, source, size, the place in the source's stream (md5, of which the first four digits are the range), and carry as a struct."""
+    more = [F.struct(*[named(docs, c) for c in carry]).alias("row")] if carry else []
+    doc_id, source, text = (named(docs, c) for c in ("doc_id", "source", "text"))
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
     return docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"),
-        docs["source"].cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("s"), docs["source"].cast("string")), F.lit("z")).alias("key"),  # orders as the source, null last
-        n_words(docs["text"]).alias("size"),
+        doc_id.cast("long").alias("doc_id"),
+        source.cast("string").alias("source"),
+        F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("z")).alias("key"),  # orders as the source, null last
+        n_words(text).alias("size"),
         digest.alias("place"),
-        F.substring(digest, 1, 3).alias("range"),
         *more,
-    )
+    ).withColumn("range", F.substring("place", 1, 4))
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
