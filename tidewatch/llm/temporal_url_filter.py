@@ -4,8 +4,9 @@ An entry (pattern, since, action) holds for a host and all below it from its dat
 pattern.  Actions are block, allow and drop; a drop ends the entry before it.  Of the patterns with an active entry the
 longest decides.  Entries become intervals per pattern, then, for every host captured, a timeline of intervals that
 don't overlap, each with its decision: one running last value for each length of pattern.  Captures join their host's
-timeline as of their time, so a capture meets one interval at most and a host with a third of all captures is a key
-whose rows Spark can split.  Only hosts, not captures, are paired with patterns.
+timeline as of their time, so a capture meets one interval at most.  A host with more than one in PARTS of all captures
+is dealt to as many groups as it has such shares, each with a copy of its timeline; there are PARTS such hosts at most,
+which bounds what is broadcast.  Only hosts, not captures, are paired with patterns.
 
 A null, empty or unreadable URL has no host and is not kept; a null time meets no entry.  Of entries with equal pattern
 and time the one first in the order block, allow, drop counts.  Entries without pattern, time or known action, and
@@ -18,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import named
+
 ACTIONS = ("block", "allow", "drop")
+#: A group of one host's captures holds about one in PARTS of all captures at most.
+PARTS = 1024
 #: Scheme, user if any, host: nothing else of a URL has to be well-formed.
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
 
@@ -62,9 +67,13 @@ def timelines(hosts: DataFrame, entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:
     """id_col, host, fetched, pattern, action, since (of the entry's interval) and kept, per capture."""
-    c = captures.select(captures[id_col].alias(id_col), host_of(captures[url_col]).alias("host"), captures[time_col].alias("fetched"))
-    line = timelines(c.select("host").filter("host IS NOT NULL").distinct(), entries).filter("action IS NOT NULL").withColumnRenamed("host", "listed")
-    asof = (F.col("host") == F.col("listed")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
+    c = captures.select(named(captures, id_col).alias(id_col), host_of(named(captures, url_col)).alias("host"), named(captures, time_col).alias("fetched"), F.xxhash64(named(captures, id_col), named(captures, url_col), named(captures, time_col)).alias("_mark"))
+    share = max(1, -(-captures.count() // PARTS))
+    hot = c.filter("host IS NOT NULL").groupBy("host").count().filter(F.col("count") > share).select("host", F.ceil(F.col("count") / share).cast("int").alias("_k"))  # PARTS rows at most
+    line = timelines(c.select("host").filter("host IS NOT NULL").distinct(), entries).filter("action IS NOT NULL")
+    line = line.join(F.broadcast(hot), "host", "left").withColumn("listed_part", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k").withColumnRenamed("host", "listed")
+    c = c.join(F.broadcast(hot), "host", "left").withColumn("_part", F.pmod(F.col("_mark"), F.coalesce("_k", F.lit(1))).cast("int"))
+    asof = (F.col("host") == F.col("listed")) & (F.col("_part") == F.col("listed_part")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
     d = c.join(line, asof, "left")
     kept = F.col("host").isNotNull() & ~F.coalesce(F.col("action") == "block", F.lit(False))
     return d.select(id_col, "host", "fetched", "pattern", "action", "since", kept.alias("kept"))
