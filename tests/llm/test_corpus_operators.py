@@ -3,15 +3,16 @@
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import curriculum_mix, permutation_index, quotation_linking, simhash_slices, temporal_url_filter
+from tidewatch.llm import crf_language, curriculum_mix, permutation_index, quality_rules, quotation_linking, shared, simhash_slices, temporal_url_filter
 from tidewatch.llm.components import components
+from tidewatch.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -30,7 +31,7 @@ def test_recall(spark, n, clustered):
     v = rng.normal(size=(n, 32)) + (10 * rng.normal(size=(6, 32))[rng.integers(0, 6, n)] if clustered else 0)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     got = defaultdict(list)
-    for r in permutation_index.search(df, df.filter("vec_id % 50 = 0"), block=100).collect():
+    for r in permutation_index.search(df, df.filter("vec_id % 50 = 0"), piece=200).collect():
         got[r.query_id].append((r["rank"], r.id, r.score))
     vectors, hits = dict(enumerate(v)), 0
     for q in range(0, n, 50):
@@ -63,6 +64,38 @@ def test_odd_vectors(spark):
     assert permutation_index.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_neighbours(rows, k=10):
+    """Rows as they stand, each a candidate of its own but for those of the query's id; equal queries' ids by the smallest vector."""
+    sound = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for q in sorted({i for i, _ in sound if i % 100 == 0}):
+        own = min(v for i, v in sound if i == q)
+        out[q] = [(i, round(d, 9)) for d, i in sorted((math.dist(own, v), i) for i, v in sound if i != q)[:k]]
+    return out
+
+
+def test_repeated_rows_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    rows += [rows[4]] * 3 + [rows[100]] * 15 + [(500 + k, rows[100][1]) for k in range(11)] + [(1000 + k % 3, rows[200][1]) for k in range(40)]
+    rows += [(300, rng.normal(size=8).tolist()), (200, [0.0] * 8), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in permutation_index.search(df, df.filter("vec_id % 100 = 0"), probe_share=1.0, piece=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.id, round(r.score, 9)))
+    assert dict(got) == brute_neighbours(rows)
+    assert [i for i, d in got[100] if d == 0] == list(range(500, 510)) and [i for i, d in got[200] if d == 0] == [1000] * 10
+
+
+def test_length_is_the_tables(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 20)] + [(100, [1.0]), (200, [2.0]), (300, [3.0]), (0, [0.5, 1.0]), (400, [9.2, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rid", F.lit(1)).withColumn("a.b", F.lit(1))
+    got = permutation_index.search(df, df.filter("vec_id % 100 = 0"), k=2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(0, 1), (0, 2), (400, 9), (400, 10)]
+    alien = spark.createDataFrame([(7000, [5.1, 1.0])], "vec_id long, embedding array<double>")
+    assert [r.id for r in permutation_index.search(df, alien, k=2).orderBy("rank").collect()] == [5, 6]
+
+
 # quotations
 
 
@@ -92,12 +125,74 @@ def test_long_chain(spark):
     assert all((r.root_turn, r.depth) == (0, r.turn) for r in quotation_linking.link(rows).collect())
 
 
+def test_latest_earlier_holder(spark):
+    m = [(1, 0, "Thanks"), (1, 1, "Other"), (1, 2, "Thanks"), (1, 3, "> Thanks\nYes"), (1, 5000, "> Thanks\nLate"), (1, 5001, "Thanks"), (1, 9000, "> thanks\nLast"), (1, 9000, "> thanks\nLast"), (1, -3, "> Thanks\nEarly")]
+    got = quotation_linking.link(spark.createDataFrame([(*x, "u") for x in m], "conv_id long, turn long, text string, role string")).collect()
+    assert {r.turn: r.parent_turn for r in got} == {0: None, 1: None, 2: None, 3: 2, 5000: 2, 5001: None, 9000: 5001, -3: None} and len(got) == len(m)
+
+
+def test_only_line_feeds_end_lines(spark):
+    text = "a\x0cb\x1cc\r\n\n\n\nd\u2028e"
+    own, passages = quotation_linking.parsed(f"\n{text}\n> q\x0cr\r\n> s\nend\r\n")
+    assert own == f"{text}\nend" and passages == [(0, "a\x0cb\x1cc"), (0, "d\u2028e"), (1, " q\x0cr\n s"), (0, "end")]
+    turns = spark.createDataFrame([(1, 0, "u", text), (1, 1, "u", "b"), (1, 1, "u", "a"), (1, 2, "u", "c")], "conv_id long, turn long, role string, text string").withColumn("a.b", F.lit(1))
+    got = quotation_linking.link(quotation_linking.as_mail(turns)).collect()
+    assert {(r.turn, r.own_text, r.parent_turn) for r in got} == {(0, text, None), (1, "b", 0), (1, "a", 0), (2, "c", 1)}
+    carried = quotation_linking.link(turns, ("role", "a.b"))
+    assert carried.columns[2:4] == ["role", "a.b"] and carried.count() == 4
+
+
+def brute_links(rows):
+    """(conversation, turn, text) -> parent by turn, with loops and hashes of nothing."""
+    plain = lambda x: " ".join(x.lower().split())
+
+    def units(text):
+        out, level, held = [], None, []
+        lines = [x.removesuffix("\r") for x in (text or "").split("\n")]
+        depth = [len(re.match(r"(?:[ \t]*>)*", x)[0].replace(" ", "").replace("\t", "")) for x in lines]
+        for k, (line, n) in enumerate(zip(lines, depth)):
+            body = re.sub(r"^(?:[ \t]*>)+", "", line) if n else line
+            author = k + 1 < len(lines) and depth[k + 1] > n and body.strip().endswith("wrote:")
+            if n != level or not body.strip() or author:
+                out += [(level, held)] if held else []
+                held, level = [], n
+            if body.strip() and not author:
+                held = [*held, body]
+        out += [(level, held)] if held else []
+        found = set()
+        for level, held in out:
+            found.add((level, 0, plain("\n".join(held))))
+            found |= {(level, 1, plain(x)) for x in held} if len(held) > 1 else set()
+        return found
+
+    said = defaultdict(set)
+    for c, t, x in rows:
+        for level, _, u in units(x):
+            if level == 0:
+                said[c, u].add(t)
+    parents = {}
+    for c, t, x in rows:
+        by_text = {}
+        for level, kind, u in units(x):
+            if level:
+                by_text[u] = min(by_text.get(u, (99, 9)), (level, kind))
+        links = [(*w, -max(p for p in said[c, u] if p < t)) for u, w in by_text.items() if any(p < t for p in said[c, u])]
+        parents[c, t] = -min(links)[2] if links else None
+    return parents
+
+
 def test_whole_table(spark):
-    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
-    texts = {(r.conv_id, r.turn): r.text for r in turns.collect()}
-    for r in quotation_linking.conversations(quotation_linking.as_mail(turns)).collect():
-        first = min(t for (c, t), x in texts.items() if c == r.conv_id and t < r.turn and quotation_linking.mark(x) == quotation_linking.mark(texts[c, r.turn - 1])) if r.turn else None
-        assert r.parent_turn == first and r.own_text == texts[r.conv_id, r.turn].strip("\n")
+    mail = quotation_linking.as_mail(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()}
+    want = brute_links([(r.conv_id, r.turn, r.text) for r in mail.collect()])
+    got = quotation_linking.conversations(mail).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got} == want
+    for r in got:
+        assert r.own_text == texts[r.conv_id, r.turn].strip("\r\n") and r.parent_turn == (r.turn - 1 if r.turn else None)
+        up, depth = r.turn, 0
+        while want[r.conv_id, up] is not None:
+            up, depth = want[r.conv_id, up], depth + 1
+        assert (r.root_turn, r.depth) == (up, depth)
 
 
 # URL lists
@@ -142,9 +237,28 @@ def test_hosts_of_odd_urls(spark):
     assert {r.host for r in rows if not r.kept} == {None, "casino-win.example.com"}
 
 
+def test_hot_host_is_dealt(spark):
+    captures = spark.range(6000).selectExpr("id page_id", "concat('https://', CASE WHEN id % 3 = 0 THEN 'hot.com' ELSE concat('h', id % 500, '.org') END, '/p', id) url", "date_add(date'2024-01-01', int(id % 60)) day", "1 AS _k", "1 AS `a.b`")
+    e = spark.createDataFrame([("hot.com", "2024-01-10", "block"), ("hot.com", "2024-02-01", "drop"), ("org", "2024-02-05", "block")], "pattern string, s string, action string").selectExpr("pattern", "date(s) since", "action")
+    got = temporal_url_filter.judge(captures, e, "page_id", "url", "day").collect()
+    assert sorted(r.page_id for r in got) == list(range(6000))
+    for r in got:
+        day = r.page_id % 60
+        blocked = 9 <= day < 31 if r.page_id % 3 == 0 else day >= 35
+        assert r.kept == (not blocked) and (r.pattern is None) == r.kept
+
+
 # near-duplicates
 
 
+def place_of(text):
+    """Spark's XXH64 of a text, signed; of null the seed."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode(), 42) if text is not None else 42
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_fingerprint(text):
     import xxhash
 
@@ -222,6 +336,8 @@ def test_groups_of_documents(spark):
     want = sorted((i if i is not None else -1, f, least[r]) for (i, _), f, r in zip(rows, fps, root))
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.fp & (1 << 64) - 1, r.component_id) for r in got) == want
     kept = simhash_slices.deduplicated(docs)
+    odd = docs.withColumnsRenamed({"lang": "a.b", "source": "fp", "n_chars": "place"})
+    assert simhash_slices.deduplicated(odd).columns == odd.columns and simhash_slices.deduplicated(odd).count() == kept.count()
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert simhash_slices.near_duplicates(docs.limit(0)).count() == 0
 
@@ -294,6 +410,8 @@ def test_mix_against_loops(spark):
     assert all(abs(taken[s] - want[s][1]) <= 1 for s in want)
     assert sorted(map(str, got)) == sorted(map(str, curriculum_mix.mix(docs.repartition(7)).collect()))
     ordered = curriculum_mix.training_order(docs)
+    odd = docs.withColumnsRenamed({"lang": "a.b", "n_chars": "size"})
+    assert curriculum_mix.training_order(odd).columns == odd.columns and curriculum_mix.training_order(odd).count() == ordered.count()
     assert ordered.columns == docs.columns and curriculum_mix.mix(docs.limit(0)).count() == 0
     words = defaultdict(int)
     for r in ordered.collect():
@@ -301,6 +419,20 @@ def test_mix_against_loops(spark):
     assert dict(words) == {s: n for s, n in taken.items() if n}
 
 
+def test_mix_of_rows_without_ids_and_of_long_texts(spark):
+    rows = [(None, "w " * (k % 7), "en", "a", 1) for k in range(60)] + [(3, f"t{k} x y z", "en", "a", 1) for k in range(30)] + [(4, "long " * 50_000, "en", "b", 1)] + [(5, "same same", "en", "b", 1)] * 4
+    docs = spark.createDataFrame(rows, DOCS)
+    got = curriculum_mix.mix(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    cut = sorted(map(str, curriculum_mix.training_order(docs).collect()))
+    assert cut == sorted(map(str, curriculum_mix.training_order(docs.repartition(5)).collect()))
+
+
 def test_demand_is_inverted(spark):
     d = spark.range(0, 101).select((F.col("id") / 100).alias("u"))
     for turn, knots in enumerate(curriculum_mix.SCHEDULES):
@@ -319,6 +451,96 @@ def test_first_words(spark):
 # pipeline
 
 
+def naive_language(crf, text):
+    """(label, mean probability) by forward-backward in logarithms, word by word."""
+    words = crf_language.words_of(text)
+    if not words:
+        return "und", 0.0
+    k = len(crf.langs)
+    own = []
+    for w in words:
+        slots = crf_language.features([w], len(crf.weights))[0]
+        own.append(crf.weights[slots].sum(0, dtype=float) + sum(crf.lexicon_weights[y].astype(float) for y in crf.lexicon.get(w, ())) + np.zeros(k))
+    add = lambda m: np.logaddexp.reduce(m, axis=0)
+    fore = [own[0]]
+    for s in own[1:]:
+        fore.append(add(fore[-1][:, None] + crf.transitions) + s)
+    back = [np.zeros(k)]
+    for s in own[:0:-1]:
+        back.append(add((crf.transitions + (s + back[-1])[None, :]).T))
+    p = np.array([f + b for f, b in zip(fore, back[::-1])])
+    mean = np.exp(p - np.logaddexp.reduce(p, axis=1)[:, None]).mean(0)
+    return crf.langs[int(mean.argmax())], float(mean.max())
+
+
+def naive_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, triples = len(words), [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    many = {t for t, c in Counter(triples).items() if c > 1}
+    repeated = len({i + k for i, t in enumerate(triples) if t in many for k in range(3)})
+    if n < 50 or 100 * repeated > 50 * n:
+        return False
+    share = lambda xs, of: len(list(xs)) / len(of) if of else 0.0
+    figures = {
+        "mean_word_length": sum(map(len, words)) / n, "symbol_ratio": sum((text or "").count(c) for c in quality_rules.SYMBOLS) / n,
+        "stop_word_ratio": share((w for w in words if w.lower() in quality_rules.STOP_WORDS), words), "letter_word_ratio": share((w for w in words if any(c.isalpha() for c in w)), words),
+        "dup_line_ratio": (len(lines) - len(set(lines))) / len(lines), "bullet_line_ratio": share((x for x in lines if re.match(r"[\x20\x09]*[-*•]", x)), lines), "ellipsis_line_ratio": share((x for x in lines if re.search(r"(\.\.\.|…)[\x20\x09\x0D]*$", x)), lines),
+    }
+    return all(figures[r.measure] >= r.bound if r.relation == ">=" else figures[r.measure] <= r.bound for r in quality_rules.RULES)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage from its predecessor's rows, with loops; copies of the mix by its targets, words and order of digests."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = docs.limit(6).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.limit(4)).unionByName(spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, "... 123", "en", "s", 7)], DOCS))
+    docs = docs.unionByName(more)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    crf = crf_language.train(docs)
+    told = [naive_language(crf, r[1]) for r in rows]
+    rows = [r for r, (label, p) in zip(rows, told) if label != "und" and p >= crf_language.LEAST_SCORE]
+    rows = [r for r in rows if naive_quality(r[1])]
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    group = union(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    first = {}
+    for g, r in zip(group, rows):
+        key = (r[0] is None, r[0] or 0, place_of(r[1]))
+        first[g] = min(first.get(g, (key, r)), (key, r))
+    rows = [r for _, r in first.values()]
+    plan = loops_mix([(r[0], r[1], r[3]) for r in rows])
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    want = Counter()
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    for source, (total, target) in plan.items():
+        stream = sorted((md5(f"{'' if r[0] is None else r[0]}|{md5(r[1] or '')}"), r) for r in rows if r[3] == source)
+        whole, at = int(target // total), 0
+        rest = round(target - whole * total)
+        for _, r in stream:
+            ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", r[1])]
+            take = min(max(rest - at, 0), len(ends))
+            for text in [r[1]] * whole + ([r[1][: ends[take - 1]]] if take else []):
+                ids = tokenizer.encode(text, add_special_tokens=False).ids
+                want[r[0], len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()] += 1
+            at += len(ends)
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and sum(got.values()) > 100
+
+
+def test_stages_keep_odd_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("a.b", F.lit(1)).withColumn("row", F.lit("x")).withColumn("kept", F.lit(False))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    assert corpus_pipeline.encoding(spark, docs, "").count() == docs.count() > 50
+
+
 def test_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", 0)], DOCS))
     sizes = []
@@ -332,3 +554,33 @@ def test_stages(spark):
     empty = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+# the shared folder
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Unset:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Unset()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+
+
+def test_clear_removes_this_applications_tables(spark):
+    import os
+
+    shared.written(spark.range(3), "x")
+    own = shared._own_dir(spark).removeprefix("file:")
+    assert os.listdir(own)
+    shared.clear(spark)
+    assert not os.path.exists(own)

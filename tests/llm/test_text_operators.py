@@ -52,7 +52,7 @@ APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
 # WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
 
 
-@pytest.mark.parametrize("text,want", [(MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), ("x.\nReleased under the MIT License.", ["MIT"]), ("a b\nThis work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-only"]), ("// SPDX-License-Identifier: BSD-3-Clause\n", ["bsd-3-clause"]), ("no such words", []), ("this license is odd.", [])])
+@pytest.mark.parametrize("text,want", [(MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), ("x.\nReleased under the MIT License.", ["MIT"]), ("a b\nThis work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-only"]), ("// SPDX-License-Identifier: BSD-3-Clause\n", ["BSD-3-Clause"]), ("no such words", []), ("this license is odd.", [])])
 def test_licences(text, want):
     assert license_scan.licences([x for _, x in license_scan.identifiers(text)]) == want
 
@@ -85,13 +85,13 @@ THIRD = """3. Neither the name of {who} nor the names of its
    this software without specific prior written permission.
 """
 STANDARD = [
-    ("GPL-2.0-or-later", GPL.format(sep=";", l="", mid=";", v=2)), ("GPL-3.0-or-later", GPL.format(sep=":", l="", mid=",", v=3)), ("LGPL", GPL.format(sep=";", l="Lesser ", mid=";", v="2.1").replace("program", "library")),
+    ("GPL-2.0-or-later", GPL.format(sep=";", l="", mid=";", v=2)), ("GPL-3.0-or-later", GPL.format(sep=":", l="", mid=",", v=3)), ("LGPL-2.1-or-later", GPL.format(sep=";", l="Lesser ", mid=";", v="2.1").replace("program", "library")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-2-Clause", BSD.format(third="")), ("BSD-3-Clause", BSD.format(third=THIRD.format(who="the copyright holder"))), ("BSD-3-Clause", BSD.format(third=THIRD.format(who="A. B. Inc."))),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY.'),
     ("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("Apache-2.0", APACHE),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0\nInternational License."), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."),
-    ("GPL-2.0-only", "Licensed under the GNU General Public License, version 2."), ("public-domain", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0-only", "Licensed under the GNU General Public License, version 2."), ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
 
@@ -102,15 +102,97 @@ def test_standard_texts(licence, text):
         assert license_scan.licences([x for _, x in license_scan.identifiers(form)]) == [licence], form
 
 
+@pytest.mark.parametrize("text,want", [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) OR MIT", ["GPL-2.0-or-later", "MIT"]), ("SPDX-License-Identifier: odd-1.0", ["odd-1.0"]),
+    ("# SPDX-License-Identifier: Apache-2.0\n" + APACHE, ["Apache-2.0"]), ("The code is under the MIT license.", ["MIT"]), ("BSD 3-Clause License\n\nCopyright (c) 2020", ["BSD-3-Clause"]), ("Released under the LGPL v2.1", ["LGPL-2.1-only"]),
+    ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("CC0 1.0 Universal\n\nx", ["CC0-1.0"]), ("Licensed under the GNU Affero General Public License v3.0", ["AGPL-3.0-only"]), ("available under the Artistic License 2.0", ["Artistic-2.0"]),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", ["EPL-2.0"]), ("Dedicated work. It is released into the public domain.", ["public-domain"]),
+])
+def test_notices(text, want):
+    assert list(dict.fromkeys(license_scan.licences([x for _, x in license_scan.identifiers(text)]))) == want
+
+
 def test_known_sentences_have_critical_words():
-    for _, pattern in license_scan.SENTENCES:
-        assert license_scan.CRITICAL.search(pattern), pattern
+    for pattern in [p for n, p in license_scan.SENTENCES if n != "free-software"] + [p for _, p in license_scan.NAMES]:
+        for branch in pattern.split("|") if "(" not in pattern else [pattern]:
+            assert license_scan.speaks(branch.replace("\\", "")), branch
+
+
+@pytest.mark.parametrize("before", ["x" * 100_000, "word " * 20_000, "line without an end\n" * 5_000, "a;b " * 20_000])
+def test_notices_at_any_place(before):
+    for notice, want in (("Released under the MIT License.", "MIT"), (" ".join(MIT.split()), "MIT"), (GPL.format(sep=";", l="", mid=";", v=2), "GPL-2.0-or-later")):
+        for after in ("", " more words" * 1000):
+            assert license_scan.licences([x for _, x in license_scan.identifiers(f"{before} {notice}{after}")]) == [want]
+
+
+def brute_identifiers(text):
+    """Paragraphs, sentences and known sentences by trying every pattern at every place."""
+    signs, out, k = set(" \t\r#*/|;%-"), [], 0
+    paragraphs, held = [], []
+    for line in text.split("\n"):
+        if set(line) <= signs and held and k:
+            paragraphs.append("\n".join(held))
+            held = []
+        else:
+            held.append(line)
+        k += 1
+    paragraphs.append("\n".join(held))
+    known = [(f"{n}", re.compile(rf"(?:{p})(?![\w-])")) for n, p in license_scan.SENTENCES]
+    under = r"(?:under|by|subject to) (?:the |a |an )?(?:terms (?:and conditions )?of )?(?:the |a |an )?"
+    known += [(f"notice:{n}", re.compile(rf"{under}(?:{p})(?![\w-])")) for n, p in license_scan.NAMES]
+    titles = [(f"title:{n}", re.compile(rf"(?:the )?(?:{p})(?=$|,? \(|,? copyright|,? version|,? january|,? http)", re.M)) for n, p in license_scan.NAMES]
+    for paragraph in paragraphs:
+        sentences, now = [], ""
+        for i, c in enumerate(paragraph):
+            nxt = paragraph[i + 1] if i + 1 < len(paragraph) else "\n"
+            rest = paragraph[i + 1 :].lstrip(" \t")
+            stop = c in ".!?;" and (nxt.isspace() or nxt in ".!?;" and not paragraph[i:].lstrip(".!?;")[:1].strip()) or c == ":" and (rest[:1] in ("", "\n") or nxt.isspace() and re.search("conditions( are met)?$", now, re.I))
+            if stop:
+                sentences.append(now)
+                now = ""
+            else:
+                now += c
+        sentences = [x for x in map(license_scan.normalised, [*sentences, now]) if x]
+        lines, i, told = "\n".join(sentences), 0, set()
+        found = []
+        while i < len(lines):
+            hit = None
+            if i == 0 or not re.match(r"[\w-]", lines[i - 1]):
+                hit = next(((n, m) for n, p in known if (m := p.match(lines, i))), None)
+                if hit is None and (i == 0 or lines[i - 1] == "\n"):
+                    hit = next(((n, m) for n, p in titles if (m := p.match(lines, i))), None)
+            if hit is None:
+                i += 1
+                continue
+            n, m = hit
+            found.append((i, f"spdx:{m['spdx']}" if n == "spdx" else f"{n}:{m['epl']}" if n == "epl-available" else n))
+            told.update(range(lines.count("\n", 0, i), lines.count("\n", 0, m.end()) + 1))
+            i = m.end()
+        at = 0
+        for n, x in enumerate(sentences):
+            if n not in told and any(w in x for w in license_scan.WORDS):
+                found.append((at, license_scan.UNKNOWN))
+            at += len(x) + 1
+        out += [x for _, x in sorted(found)]
+    return out
+
+
+def test_license_scan_against_brute_force():
+    random.seed(7)
+    bits = [t for _, t in STANDARD] + ["the licence is odd", "Permission is denied.", "SPDX-License-Identifier: MIT OR ISC", "the code is under the MIT license", "plain words", "Apache License\nVersion 2.0", "BSD License", "Copyright (c) 2001 X", "a copy of the MPL", "in the public domain; so it is", "you may not", "see the"]
+    joints = [" ", "\n", ". ", "; ", "\n\n", "\n# ", "\n//\n", ": ", ":\n", "?! ", ", "]
+    for _ in range(150):
+        text = "".join(random.choice(bits) + random.choice(joints) for _ in range(random.randint(1, 6)))
+        assert [x for _, x in license_scan.identifiers(text)] == brute_identifiers(text), text
 
 
 def test_license_scan_rows(odd, none):
     rows = license_scan.scan(odd).collect()
     assert len(rows) == 7 and [r.licences for r in rows if r.doc_id == 5] == [["CC-BY-NC-4.0"]] * 2
     assert all(r.n_sentences == 0 for r in rows if r.doc_id in (1, 2, 3, 4)) and license_scan.scan(none).count() == 0
+    assert [r.n_sentences for r in rows if r.doc_id is None] == [0]
+    clash = odd.withColumnsRenamed({"lang": "sentences", "source": "a.b"}).withColumnRenamed("doc_id", "t")
+    assert sorted(map(str, license_scan.scan(clash, "t").collect())) == sorted(str(r).replace("doc_id", "t") for r in rows)
 
 
 # language
@@ -139,6 +221,46 @@ def test_features_are_of_their_word():
     assert [sorted(slots[owners == k].tolist()) for k in range(3)] == alone
 
 
+def test_every_letter_counts():
+    assert crf_language.words_of("½ ² 3 _ \u0301") == [] and crf_language.words_of(None) == []
+    assert crf_language.words_of("नमस्ते दुनिया") == ["नमस्ते", "दुनिया"] and crf_language.words_of("東京ですABC สวัสดี") == [*"東京です", "abc", "ส", "วั", "ส", "ดี"]
+    long = "".join(random.Random(1).choice("abcdefgh") for _ in range(5000))
+    assert "".join(crf_language.words_of(long)) == long and max(map(len, crf_language.words_of(long))) == crf_language.LONGEST
+    assert "".join(crf_language.words_of("中" * 5000 + long)) == "中" * 5000 + long
+    one, other = ("x" * 60 + y for y in "ab")
+    assert sorted(crf_language.features(crf_language.words_of(one))[0]) != sorted(crf_language.features(crf_language.words_of(other))[0])
+    assert len(crf_language.features(["a" + "\u0301" * 200])[0]) == 1 + 202 + 201 + 8  # itself, two and three letters, affixes
+
+
+def test_unspaced_and_marked_scripts(spark):
+    samples = {"zh": "我们今天去图书馆看书学习新的知识", "ja": "きょうは図書館へ行って本を読みました", "th": "วันนี้เราไปห้องสมุดเพื่ออ่านหนังสือ", "hi": "आज हम पुस्तकालय में किताबें पढ़ने गए थे", "en": "today we went to the library to read new books"}
+    rng = random.Random(3)
+    rows, k = [], 0
+    for lang, text in samples.items():
+        units = text.split(" ") if " " in text else list(text)
+        for _ in range(60):
+            rows.append((k, (" " if " " in text else "").join(rng.choice(units) for _ in range(30)), lang, "s", 1))
+            k += 1
+    docs = spark.createDataFrame(rows, SCHEMA)
+    told = crf_language.predict(docs, crf_language.train(docs), ["doc_id", "lang"]).filter(crf_language.held_out(F.col("row.doc_id"))).collect()
+    assert len(told) > 30 and sum(r.row.lang == r.lang_pred for r in told) / len(told) > 0.95
+
+
+def test_every_label_is_a_class(spark):
+    words = [f"{chr(97 + k // 10)}{chr(97 + k % 10)}" for k in range(80)]
+    docs = spark.createDataFrame([(k * 10 + j, " ".join([w * 2] * 12), w, "s", 1) for k, w in enumerate(words) for j in range(6)], SCHEMA)
+    crf = crf_language.train(docs)
+    assert crf.langs == sorted(words) and crf_language.slots_for(4) == crf_language.SLOTS > crf_language.slots_for(1000)
+    told = crf_language.predict(docs, crf, ["lang"]).collect()
+    assert sum(r.row.lang == r.lang_pred for r in told) / len(told) > 0.9
+
+
+def test_ties_and_long_texts():
+    crf = crf_language.Crf(["aa", "bb"], np.zeros((256, 2), np.float32), {}, np.zeros((2, 2), np.float32), np.zeros((2, 2)))
+    assert {(x, p) for _, x, p in crf_language.label_words(crf, "one two three")} == {("aa", 0.5)}
+    assert len(crf_language.label_words(crf, "word " * 200_000)) == 200_000
+
+
 def test_held_out_accuracy_and_switches(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     crf = crf_language.train(docs)
@@ -157,6 +279,8 @@ def test_language_of_odd_rows(odd, none):
     assert crf_language.train(none) is None and crf_language.predict(none, None).count() == 0
     assert {r.lang_pred for r in crf_language.predict(odd, None).collect()} == {"und"}
     assert crf_language.filtered(odd).columns == odd.columns
+    clash = odd.withColumnsRenamed({"source": "a.b", "n_chars": "lang_pred"})
+    assert crf_language.filtered(clash, 0.0).columns == clash.columns and crf_language.filtered(clash, 0.0).count() == 4
 
 
 # encoding
@@ -194,6 +318,19 @@ def test_cuts_concatenate_to_the_text(bpe):
     assert b"".join(bpe.fragments(raw)) == raw and len(bpe.fragments(raw)) > 20
 
 
+def test_wide_blanks_are_cut_too(bpe, library):
+    for blank in forced_bpe.WIDE_BLANKS:
+        text = f"The quick{blank}brown fox, 12 times{blank}{blank} over.{blank}'s {blank} x\n" * 3
+        assert bpe.encode(text) == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = [p.decode() for p in bpe.fragments(text.encode())]
+        assert len(parts) > 10 and "".join(parts) == text and not any(p.startswith(blank) or p.endswith(blank) for p in parts[1:-1])
+    random.seed(11)
+    bits = [*forced_bpe.WIDE_BLANKS, "a", "'s", "'", " ", "\n", "Q", "7", "!", "é", "中", "😀", "Zx"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 14))) for _ in range(20000)]
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == e.ids, repr(t)
+
+
 def test_encode_decode_rows(odd, none, library):
     rows = forced_bpe.encode_decode(odd, tokenizer_path(), with_ids=True).collect()
     for r, (_, text, *_) in zip(sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0)), ODD):
@@ -206,19 +343,37 @@ def test_encode_decode_rows(odd, none, library):
 # token files
 
 
+def place_of(text):
+    """Spark's XXH64 of a text, signed; of null the seed."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode(), 42) if text is not None else 42
+    return h - (1 << 64) if h >> 63 else h
+
+
 def test_token_files(spark, odd, none, library):
-    files = token_files.write(odd, tokenizer_path(), shards=3)
-    rows = token_files.read(spark, files).collect()
-    want, start = {}, 0
-    for doc_id, text, *_ in sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
-        ids = library.encode(text or "", add_special_tokens=False).ids + [0]
-        want[start] = (doc_id, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
-        start += len(ids)
-    assert {r.start: (r.doc_id, r.n_tokens, r.ids_crc32) for r in rows} == want
-    assert token_files.document(files, 0, 0).tolist() == library.encode("été ß 123", add_special_tokens=False).ids + [0]
+    rows = [*ODD, *[(None, f"no id {k}", "en", "s", 1) for k in range(20)], *[(9, f"same id {k % 7}", "en", "s", 1) for k in range(20)]]
+    for docs, shards in ((spark.createDataFrame(rows, SCHEMA), 3), (spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"lang": "h", "source": "a.b"}), None)):
+        files = token_files.write(docs, tokenizer_path(), shards=shards)
+        got = token_files.read(spark, files).collect()
+        want, start = {}, 0
+        for doc_id, text, *_ in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, place_of(x[1]), x[1] or "")):
+            ids = library.encode(text or "", add_special_tokens=False).ids + [0]
+            want[start] = (doc_id, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+            start += len(ids)
+        assert {r.start: (r.doc_id, r.n_tokens, r.ids_crc32) for r in got} == want
+    assert token_files.document(files, 0, 0)[-1] == 0
     assert token_files.read(spark, token_files.write(none, tokenizer_path())).count() == 0
 
 
+def test_shards_follow_the_size(spark, monkeypatch):
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 200)").alias("text"))
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 10_000)
+    monkeypatch.setattr(token_files, "READ_ROWS", 3)
+    files = token_files.write(docs, tokenizer_path())
+    assert len(files.shards) >= 8 and token_files.read(spark, files).agg(F.countDistinct("doc_id"), F.count("*")).first()[:] == (100, 100)
+
+
 # quality
 
 
@@ -246,6 +401,6 @@ def test_quality_measures(spark, odd, none):
 
 def test_filter_keeps_clashing_columns(spark):
     text = "the house and the garden of a man who is in it with one dog for you to see as it was by an old tree " * 1
-    docs = spark.createDataFrame([(1, text + " ".join(f"w{i}" for i in range(40)), 7, "x"), (2, "short", 8, "y")], "doc_id long, text string, n_words int, keep string")
+    docs = spark.createDataFrame([(1, text + " ".join(f"w{i}" for i in range(40)), 7, "x"), (2, "short", 8, "y")], "doc_id long, text string, n_words int, keep string").withColumn("a.b", F.lit(3))
     rows = quality_rules.filtered(docs).collect()
     assert [(r.doc_id, r.n_words, r["keep"]) for r in rows] == [(1, 7, "x")] and quality_rules.filtered(docs).columns == docs.columns
