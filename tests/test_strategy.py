@@ -101,6 +101,40 @@ def test_grid_shares_one_window_and_heatmap_agrees(make_bars):
     assert metrics.count_beating(grid.run_grid(b, rules, 5.0)).first().rules == 4
 
 
+def test_split_is_judged_for_each_symbol(make_bars):
+    rng = np.random.default_rng(4)
+    walk = lambda n: 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+    old, young = make_bars(walk(120), symbol="OLD"), make_bars(walk(30), start="2024-05-01", symbol="YOUNG")
+    rule = MACrossover(MASpec("sma", 2), MASpec("sma", 5))
+    got = grid.in_out_of_sample(old.unionByName(young), rule, "2024-03-15", None, 5.0)
+    assert {(r.symbol, r.segment) for r in got.collect()} == {("OLD", "is"), ("OLD", "oos")}
+    for r in got.collect():
+        part = grid.evaluate(old, rule, 5.0, end="2024-03-15") if r.segment == "is" else grid.evaluate(old, rule, 5.0, "2024-03-15")
+        alone = metrics.summarise(part).first()
+        assert all(math.isclose(r[c], alone[c], rel_tol=1e-9, abs_tol=1e-12) for c in ("total_return", "sharpe", "max_drawdown", "bh_total_return", "time_in_market")) and r.fills == alone.fills
+
+
+def test_rules_of_users_take_the_general_path(make_bars):
+    class Odd:
+        """Unknown on every fifth bar, and with a sign in its name that others split at."""
+
+        name = "a|b"
+
+        def needs(self):
+            return [MASpec("sma", 3)]
+
+        def target(self):
+            return F.when(F.dayofmonth("date") % 5 != 0, crossover(F.col("close"), F.col("sma3")))
+
+    rng = np.random.default_rng(9)
+    b = make_bars(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 60))))
+    rule = MACrossover(MASpec("sma", 2), MASpec("sma", 5))
+    assert {r.rule for r in grid.run_grid(b, [Odd(), rule], 5.0).collect()} == {"a|b", rule.name}
+    fast = grid.run_grid(b, [rule], 5.0).first()
+    slow = metrics.summarise(backtest.compounded(backtest.intervals(targets(b, [rule])).join(grid.common_window(targets(b, [rule])), "symbol").filter("date >= opens").drop("opens", "closes"), 5.0)).first()
+    assert all(math.isclose(fast[c], slow[c], rel_tol=1e-12, abs_tol=1e-12) for c in ("total_return", "sharpe", "sortino", "calmar", "excess_cagr"))
+
+
 def test_errors(make_bars):
     b = make_bars(TINY)
     with pytest.raises(ValueError):

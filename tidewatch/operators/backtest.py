@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import between
@@ -28,19 +28,43 @@ def decided(averaged: DataFrame, rules: list[Strategy]) -> DataFrame:
     return averaged.select("symbol", "date", "open", F.array(*[r.target() for r in rules]).alias("now"))
 
 
-def fanned_intervals(bars: DataFrame, rules: list[Strategy], spread: bool = True) -> DataFrame:
-    """The same as intervals() of the rules' targets from decided(), with lags and leads taken before rules fan out.
+def shared_intervals(bars: DataFrame, start=None, segment: Column | None = None) -> DataFrame:
+    """Bars with targets from decided() -> the intervals of the window that all rules share, one row a bar.
 
-    So a bar's return is computed once for all rules, and nothing is sorted by rule yet.  spread deals the bars of few
-    symbols to all cores before they fan out, a row with an array each; with many symbols they are dealt already.
+    The window opens on the bar after the first on which every target is known, or at start, if later; rules must be
+    steady (see signals.steady).  was: exposures, yesterday's targets; before: those of the interval before in the same
+    window (and segment), null for its first.  All of it is windows over one symbol's bars: one shuffle, and no join.
     """
     w = by_date()
-    bar = bars.select("symbol", "date", "open", "now", (F.lead("open").over(w) / F.col("open") - 1).alias("r"), F.lead("date").over(w).alias("ends"), F.lag("now").over(w).alias("was"))
-    if spread:
-        bar = bar.repartition("symbol", "date")
-    names = F.split(F.lit("|".join(r.name for r in rules)), r"\|")
-    each = bar.select("symbol", "date", "open", "r", "ends", "was", F.posexplode("now").alias("k", "target"))
-    return each.select("symbol", F.element_at(names, F.col("k") + 1).alias("rule"), "date", "open", "target", "r", F.get("was", F.col("k")).alias("exposure"), "ends")
+    known = F.bool_or(F.forall("now", lambda x: x.isNotNull())).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = bars.select("symbol", "date", "open", (F.lead("open").over(w) / F.col("open") - 1).alias("r"), F.lead("date").over(w).alias("ends"), F.lag("now").over(w).alias("was"), known.alias("known"))
+    d = between(d.filter("known AND r IS NOT NULL").drop("known"), start)
+    if segment is not None:
+        d = d.withColumn("segment", segment).filter("segment IS NOT NULL")
+    inside = Window.partitionBy("symbol", *(["segment"] if segment is not None else [])).orderBy("date")
+    return d.withColumn("before", F.lag("was").over(inside))
+
+
+def fanned(shared: DataFrame, rules: list[Strategy], cost_bps: float = 0.0) -> DataFrame:
+    """shared_intervals() -> a row for each rule, with turnover and returns after cost taken from the bar's own arrays.
+
+    So nothing is sorted by rule yet, and what only sums or multiplies returns needs no sort at all.
+    """
+    cost = F.lit(cost_bps / 1e4)
+    none = F.array_repeat(F.lit(0.0), len(rules))
+    pairs = F.posexplode(F.arrays_zip("was", F.coalesce("before", none).alias("before"))).alias("k", "x")
+    more = [c for c in ("segment",) if c in shared.columns]
+    d = shared.select("symbol", *more, "date", "open", "r", "ends", F.col("before").isNull().alias("first"), pairs)
+    names = F.array(*[F.lit(r.name) for r in rules])
+    d = d.select("symbol", *more, F.get(names, F.col("k")).alias("rule"), "date", "open", "r", "ends", "first", F.col("x.was").alias("exposure"), (F.col("x.was") - F.col("x.before")).alias("turnover"))
+    ret = F.col("exposure") * F.col("r") - F.abs("turnover") * cost
+    return d.withColumns({"ret": ret, "bh_ret": F.when(F.col("first"), F.col("r") - cost).otherwise(F.col("r"))})
+
+
+def with_equity(returns: DataFrame, by: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
+    """equity and benchmark at each interval's end."""
+    so_far = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return returns.withColumns({"equity": F.product(1 + F.col("ret")).over(so_far), "benchmark": F.product(1 + F.col("bh_ret")).over(so_far)})
 
 
 def compounded(windowed: DataFrame, cost_bps: float = 0.0, by: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
@@ -54,8 +78,7 @@ def compounded(windowed: DataFrame, cost_bps: float = 0.0, by: tuple[str, ...] =
     d = d.withColumn("turnover", F.col("exposure") - F.coalesce(F.lag("exposure").over(w), F.lit(0.0))).withColumn("first", F.lag("date").over(w).isNull())
     d = d.withColumn("ret", F.col("exposure") * F.col("r") - F.abs("turnover") * F.lit(cost))
     d = d.withColumn("bh_ret", F.when(F.col("first"), F.col("r") - F.lit(cost)).otherwise(F.col("r")))
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("equity", F.product(1 + F.col("ret")).over(so_far)).withColumn("benchmark", F.product(1 + F.col("bh_ret")).over(so_far))
+    return with_equity(d, by)
 
 
 def run(target_frame: DataFrame, cost_bps: float = 0.0, start=None, end=None) -> DataFrame:

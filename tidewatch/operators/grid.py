@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..settings import SETTINGS, Settings
 from ..sources.bars import between
 from . import backtest, metrics
-from .indicators import MASpec
-from .signals import MACrossover, Strategy, targets, with_averages
+from .indicators import MASpec, by_date
+from .signals import MACrossover, Strategy, steady, targets, with_averages
 
 
 def default_rules(settings: Settings = SETTINGS) -> list[MACrossover]:
@@ -43,29 +43,37 @@ def common_window(target_frame: DataFrame, start=None, days: DataFrame | None =
 
 def run_grid(bars: DataFrame, rules: list[Strategy], cost_bps: float = 0.0, start=None, end=None) -> DataFrame:
     """All metrics of every rule over the window they share, best excess first."""
-    windowed = _common(bars, rules, start, end)
-    out = metrics.summarise(backtest.compounded(windowed, cost_bps))
+    out = metrics.summarise(_compounded(bars, rules, cost_bps, start, end))
     return out.orderBy(F.desc("excess_total_return"), "rule")
 
 
-def _common(bars: DataFrame, rules: list[Strategy], start, end) -> DataFrame:
-    """Intervals of the window that the rules share."""
-    # read twice, for the window and for the intervals: kept in executors, and made again where one is lost
-    bar = backtest.decided(with_averages(between(bars, end=end), rules), rules).persist()
-    each = bar.select("symbol", "date", F.posexplode("now").alias("rule", "target"))
-    w = common_window(each, start, bar.select("symbol", "date"))
-    return backtest.fanned_intervals(bar, rules).join(w, "symbol").filter("date >= opens").drop("opens", "closes")
+def _bars(bars: DataFrame, rules: list[Strategy], end=None) -> DataFrame:
+    return backtest.decided(with_averages(between(bars, end=end), rules), rules)
+
+
+def _compounded(bars: DataFrame, rules: list[Strategy], cost_bps: float, start, end) -> DataFrame:
+    """Intervals with equity, over the window that the rules share."""
+    if all(map(steady, rules)):
+        return backtest.with_equity(backtest.fanned(backtest.shared_intervals(_bars(bars, rules, end), start), rules, cost_bps))
+    frame = targets(between(bars, end=end), rules)
+    windowed = backtest.intervals(frame).join(common_window(frame, start), "symbol").filter("date >= opens").drop("opens", "closes")
+    return backtest.compounded(windowed, cost_bps)
 
 
 def evaluate(bars: DataFrame, rule: Strategy, cost_bps: float = 0.0, start=None, end=None) -> DataFrame:
     """One rule over its own window; intervals with equity."""
-    return backtest.compounded(_common(bars, [rule], start, end), cost_bps)
+    return _compounded(bars, [rule], cost_bps, start, end)
 
 
 def heatmap(bars: DataFrame, rules: list[MACrossover] | None = None, cost_bps: float = 0.0, start=None, end=None) -> DataFrame:
-    """symbol, short, long, excess: only the excess, each distinct average once."""
+    """symbol, short, long, excess: only the excess, each distinct average once.
+
+    The last equity is the product of all returns: one aggregation by rule, whose partial products are taken where a
+    bar fans out.
+    """
     rules = rules or heatmap_rules()
-    out = metrics.excess(backtest.compounded(_common(bars, rules, start, end), cost_bps))
+    each = backtest.fanned(backtest.shared_intervals(_bars(bars, rules, end), start), rules, cost_bps)
+    out = each.groupBy("symbol", "rule").agg((F.product(1 + F.col("ret")) - F.product(1 + F.col("bh_ret"))).alias("excess"))
     pair = F.split("rule", "__")
     number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("int")
     return out.select("symbol", number(pair[0]).alias("short"), number(pair[1]).alias("long"), "excess")
@@ -82,10 +90,12 @@ def rolling_start(bars: DataFrame, rule: Strategy, horizon_years: int = SETTINGS
     Bars aren't cut at end, so the last interval ends on the bar after it.  An interval lies in horizon_years starts:
     starts come from its own date, so there is no range join.
     """
-    bar = backtest.decided(with_averages(bars, [rule]), [rule]).persist()
-    frame = bar.select("symbol", "date", F.element_at("now", 1).alias("target"))
-    known = frame.groupBy("symbol").agg(F.min(F.when(F.col("target").isNotNull(), F.col("date"))).alias("known"), F.max("date").alias("last"))
-    d = backtest.fanned_intervals(bar, [rule]).filter("r IS NOT NULL AND exposure IS NOT NULL").join(known, "symbol")
+    w, every = by_date(), Window.partitionBy("symbol")
+    bar = _bars(bars, [rule]).select(
+        "symbol", "date", "open", (F.lead("open").over(w) / F.col("open") - 1).alias("r"), F.lead("date").over(w).alias("ends"), F.element_at(F.lag("now").over(w), 1).alias("exposure"),
+        F.min(F.when(F.element_at("now", 1).isNotNull(), F.col("date"))).over(every).alias("known"), F.max("date").over(every).alias("last"),
+    )
+    d = bar.filter("r IS NOT NULL AND exposure IS NOT NULL")
     years = F.explode(F.sequence(F.year("date") - horizon_years, F.year("date")))
     d = d.withColumn("year", years).withColumn("start", F.make_date("year", F.lit(1), F.lit(1))).drop("year")
     d = d.withColumn("end", F.add_months("start", 12 * horizon_years))
@@ -96,15 +106,21 @@ def rolling_start(bars: DataFrame, rule: Strategy, horizon_years: int = SETTINGS
 
 
 def in_out_of_sample(bars: DataFrame, rule: Strategy, split, start=None, cost_bps: float = 0.0) -> DataFrame:
-    """Metrics with segment "is" (start to split) and "oos" (split to the last bar); ValueError if split leaves one empty."""
-    frame = targets(bars, [rule])
-    w = common_window(frame, start).agg(F.max("opens").alias("opens"), F.min("closes").alias("closes"), F.max(F.col("opens")).isNull().alias("none")).first()
-    if w.none:
-        raise ValueError(backtest.NO_HISTORY)
-    if not str(w.opens) < str(split) < str(w.closes):
-        raise ValueError("the split lies outside the window")
-    parts = [evaluate(bars, rule, cost_bps, start, split).withColumn("segment", F.lit("is")), evaluate(bars, rule, cost_bps, split).withColumn("segment", F.lit("oos"))]
-    return metrics.summarise(parts[0].unionByName(parts[1]), ("symbol", "rule", "segment"))
+    """Metrics with segment "is" (start to split) and "oos" (split to the last bar), in one pass over the bars.
+
+    An interval is in sample if it ends by split and out of sample if it begins there or later; turnover is measured
+    inside each.  A symbol whose window doesn't hold split has no rows; ValueError if that is every symbol.
+    """
+    if not steady(rule):
+        raise ValueError("the rule's target has to stay known once it is")
+    cut = F.lit(str(split)).cast("date")
+    segment = F.when(F.col("ends") <= cut, "is").when(F.col("date") >= cut, "oos")
+    shared = backtest.shared_intervals(_bars(bars, [rule]), start, segment)
+    of_symbol = Window.partitionBy("symbol")
+    shared = shared.withColumns({"opens": F.min("date").over(of_symbol), "closes": F.max("ends").over(of_symbol)}).filter((F.col("opens") < cut) & (cut < F.col("closes"))).drop("opens", "closes")
+    backtest.require_rows(shared, "no history for the rule, or the split lies outside every symbol's window")
+    by = ("symbol", "rule", "segment")
+    return metrics.summarise(backtest.with_equity(backtest.fanned(shared, [rule], cost_bps), by), by)
 
 
 def split_bounds(bars: DataFrame, start, settings: Settings = SETTINGS) -> DataFrame:

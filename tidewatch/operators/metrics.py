@@ -46,11 +46,6 @@ def summarise(result: DataFrame, by: tuple[str, ...] = ("symbol", "rule")) -> Da
     return out.withColumn("excess_total_return", F.col("total_return") - F.col("bh_total_return")).withColumn("excess_cagr", F.col("cagr") - F.col("bh_cagr"))
 
 
-def excess(result: DataFrame, by: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
-    """The excess return alone: nothing else is computed."""
-    return result.groupBy(*by).agg((F.max_by("equity", "date") - F.max_by("benchmark", "date")).alias("excess"))
-
-
 def metrics_table(summary: DataFrame, by: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
     """by, metric, strategy, buy_and_hold in long form; buy and hold is always in the market and trades once."""
     rows = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("strategy"), F.col(f"bh_{m}").alias("buy_and_hold")) for m in STRATEGY]
@@ -62,3 +57,25 @@ def metrics_table(summary: DataFrame, by: tuple[str, ...] = ("symbol", "rule"))
 def count_beating(summary: DataFrame, column: str = "excess_total_return") -> DataFrame:
     """Rules per symbol that beat buy and hold, of how many; excess is rounded first so that equal ones don't count."""
     return summary.groupBy("symbol").agg(F.count_if(F.round(column, 12) > 0).alias("beating"), F.count("*").alias("rules"))
+
+
+def describe(df: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """by, column, n, mean, sd, low, quartiles and high of each column, in one aggregation."""
+    one = lambda c: F.struct(
+        F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("low"),
+        *[F.percentile(c, q).alias(k) for k, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))], F.max(c).cast("double").alias("high"),
+    )
+    return df.groupBy(*by).agg(F.array(*map(one, columns)).alias("x")).select(*by, F.inline("x"))
+
+
+def rolling(result: DataFrame, n: int, by: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
+    """by, date, volatility and sharpe (annualised) of the last n returns, where there are n."""
+    last = Window.partitionBy(*by).orderBy("date").rowsBetween(-(n - 1), 0)
+    d = result.select(*by, "date", F.avg("ret").over(last).alias("mean"), F.stddev_samp("ret").over(last).alias("sd"), F.count("*").over(last).alias("n")).filter(F.col("n") == n)
+    year = F.sqrt(F.lit(float(YEAR)))
+    return d.select(*by, "date", (F.col("sd") * year).alias("volatility"), (_safe(F.col("mean"), F.col("sd"), F.col("sd") > 0) * year).alias("sharpe"))
+
+
+def risk_return(summary: DataFrame, by: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
+    """The points of a scatter of rules: return against risk, and whether the rule beats buy and hold."""
+    return summary.select(*by, "cagr", "max_drawdown", "sharpe", (F.col("excess_total_return") > 0).alias("beats"))

@@ -88,6 +88,13 @@ class Both:
         return both(self.a.target(), self.b.target())
 
 
+def steady(rule: Strategy) -> bool:
+    """Whether the rule's target, once known, stays known on every later bar.  True of rules over averages."""
+    if isinstance(rule, Both):
+        return steady(rule.a) and steady(rule.b)
+    return isinstance(rule, (MACrossover, TrendFilter))
+
+
 def with_averages(bars: DataFrame, rules: list[Strategy]) -> DataFrame:
     """Bars with each distinct average that the rules need, computed once."""
     if not rules:
