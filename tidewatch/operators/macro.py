@@ -11,10 +11,10 @@ from ..settings import SETTINGS, Settings
 COLUMNS = ("date", "release", "release_type", "scheduled", "source_url")
 KEY = ("date", "release", "release_type")
 
-#: Shapes of the entries on the pages.  Fixed values.
-PAST_ENTRY = r"([A-Za-z]+)\s+(\d{1,2})(?:-(\d{1,2}))?(?:\s*\(([a-z]+)\))?\s*(Conference Call|Meeting)\s*-\s*(\d{4})"
-YEAR_HEADER = r"(\d{4})\s+FOMC Meetings"
-NEXT_ENTRY = r"(?:([A-Za-z]{3,9})/)?([A-Za-z]{3,9})\s+(\d{1,2})(?:-(\d{1,2}))?\*?\s*(?:\(([a-z ]+)\))?(?=\s*(?:Statement|\*|[A-Z][a-z]+(?:/[A-Z][a-z]+)?\s+\d{1,2}(?:-\d{1,2})?\*?(?:\s|$)|$))"
+#: Where a piece of a page's text starts: a word that a number follows, as a month does its day.
+PIECE = r"(?<=[^A-Za-z/])(?=[A-Za-z]+(?:/[A-Za-z]+)? \d)"
+#: Words of the pages.  Fixed values.
+SECTION, AFTER_ENTRY, CALL, MEETING = "FOMC Meetings", "Statement", "Conference Call", "Meeting"
 
 
 def _rows(dated: DataFrame, unscheduled: Column, release: str) -> DataFrame:
@@ -22,41 +22,59 @@ def _rows(dated: DataFrame, unscheduled: Column, release: str) -> DataFrame:
     return dated.select("date", F.lit(release).alias("release"), kind.alias("release_type"), (~unscheduled).alias("scheduled"), "source_url")
 
 
-def _part(entry: str, pattern: str, group: int) -> Column:
-    return F.regexp_extract(entry, pattern, group)
+def _pieces(text: Column) -> Column:
+    """The text cut at every word that a number follows, without what comes before the first."""
+    parts = F.split(F.concat(F.lit(" "), text), PIECE)
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def _read(pieces: DataFrame) -> DataFrame:
+    """piece -> month (its last name), day (the last), note (in brackets, or empty) and rest (what follows).
+
+    A piece whose second word is no day or pair of days, with a star or without, is no entry and goes.
+    """
+    words = F.split(F.trim("piece"), " ", 3)
+    d = pieces.withColumn("w", words).withColumn("days", F.rtrim(F.col("w")[1], F.lit("*"))).filter(F.col("days").rlike(r"^\d{1,2}(-\d{1,2})?$"))
+    tail = F.concat(F.when(F.col("w")[1].endswith("*"), "*").otherwise(""), F.coalesce(F.get("w", F.lit(2)), F.lit("")))
+    d = d.withColumn("tail", tail).withColumn("noted", F.ltrim("tail", F.lit("* ")).startswith("("))
+    note = F.when(F.col("noted"), F.substring_index(F.substring_index("tail", ")", 1), "(", -1)).otherwise("")
+    rest = F.when(F.col("noted"), F.expr("substr(tail, instr(tail, ')') + 1)")).otherwise(F.col("tail"))
+    names, days = F.split(F.col("w")[0], "/"), F.split("days", "-")
+    return d.withColumns({"month": F.element_at(names, -1), "day": F.element_at(days, -1).cast("int"), "note": note, "rest": F.trim(rest)}).drop("w", "days", "tail", "noted", "piece")
+
+
+def _date(year: Column) -> Column:
+    month = F.coalesce(month_number(F.col("month")), F.raise_error(F.concat(F.lit("unknown month: "), F.col("month"))).cast("int"))
+    return F.make_date(year, month, "day")
 
 
 def parse_year_pages(pages: DataFrame, skip: tuple[str, ...] = (), release: str = SETTINGS.policy_release) -> DataFrame:
     """pages (html, year, source_url) of past years -> calendar rows.  Cancelled meetings and dates of skip are left out.
 
-    A conference call or an unscheduled note makes a row unscheduled; an entry counts on its last day.
+    An entry is a month, a day or two, a note in brackets if any, what it was, a dash and the year.  A conference call
+    or an unscheduled note makes a row unscheduled; an entry counts on its last day.
     """
-    text = pages.select("year", "source_url", F.explode(F.regexp_extract_all(plain_text(F.col("html")), F.lit(PAST_ENTRY), 0)).alias("entry"))
-    p = lambda g: _part("entry", PAST_ENTRY, g)
-    day = F.when(p(3) != "", p(3)).otherwise(p(2)).cast("int")
-    d = text.filter((p(6).cast("int") == F.col("year")) & (p(4) != "cancelled"))
-    month = F.coalesce(month_number(p(1)), F.raise_error(F.concat(F.lit("unknown month: "), p(1))).cast("int"))
-    d = d.withColumn("date", F.make_date("year", month, day)).withColumn("un", (p(5) == "Conference Call") | (p(4) == "unscheduled"))
+    d = _read(pages.select("year", "source_url", F.explode(_pieces(plain_text(F.col("html")))).alias("piece")))
+    of_year = F.split("rest", r" ?- ?(?=\d{4})", 2)
+    d = d.withColumn("what", of_year[0]).filter(F.col("what").isin(CALL, MEETING) & (F.substring(F.get(of_year, F.lit(1)), 1, 4) == F.col("year").cast("string")) & (F.col("note") != "cancelled"))
+    d = d.withColumn("date", _date(F.col("year")))
     if skip:
         d = d.filter(~F.col("date").cast("string").isin(*skip))
-    return _rows(d, F.col("un"), release)
+    return _rows(d, (F.col("what") == CALL) | (F.col("note") == "unscheduled"), release)
 
 
 def parse_current_page(pages: DataFrame, release: str = SETTINGS.policy_release) -> DataFrame:
     """pages (html, source_url) with a section for each year -> calendar rows.  Notation votes are left out.
 
-    Of a meeting over the end of a month, the second month counts.
+    An entry is a month or two, a day or two, a note in brackets if any, and then a star, the statement, the next entry
+    or the end.  Of a meeting over the end of a month, the second month counts.
     """
-    t = pages.select("source_url", plain_text(F.col("html")).alias("t"))
-    sections = t.select("source_url", F.regexp_extract_all("t", F.lit(YEAR_HEADER), 1).alias("years"), F.split("t", YEAR_HEADER.replace("(", "(?:", 1)).alias("chunks"))
-    each = sections.select("source_url", F.posexplode(F.arrays_zip("years", F.slice("chunks", F.lit(2), F.greatest(F.size("chunks") - 1, F.lit(0))).alias("chunk"))).alias("i", "x"))
-    entries = each.select("source_url", F.col("x.years").cast("int").alias("year"), F.explode(F.regexp_extract_all(F.col("x.chunk"), F.lit(NEXT_ENTRY), 0)).alias("entry"), F.col("x.chunk").alias("chunk"))
-    lone = NEXT_ENTRY[: NEXT_ENTRY.index("(?=")]  # cut out, an entry has lost what it must be followed by
-    p = lambda g: _part("entry", lone, g)
-    month = F.coalesce(month_number(p(2)), F.raise_error(F.concat(F.lit("unknown month: "), p(2))).cast("int"))
-    day = F.when(p(4) != "", p(4)).otherwise(p(3)).cast("int")
-    d = entries.filter(~p(5).contains("notation vote")).withColumn("date", F.make_date("year", month, day)).withColumn("un", p(5).contains("unscheduled"))
-    return _rows(d, F.col("un"), release)
+    sections = F.split(plain_text(F.col("html")), rf"(?=\b\d{{4}} {SECTION})")
+    each = pages.select("source_url", F.explode(sections).alias("section")).filter(F.col("section").rlike(rf"^\d{{4}} {SECTION}"))
+    each = each.select("source_url", F.substring("section", 1, 4).cast("int").alias("year"), F.explode(_pieces(F.substring_index("section", SECTION, -1))).alias("piece"))
+    d = _read(each).filter((F.col("rest") == "") | F.col("rest").startswith("*") | F.col("rest").startswith(AFTER_ENTRY))
+    d = d.filter(~F.col("note").contains("notation vote")).withColumn("date", _date(F.col("year")))
+    return _rows(d, F.col("note").contains("unscheduled"), release)
 
 
 RELEASE_DATES = "count int, offset int, limit int, release_dates array<struct<release_id:int,date:string>>"
@@ -100,6 +118,12 @@ def differences(old: DataFrame, new: DataFrame) -> DataFrame:
     return gone.withColumn("change", F.lit("removed")).unionByName(come.withColumn("change", F.lit("added")))
 
 
+def change_counts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """change, n: how many rows a new calendar removes and adds; both are told, also if none."""
+    n = differences(old, new).agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("removed", "added")])
+    return n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("change"), F.col(c).alias("n")) for c in ("removed", "added")])))
+
+
 def forbidden_changes(old: DataFrame, fresh: DataFrame, today: str) -> DataFrame:
     """Changes before today that a merge must not make: any removal, and an addition that was scheduled."""
     return differences(old, fresh).filter((F.col("date") < F.lit(today).cast("date")) & ((F.col("change") == "removed") | F.col("scheduled")))
@@ -152,16 +176,14 @@ def validate(calendar: DataFrame, today: str, settings: Settings = SETTINGS) ->
 def tag(episodes: DataFrame, calendar: DataFrame) -> DataFrame:
     """Episodes with scheduled_releases and unscheduled_releases ("release date", by date) and catalyst.
 
-    A window is some days long: it is spelled out in days, so that releases join by an equality and no side need be
-    small.  Every episode stays.
+    A window is some days long: each episode is spelled out in the days of its window, so that releases join by an
+    equality and no side need be small, and gathered again; episodes are read once.  Every episode stays.
     """
-    days = episodes.select("symbol", "episode_id", F.explode(F.sequence("search_from", "search_to")).alias("date"))
+    days = episodes.withColumn("date", F.explode_outer(F.sequence("search_from", "search_to")))
     label = F.concat_ws(" ", "release", F.col("date").cast("string"))
-    met = days.join(calendar.select("date", "release", "release_type", "scheduled"), "date").select("symbol", "episode_id", "scheduled", F.struct("date", "release", "release_type", label.alias("label")).alias("x"))
-    lists = met.groupBy("symbol", "episode_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("scheduled") == on, F.col("x")))), lambda x: x["label"]).alias(c) for on, c in ((True, "scheduled_releases"), (False, "unscheduled_releases"))])
-    none = F.array().cast("array<string>")
-    out = episodes.join(lists, ["symbol", "episode_id"], "left")
-    out = out.withColumns({c: F.coalesce(c, none) for c in ("scheduled_releases", "unscheduled_releases")})
+    release = calendar.select("date", "scheduled", F.struct("date", "release", "release_type", label.alias("label")).alias("x"))
+    one_kind = lambda on: F.transform(F.array_sort(F.collect_list(F.when(F.col("scheduled") == on, F.col("x")))), lambda x: x["label"])
+    out = days.join(release, "date", "left").groupBy(*episodes.columns).agg(one_kind(True).alias("scheduled_releases"), one_kind(False).alias("unscheduled_releases"))
     return out.withColumn("catalyst", F.when(F.size("scheduled_releases") > 0, "scheduled").otherwise("surprise"))
 
 
