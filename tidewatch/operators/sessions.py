@@ -67,7 +67,10 @@ def sessions(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def missing_sessions(bars: DataFrame, session_days: DataFrame) -> DataFrame:
-    """symbol, date of sessions without a bar between a symbol's first and last."""
-    range_of = bars.groupBy("symbol").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    due = session_days.join(range_of, F.col("date").between(F.col("lo"), F.col("hi"))).select("symbol", "date")
-    return due.join(bars.select("symbol", "date"), ["symbol", "date"], "left_anti")
+    """symbol, date of sessions without a bar between a symbol's first and last.
+
+    Each symbol's stretch is spelled out in days, as many as the calendar has, which meet sessions and bars by equality.
+    """
+    days = F.explode(F.sequence("lo", "hi")).alias("date")
+    due = bars.groupBy("symbol").agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select("symbol", days)
+    return due.join(session_days.select("date"), "date", "left_semi").select("symbol", "date").join(bars.select("symbol", "date"), ["symbol", "date"], "left_anti")

@@ -34,7 +34,7 @@ def violations(old: DataFrame, new: DataFrame, session_days: DataFrame, settings
         s.filter(F.coalesce("nn", F.lit(0)) < F.col("on")).select("symbol", *said("rows", F.concat_ws("<", "nn", "on"))),
         s.filter(F.col("nlast") < F.col("olast")).select("symbol", *said("last_date", F.concat_ws("<", "nlast", "olast"))),
         rewrites(old, new, settings.rewrite_tolerance).select("symbol", *said("rewrite", F.concat_ws(" ", "column", "changed", "first_date"))),
-        factor_spread(old, new).filter(F.col("spread") > settings.factor_tolerance).select("symbol", *said("adj_factor", F.col("spread"))),
+        factor_spread(old, new).filter(F.col("spread") > settings.factor_tolerance).select("symbol", *said("adj_factor", F.format_string("%.6f", "spread"))),
         missing_sessions(new, session_days).select("symbol", *said("missing_session", F.col("date"))),
     ]
     out = parts[0]
@@ -54,6 +54,15 @@ def meta(bars: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     return bars.groupBy("symbol").agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count("*").alias("rows"), F.max_by("source", "date").alias("source")).withColumn("detector_version", F.lit(settings.detector_version))
 
 
+def document(bars: DataFrame, refreshed_at: str, schema_version: int = 1, settings: Settings = SETTINGS) -> DataFrame:
+    """meta() as the fields of a snapshot's document, a row for each symbol; refreshed_at: a UTC time, told with a Z."""
+    told = F.lit(refreshed_at.replace("+00:00", "Z"))
+    return meta(bars, settings).select(
+        F.lit(schema_version).alias("schema_version"), F.col("symbol").alias("ticker"), F.coalesce("source", F.lit("unknown")).alias("source"), told.alias("last_refresh"),
+        F.col("first_day").alias("first_trading_day"), F.col("last_day").alias("last_trading_day"), F.struct(F.col("rows").alias("prices")).alias("row_counts"), "detector_version",
+    )
+
+
 def stale(refreshed: DataFrame, now_utc: str, settings: Settings = SETTINGS) -> DataFrame:
     """refreshed (symbol, refreshed_at) with age_days, whole days since then, and stale."""
     age = F.floor((F.unix_timestamp(F.lit(now_utc).cast("timestamp")) - F.unix_timestamp("refreshed_at")) / 86400)

@@ -30,7 +30,9 @@ def normalise(raw: DataFrame, arrival: str = "arrival") -> DataFrame:
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """Bars as written by the sinks; a missing source is "unknown"."""
-    return spark.read.schema(BAR_SCHEMA).parquet(path).withColumn("source", F.coalesce("source", F.lit("unknown")))
+    from .files import read_table
+
+    return read_table(spark, path, BAR_SCHEMA).withColumn("source", F.coalesce("source", F.lit("unknown")))
 
 
 def provenance(bars: DataFrame) -> DataFrame:

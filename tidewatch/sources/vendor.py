@@ -11,12 +11,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 COLUMNS = "symbol string, date date, open double, high double, low double, close double, adj_close double, volume double"
 
 
-def with_retry(call: Callable, attempts: int = 4, wait: float = 2.0, most: float = 30.0, sleep: Callable = time.sleep):
-    """call's result; after each failure but the last a wait that doubles up to most."""
+def with_retry(call: Callable, attempts: int = 4, wait: float = 2.0, most: float = 30.0, sleep: Callable = time.sleep, on: tuple[type[Exception], ...] = (Exception,)):
+    """call's result; after each failure of the sorts in on, but the last, a wait that doubles up to most."""
     for k in range(attempts):
         try:
             return call()
-        except Exception:
+        except on:
             if k + 1 == attempts:
                 raise
             sleep(min(most, wait * 2**k))
