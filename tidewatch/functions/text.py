@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities that the pages use.  Fixed values; &amp; comes last so that nothing is read twice.
-ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
+#: Names of HTML's entities, as the standard library lists them; some may stand without their semicolon.
+_NAMED = {k.removesuffix(";"): v for k, v in sorted(html5.items())}
+_LOOSE = sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31}(?=;)|" + "|".join(_LOOSE) + r");?"
+#: Numbers that stand for Windows' characters, from 128.  Fixed values.
+_WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", "replace").replace("\ufffd", "\x00")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
+def unescaped(text: Column) -> Column:
+    """Entities as characters, each read once, from left to right; a name that is no entity stays as it is."""
+    names = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _NAMED.items())), F.lit("\x01"), F.lit("\x02"))
+    windows = F.split(F.lit("\x01".join(c if c != "\x00" else chr(0x80 + k) for k, c in enumerate(_WINDOWS))), "\x01")
+
+    def character(found: Column) -> Column:
+        name = F.rtrim(F.substring(found, 2, 64), F.lit(";"))
+        hexed = F.lower(F.substring(name, 2, 1)) == "x"
+        code = F.when(hexed, F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("long")
+        bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        number = F.when(bad, "\ufffd").when(code.between(0x80, 0x9F), F.get(windows, (code - 0x80).cast("int"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.when(name.startswith("#"), number).otherwise(F.coalesce(F.try_element_at(names, name), found))
+
+    between, found = F.split(text, _ENTITY), F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), 0), character)
+    return F.when(text.contains("&"), F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
     """Tags become spaces, entities characters, runs of white space one space."""
-    out = F.regexp_replace(html, "<[^>]+>", " ")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.regexp_replace(out, r"[\s\u00a0]+", " ")
+    return F.regexp_replace(unescaped(F.regexp_replace(html, "<[^>]+>", " ")), r"[\s\u00a0]+", " ")
 
 
 def month_number(name: Column) -> Column:

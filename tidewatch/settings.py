@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
+    """The thresholds are fixed values, as results have to equal those of earlier runs."""
+
     # rules
     short_periods: tuple[int, ...] = (10, 20, 50)
     long_periods: tuple[int, ...] = (100, 200)
@@ -58,6 +60,7 @@ class Settings:
     budget_usd: float = 25.0
     reserve_usd: float = 0.25
     max_failures: int = 5
+    strict_ids: bool = True
     max_searches: int = 3
     max_continuations: int = 3
 
