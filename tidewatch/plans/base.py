@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,16 @@ def bars(spark: SparkSession, sf_dir: str, symbols: int = 1) -> DataFrame:
     return derive_bars(table(spark, sf_dir, "orders"), symbols)
 
 
+def fresh(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that the cluster shares; a local one where no folder is named, for a local master only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{what}"
+
+
 def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
     """Doubles rounded; all else as it is."""
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

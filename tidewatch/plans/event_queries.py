@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import events, macro, regimes, reports, sessions, snapshots
+from ..operators.enrichment import bad_ids, narrowed, null_explanations, read_overrides, to_records, write_overrides
 from ..settings import SETTINGS
-from ..sources.bars import PRICES
-from .base import bars, bars_sql, rounded, table, with_sql
+from ..sources import files
+from .base import bars, bars_sql, fresh, rounded, table, with_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -44,9 +45,9 @@ def regime_spans(spark, d):
     return regimes.all_spans(bars(spark, d, 8), S.drawdown_regimes)
 
 
-@query("j14_spans_in_window", with_sql(B, DD, SPANS, select="SELECT symbol, threshold, greatest(start, DATE '1994-01-01') start, least(\"end\", DATE '1995-06-30') AS \"end\" FROM sp WHERE \"end\" >= DATE '1994-01-01' AND start <= DATE '1995-06-30'"))
+@query("j14_spans_in_window", with_sql(B, DD, SPANS, select="SELECT symbol, threshold, greatest(start, DATE '1996-02-01') start, least(\"end\", DATE '1998-06-30') AS \"end\" FROM sp WHERE \"end\" >= DATE '1996-02-01' AND start <= DATE '1998-06-30'"))
 def clipped(spark, d):
-    return regimes.clip_spans(regimes.all_spans(bars(spark, d), S.drawdown_regimes), "1994-01-01", "1995-06-30")
+    return regimes.clip_spans(regimes.all_spans(bars(spark, d), S.drawdown_regimes), "1996-02-01", "1998-06-30")
 
 
 @query("w21_drawdown_table", with_sql(B8, DD, UNDER, "rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY depth, peak) rank FROM uw)", select="SELECT symbol, CAST(rank AS INTEGER) rank, peak, trough, recovery, round(depth, 8) depth, CAST(coalesce(recovery_pos, n - 1) - peak_pos AS BIGINT) days_underwater FROM rk WHERE rank <= 10"))
@@ -139,7 +140,7 @@ def rallies(spark, d):
 @query("w16_clusters", with_sql(B8, FEATURES, DD, UNDER, RALLY, LEGS, select="SELECT symbol, min(start_pos) s, max(end_pos) e, count(*) legs FROM cl GROUP BY symbol, cluster"))
 def clusters(spark, d):
     b = bars(spark, d, 8)
-    c = events.clustered(events.legs(b, events.features(b)))
+    c = events.clustered(events.legs(events.features(b)))
     return c.groupBy("symbol", "cluster").agg(F.min("start_pos").alias("s"), F.max("end_pos").alias("e"), F.count("*").alias("legs")).drop("cluster")
 
 
@@ -158,9 +159,11 @@ def detect_symbols(spark, d):
     return rounded(events.detect(bars(spark, d, 20)), 6)
 
 
-@query("a23_duplicate_ids", with_sql(*detect_sql(8), select="SELECT symbol, episode_id, count(*) AS count FROM ep GROUP BY 1, 2 HAVING count(*) > 1"))
+@query("a23_duplicate_ids", with_sql(*detect_sql(8), "tw AS (SELECT symbol, episode_id FROM ep UNION ALL SELECT symbol, episode_id FROM ep WHERE trigger = 'gap')", select="SELECT symbol, episode_id, count(*) AS count FROM tw GROUP BY 1, 2 HAVING count(*) > 1"))
 def duplicates(spark, d):
-    return events.duplicate_ids(events.detect(bars(spark, d, 8)))
+    """Detected episodes, those of gaps twice."""
+    e = events.detect(bars(spark, d, 8))
+    return events.duplicate_ids(e.withColumn("n", F.explode(F.when(F.col("trigger") == "gap", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))))
 
 
 CAL = """sd AS (SELECT dt, row_number() OVER (ORDER BY dt) rn FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) dt FROM lineitem)),
@@ -223,9 +226,9 @@ def drop_listed(spark, d):
     return kept.select(*macro.COLUMNS, F.lit("kept").alias("part")).unionByName(dropped.select(*macro.COLUMNS, F.lit("dropped").alias("part")))
 
 
-@query("p8_horizon_trim", with_sql(CAL, select="SELECT * FROM cal WHERE date BETWEEN DATE '1993-01-01' AND DATE '1993-06-30' + 800"))
+@query("p8_horizon_trim", with_sql(CAL, select="SELECT * FROM cal WHERE date BETWEEN DATE '1996-06-01' AND DATE '1997-06-30' + 800"))
 def trim(spark, d):
-    return macro.trim(calendar(spark, d), "1993-06-30")
+    return macro.trim(calendar(spark, d), "1997-06-30", replace(S, calendar_start="1996-06-01"))
 
 
 _CHANGED = """nw AS (SELECT date, release, release_type, CASE WHEN day(date) = 7 THEN NOT scheduled ELSE scheduled END scheduled, source_url FROM cal WHERE day(date) <> 9)"""
@@ -354,14 +357,14 @@ def spread(spark, d):
     return rounded(snapshots.factor_spread(*_new_snapshot(spark, d)))
 
 
-@query("c14_snapshot_violations", with_sql(B, _HOLIDAYS, _SNAP, "cut AS (SELECT * FROM nb WHERE date < DATE '1996-01-01')", "rg AS (SELECT symbol, min(date) lo, max(date) hi FROM cut GROUP BY 1)", select="""SELECT 'S0' symbol, 'rows' AS "check", (SELECT count(*) FROM cut) || '<' || (SELECT count(*) FROM bars) AS detail
+@query("c14_snapshot_violations", with_sql(B, _HOLIDAYS, _SNAP, "cut AS (SELECT * FROM nb WHERE date < DATE '1999-01-01')", "rg AS (SELECT symbol, min(date) lo, max(date) hi FROM cut GROUP BY 1)", select="""SELECT 'S0' symbol, 'rows' AS "check", (SELECT count(*) FROM cut) || '<' || (SELECT count(*) FROM bars) AS detail
 UNION ALL SELECT 'S0', 'last_date', (SELECT max(date) FROM cut) || '<' || (SELECT max(date) FROM bars)
 UNION ALL SELECT b.symbol, 'rewrite', 'close ' || count(*) || ' ' || min(b.date) FROM bars b JOIN cut ON cut.date = b.date WHERE abs(cut.close / b.close - 1) > 0.0001 GROUP BY 1
+UNION ALL SELECT b.symbol, 'adj_factor', printf('%.6f', max(cut.adj_close / b.adj_close) / min(cut.adj_close / b.adj_close) - 1) FROM bars b JOIN cut ON cut.date = b.date GROUP BY 1
 UNION ALL SELECT symbol, 'missing_session', CAST(dy.date AS VARCHAR) FROM dy JOIN rg ON dy.date BETWEEN lo AND hi WHERE w < 6 AND dy.date NOT IN (SELECT date FROM ho) AND dy.date NOT IN (SELECT date FROM cut)"""))
 def snapshot_violations(spark, d):
     old, new = _new_snapshot(spark, d)
-    loose = replace(S, factor_tolerance=1.0)
-    return snapshots.violations(old, new.filter("date < DATE '1996-01-01'"), sessions.sessions(spark, "1993-01-01", "2000-12-31"), loose)
+    return snapshots.violations(old, new.filter("date < DATE '1999-01-01'"), sessions.sessions(spark, "1993-01-01", "2000-12-31"))
 
 
 @query("f31_staleness", "SELECT o_orderkey AS symbol, o_orderdate refreshed_at, CAST(floor(epoch(TIMESTAMP '1996-07-01 12:00:00' - o_orderdate) / 86400) AS BIGINT) age_days, CAST(floor(epoch(TIMESTAMP '1996-07-01 12:00:00' - o_orderdate) / 86400) AS BIGINT) > 3 stale FROM orders")
@@ -370,7 +373,62 @@ def staleness(spark, d):
     return snapshots.stale(o, "1996-07-01 12:00:00")
 
 
-@query("j5_overlap", with_sql(B, select=f"SELECT symbol, date, {', '.join(f'{c} AS old_{c}, {c} AS new_{c}' for c in PRICES[3:])} FROM bars WHERE year(date) = 1994"))
+@query("j5_overlap", with_sql(B, select="SELECT symbol, date, close AS old_close, close AS new_close FROM bars WHERE year(date) BETWEEN 1997 AND 1998"))
 def overlap(spark, d):
     b = bars(spark, d)
-    return b.select("symbol", "date", F.col("close").alias("old_close")).filter("year(date) <= 1994").join(b.select("symbol", "date", F.col("close").alias("new_close")).filter("year(date) >= 1994"), ["symbol", "date"])
+    return b.select("symbol", "date", F.col("close").alias("old_close")).filter("year(date) <= 1998").join(b.select("symbol", "date", F.col("close").alias("new_close")).filter("year(date) >= 1997"), ["symbol", "date"])
+
+
+@query("u2_change_counts", with_sql(CAL, _CHANGED, "a AS (SELECT date, release, release_type, scheduled FROM cal)", "b AS (SELECT date, release, release_type, scheduled FROM nw)", select="SELECT 'removed' change, count(*) n FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'added', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"))
+def change_counts(spark, d):
+    c = calendar(spark, d)
+    return macro.change_counts(c, c.filter(F.day("date") != 9).withColumn("scheduled", F.when(F.day("date") == 7, ~F.col("scheduled")).otherwise(F.col("scheduled"))))
+
+
+@query("s4_episodes_file", with_sql(*detect_sql(8), CAL, TAG, select="SELECT symbol, episode_id, start_date, status, round(move_pct, 6) move_pct, array_to_string(scheduled_releases, '|') scheduled, catalyst FROM te"))
+def episodes_file(spark, d):
+    """Tagged episodes, written by the sink, whose check of ids has to pass, and read back."""
+    path = fresh(spark, "episodes")
+    files.write_episodes(tagged(spark, d, 8), path, events.require_unique_ids)
+    e = files.read_table(spark, path, files.EPISODE_SCHEMA)
+    return rounded(e.select("symbol", "episode_id", "start_date", "status", "move_pct", F.array_join("scheduled_releases", "|").alias("scheduled"), "catalyst"), 6)
+
+
+@query("s4_calendar_file", with_sql(CAL, select="SELECT * FROM cal"))
+def calendar_file(spark, d):
+    path = fresh(spark, "calendar")
+    files.write_calendar(calendar(spark, d), path)
+    return files.read_table(spark, path, files.CALENDAR_SCHEMA)
+
+
+@query("s6_records_document", with_sql(*detect_sql(1), CAL, TAG, select="SELECT episode_id, 'unexplained' status, catalyst = 'scheduled' scheduled, search_from, search_to, 'v1' prompt_version, 'then' enriched_at FROM te"))
+def records_document(spark, d):
+    """The null provider's records of all episodes, written as a document and read back."""
+    e, path = narrowed(tagged(spark, d)), fresh(spark, "records.json")
+    files.write_rows(to_records(null_explanations(e), e, "then"), path, "records", "episode_id")
+    return files.read_rows(spark, path, "records", files.RECORD_SCHEMA, missing_ok=False).select("episode_id", "status", "scheduled", "search_from", "search_to", "prompt_version", "enriched_at")
+
+
+@query("s7_overrides_document", with_sql(*detect_sql(1), select="SELECT episode_id, CASE trigger WHEN 'gap' THEN 'accept' WHEN 'shock' THEN 'reject' ELSE 'edit' END action, CASE WHEN trigger NOT IN ('gap', 'shock') THEN 'about ' || episode_id END headline, 'now' reviewed_at FROM ep"))
+def overrides_document(spark, d):
+    """An override for each episode, written as a document, and checked where it is read."""
+    e, path = events.detect(bars(spark, d)), fresh(spark, "overrides.json")
+    fields = F.when(~F.col("trigger").isin("gap", "shock"), F.create_map(F.lit("headline"), F.concat(F.lit("about "), "episode_id")))
+    action = F.when(F.col("trigger") == "gap", "accept").when(F.col("trigger") == "shock", "reject").otherwise("edit")
+    write_overrides(e.select("episode_id", action.alias("action"), fields.alias("fields"), F.lit("now").alias("reviewed_at"), F.lit("").alias("note")), path)
+    return read_overrides(spark, path).select("episode_id", "action", F.col("fields")["headline"].alias("headline"), "reviewed_at")
+
+
+@query("s8_ledger_document", with_sql(*detect_sql(1), select="SELECT 'run ' || year(start_date) run_id, count(*) episodes_attempted, round(sum(abs(move_pct)), 6) cost_usd FROM ep GROUP BY 1"))
+def ledger_document(spark, d):
+    """A run for each year of episodes, written as a document and read back."""
+    path = fresh(spark, "ledger.json")
+    runs = events.detect(bars(spark, d)).groupBy(F.concat(F.lit("run "), F.year("start_date")).alias("run_id")).agg(F.count("*").alias("episodes_attempted"), F.sum(F.abs("move_pct")).alias("cost_usd"))
+    files.write_rows(runs, path, "runs", "run_id")
+    return rounded(files.read_rows(spark, path, "runs", files.LEDGER_SCHEMA).select("run_id", "episodes_attempted", "cost_usd"), 6)
+
+
+@query("f11_bad_ids", with_sql(*detect_sql(8), "ids AS (SELECT CASE WHEN month(start_date) = 6 THEN replace(episode_id, '-0', '-9') WHEN month(start_date) = 7 THEN episode_id || 'x' ELSE episode_id END episode_id FROM ep)", select="SELECT episode_id FROM ids WHERE NOT regexp_full_match(episode_id, '\\d{4}-\\d{2}-\\d{2}_(shock|gap|drawdown|rally)') OR try_cast(episode_id[1:10] AS DATE) IS NULL"))
+def ids_at_fault(spark, d):
+    e = events.detect(bars(spark, d, 8))
+    return bad_ids(e.select(F.when(F.month("start_date") == 6, F.replace("episode_id", F.lit("-0"), F.lit("-9"))).when(F.month("start_date") == 7, F.concat("episode_id", F.lit("x"))).otherwise(F.col("episode_id")).alias("episode_id")))

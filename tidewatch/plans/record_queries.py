@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -55,11 +57,10 @@ def status_rules(spark, d):
     return E.with_status(records(spark, d)).select("episode_id", "status")
 
 
-@query("f22_record_faults", f"WITH {REC} SELECT episode_id, 'headline too long' fault FROM rec WHERE length(headline) > 4")
+@query("f22_record_faults", f"WITH {REC} SELECT episode_id, 'headline too long' fault FROM rec WHERE length(headline) > 4 UNION ALL SELECT episode_id, 'unknown category' FROM rec WHERE category = 'rejected' UNION ALL SELECT episode_id, 'unknown region' FROM rec WHERE event_id % 17 = 0 UNION ALL SELECT episode_id, 'confidence outside 0 to 1' FROM rec WHERE event_id % 19 = 0")
 def record_faults(spark, d):
-    from dataclasses import replace
-
-    return E.record_faults(records(spark, d), replace(SETTINGS, headline_max=4))
+    odd = records(spark, d).withColumns({"region": F.when(F.col("event_id") % 17 != 0, F.col("region")), "confidence": F.when(F.col("event_id") % 19 == 0, 1.5).otherwise(F.col("confidence"))})
+    return E.record_faults(odd, replace(SETTINGS, headline_max=4))
 
 
 _OV = """ov AS (SELECT 'e' || event_id episode_id, 1 place, CASE event_id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'edit' END action, event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'e' || event_id, 2, 'edit', event_id FROM events WHERE event_id % 12 = 0),
@@ -82,10 +83,10 @@ def effective(spark, d):
     return e.select("episode_id", "status", "headline", F.array_join("drivers", ",").alias("drivers"), "rejected", "reviewed", "override_action")
 
 
-@query("f22_override_faults", "SELECT 'e' || event_id episode_id, CASE WHEN event_id % 3 = 0 THEN 'not editable: confidence,sources' WHEN event_id % 3 = 1 THEN 'fields without edit' END fault FROM events WHERE event_id % 3 < 2")
+@query("f22_override_faults", "SELECT 'e' || event_id episode_id, CASE WHEN event_id % 3 = 0 THEN 'not editable: confidence,sources' WHEN event_id % 3 = 1 THEN 'fields without edit' ELSE 'unknown region' END fault FROM events WHERE event_id % 3 < 2 OR event_id % 5 = 0")
 def override_faults(spark, d):
     i = F.col("event_id")
-    bad = F.when(i % 3 == 0, F.create_map(F.lit("sources"), F.lit("x"), F.lit("confidence"), F.lit("1"))).otherwise(F.create_map(F.lit("headline"), F.lit("x")))
+    bad = F.when(i % 3 == 0, F.create_map(F.lit("sources"), F.lit("x"), F.lit("confidence"), F.lit("1"))).when((i % 3 == 2) & (i % 5 == 0), F.create_map(F.lit("region"), F.lit("Mars"))).otherwise(F.create_map(F.lit("headline"), F.lit("x")))
     o = table(spark, d, "events").select(F.concat(F.lit("e"), i).alias("episode_id"), F.when(i % 3 == 1, "accept").otherwise("edit").alias("action"), bad.alias("fields"))
     return E.override_faults(o)
 
@@ -221,12 +222,62 @@ def source_filter(spark, d):
     return E.check_sources(claimed, E.search_results(_responses(spark, d)), windows).select("episode_id", "url", "reason")
 
 
+_KEPT = "page_id % 6 <> 0 AND published BETWEEN DATE '2020-04-05' AND DATE '2020-05-10'"
+
+
+@query("c16_answers", f"""WITH {SRC}, k AS (SELECT *, coalesce({_KEPT}, FALSE) kept, CAST(page_id % 10 AS DOUBLE) / 10 confidence FROM pg)
+SELECT 'e' || page_id episode_id, CASE WHEN NOT kept THEN 'unexplained' WHEN confidence < 0.5 THEN 'needs_review' ELSE 'explained' END status,
+CASE WHEN page_id % 11 = 0 THEN 'stopped by max_tokens' WHEN page_id % 13 = 0 THEN 'missing: summary' WHEN page_id % 7 = 0 THEN 'unknown category' END fault, CAST(kept AS INTEGER) n_sources,
+CASE WHEN kept THEN '' WHEN page_id % 6 = 0 THEN 'not_in_search_results' WHEN age IS NULL THEN 'no_page_age' WHEN published IS NULL THEN 'unparseable_page_age' ELSE 'outside_window' END dropped,
+CASE WHEN page_id % 11 = 0 THEN 'pause_turn|max_tokens' ELSE 'pause_turn|end_turn' END stop_reasons, 2 * page_id input_tokens, CAST(1 AS BIGINT) web_search_requests FROM k""")
+def answers(spark, d):
+    """Two replies for each page: one that searches and pauses, one with the answer."""
+    i = F.col("page_id")
+    pages = table(spark, d, "pages").select("page_id", "url", F.concat(F.lit("e"), i).alias("episode_id"))
+    said = F.to_json(F.struct(
+        F.lit("explained").alias("status"), F.concat(F.lit("h"), i).alias("headline"), F.when(i % 13 != 0, "s").alias("summary"), F.when(i % 7 == 0, "odd").otherwise("other").alias("category"), F.lit("US").alias("region"),
+        F.array(F.lit("d")).alias("drivers"), F.array(F.struct("url", F.lit("claimed").alias("title"))).alias("sources"), ((i % 10).cast("double") / 10).alias("confidence"), F.lit(False).alias("conflicting_sources"),
+    ))
+    text = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.lit("thinking").alias("text")), F.struct(F.lit("text").alias("type"), said.alias("text"))))
+    counts = lambda searches: (i.alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.lit(searches).cast("long").alias("web_search_requests"))
+    first = _responses(spark, d).join(pages, "episode_id").select("episode_id", F.lit(0).alias("place"), F.lit("pause_turn").alias("stop_reason"), F.col("blocks").alias("content"), *counts(1))
+    second = pages.select("episode_id", F.lit(1).alias("place"), F.when(i % 11 == 0, "max_tokens").otherwise("end_turn").alias("stop_reason"), text.alias("content"), *counts(0))
+    e = pages.select("episode_id", F.lit("2020-04-05").cast("date").alias("search_from"), F.lit("2020-05-10").cast("date").alias("search_to"), F.lit("scheduled").alias("catalyst"))
+    a = E.answers(first.unionByName(second), e)
+    return a.select("episode_id", "status", "fault", F.size("sources").alias("n_sources"), F.array_join(F.transform("dropped_sources", lambda x: x["reason"]), "|").alias("dropped"), F.array_join("stop_reasons", "|").alias("stop_reasons"), "usage.input_tokens", "usage.web_search_requests")
+
+
+@query("p13_narrowed", f"WITH {_EPS} SELECT episode_id, start_date, status, '' scheduled, CASE WHEN CAST(episode_id[2:] AS BIGINT) % 2 = 0 THEN 'FOMC' ELSE '' END unscheduled, CAST(episode_id[2:] AS DOUBLE) move_pct FROM eps")
+def narrowed(spark, d):
+    e, i = episodes(spark, d), F.expr("bigint(substr(episode_id, 2))")
+    none = F.lit(None)
+    wide = e.withColumns({
+        **{c: F.col("start_date").cast("timestamp") for c in ("end_date", "anchor_date", "search_from", "search_to")}, "start_date": F.col("start_date").cast("timestamp"), "direction": F.lit("up"), "trigger": F.lit("gap"),
+        "move_pct": i, "scheduled_releases": none.cast("array<string>"), "unscheduled_releases": F.when(i % 2 == 0, F.array(F.lit("FOMC"))), "catalyst": F.lit("surprise"), "more": F.lit(1),
+    })
+    n = E.narrowed(wide)
+    return n.select("episode_id", "start_date", "status", F.array_join("scheduled_releases", "|").alias("scheduled"), F.array_join("unscheduled_releases", "|").alias("unscheduled"), "move_pct")
+
+
+@query("p14_records", f"WITH {REC}, {_EPS} SELECT rec.episode_id, {RULED} status, start_date search_from, 'v1' prompt_version, 'then' enriched_at FROM rec JOIN (SELECT episode_id, start_date FROM eps) e ON e.episode_id = rec.episode_id")
+def to_records(spark, d):
+    e = episodes(spark, d).select("episode_id", F.col("start_date").alias("search_from"), F.col("start_date").alias("search_to"))
+    return E.to_records(records(spark, d).drop("prompt_version"), e, "then").select("episode_id", "status", "search_from", "prompt_version", "enriched_at")
+
+
+@query("l3_record_table", f"WITH {REC}, i AS (SELECT 'e' || event_id episode_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'none') SELECT i.episode_id, rec.episode_id IS NOT NULL found, status, confidence, CAST(coalesce(n_sources, 0) AS INTEGER) kept_sources, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'no_page_age' WHEN 2 THEN 'outside_window' END dropped_reasons, coalesce(event_id % 4, 0) searches, headline FROM i LEFT JOIN rec ON rec.episode_id = i.episode_id")
+def record_table(spark, d):
+    ids = table(spark, d, "events").filter("event_id % 2 = 0").select(F.concat(F.lit("e"), "event_id").alias("episode_id")).unionByName(spark.createDataFrame([("none",)], "episode_id string"))
+    return reports.record_table(records(spark, d).withColumn("cost_usd", F.lit(0.0)), ids).drop("cost_usd")
+
+
 @query("f23_safe_urls", "SELECT page_id, starts_with(url, 'https://') AND NOT contains(lower(url), 'api_key') safe FROM pages")
 def safe_urls(spark, d):
     return table(spark, d, "pages").select("page_id", text.safe_url(F.col("url")).alias("safe"))
 
 
-_ENT = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&#160;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&')"
+#: The entities that stand in the pages; an ampersand's comes last, so that nothing is read twice.
+_ENT = "regexp_replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
 
 
 @query("s13_plain_text", f"SELECT page_id, regexp_replace({_ENT}, '[\\s\\x{{00A0}}]+', ' ', 'g') AS plain FROM pages")
@@ -240,16 +291,13 @@ def month_numbers(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.month_number(F.when(F.col("o_orderkey") % 2 == 0, F.upper(name)).otherwise(F.substring(name, 1, 3))).alias("m"))
 
 
-@query("f25_fingerprints", "SELECT doc_id, sha256(text) fingerprint FROM documents")
-def fingerprints(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"))
-
-
-@query("f24_prompts", """SELECT 'e' || event_id episode_id, 'episode_id: e' || event_id || chr(10) || 'direction: up' || chr(10) || 'trigger: gap' || chr(10) || 'move_pct: ' || format('{:+.2f}', CAST(event_id % 200 - 100 AS DOUBLE) / 16) || '%' || chr(10)
+_PROMPTS = """SELECT 'e' || event_id episode_id, 'episode_id: e' || event_id || chr(10) || 'direction: up' || chr(10) || 'trigger: gap' || chr(10) || 'move_pct: ' || format('{:+.2f}', CAST(event_id % 200 - 100 AS DOUBLE) / 16) || '%' || chr(10)
 || 'start_date: ' || CAST(ts AS DATE) || chr(10) || 'end_date: ' || CAST(ts AS DATE) || chr(10) || 'anchor_date: ' || CAST(ts AS DATE) || chr(10) || 'search_from: ' || CAST(ts AS DATE) || chr(10) || 'search_to: ' || CAST(ts AS DATE) || chr(10)
 || 'scheduled_releases: ' || CASE WHEN event_id % 2 = 0 THEN 'CPI 2020-01-01, FOMC 2020-01-02' ELSE 'none' END || chr(10) || 'unscheduled_releases: none' || chr(10) || 'catalyst: ' || CASE WHEN event_id % 2 = 0 THEN 'scheduled' ELSE 'surprise' END || chr(10)
-|| CASE WHEN event_id % 2 = 0 THEN 'A scheduled release lies in the window.' ELSE 'No scheduled release lies in the window.' END AS prompt FROM events""")
-def prompts(spark, d):
+|| CASE WHEN event_id % 2 = 0 THEN 'A scheduled release lies in the window.' ELSE 'No scheduled release lies in the window.' END AS prompt FROM events"""
+
+
+def _prompts(spark, d):
     i, day = F.col("event_id"), F.to_date("ts")
     none = F.array().cast("array<string>")
     e = table(spark, d, "events").select(
@@ -258,7 +306,17 @@ def prompts(spark, d):
         F.when(i % 2 == 0, F.array(F.lit("CPI 2020-01-01"), F.lit("FOMC 2020-01-02"))).otherwise(none).alias("scheduled_releases"), none.alias("unscheduled_releases"),
         F.when(i % 2 == 0, "scheduled").otherwise("surprise").alias("catalyst"),
     )
-    return E.prompts(e).select("episode_id", "prompt")
+    return E.prompts(e)
+
+
+@query("f24_prompts", _PROMPTS)
+def prompts(spark, d):
+    return _prompts(spark, d).select("episode_id", "prompt")
+
+
+@query("f25_fingerprints", f"SELECT episode_id, sha256(prompt) digest, 'v1' prompt_version, '{E.PINNED['v1']}' fingerprint FROM ({_PROMPTS})")
+def fingerprints(spark, d):
+    return _prompts(spark, d).select("episode_id", "digest", "prompt_version", "fingerprint")
 
 
 @query("c17_null_explanations", f"WITH {_EPS} SELECT episode_id, 'unexplained' status, start_date >= DATE '2020-01-01' scheduled, 'null' provider, 0.0::DOUBLE confidence FROM eps")
@@ -275,7 +333,7 @@ def leak_scan(spark, d):
 @query("k11_sanitised", "SELECT event_id, '{\"a\":{\"title\":\"t' || event_id || '\"},\"b\":[{\"x\":1}]}' AS json FROM events")
 def sanitised(spark, d):
     i = F.col("event_id")
-    raw = F.concat(F.lit('{"a":{"encrypted_content":"q\\"z","title":"t'), i, F.lit('","cited_text":"c"},"b":[{"x":1,"encrypted_index":"e"}]}'))
+    raw = F.concat(F.lit('{"a":{"encrypted_content":"q\\"z","title":"t'), i, F.lit('","cited_text":null},"b":[{"x":1,"encrypted_index":["e",{"y":2}]}], "cited_text": {"z": [1]}}'))
     return table(spark, d, "events").select("event_id", E.without_keys(raw).alias("json"))
 
 

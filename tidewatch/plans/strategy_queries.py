@@ -11,13 +11,14 @@ from ..operators.regimes import drawdown
 from ..operators.signals import Both, MACrossover, TrendFilter, crossings, targets
 from ..settings import SETTINGS
 from ..sources import bars as prices
-from .base import BH, INTERVALS_SQL, METRICS, averages_sql, bars, bars_sql, common_sql, compounded_sql, rounded, rounds_sql, summary_sql, table, targets_sql, with_sql
+from ..sources import files
+from .base import BH, INTERVALS_SQL, METRICS, averages_sql, bars, bars_sql, common_sql, compounded_sql, fresh, rounded, rounds_sql, summary_sql, table, targets_sql, with_sql
 
 RULE = MACrossover(MASpec("sma", 20), MASpec("sma", 100))
 EMA_RULE = MACrossover(MASpec("ema", 10), MASpec("sma", 200))
 TREND_RULE = MACrossover(MASpec("sma", 10), MASpec("sma", 50), 200)
 COST = 5.0
-DAYS = ("1993-06-01", "1996-06-30")
+DAYS = ("1996-03-01", "1999-06-30")
 SPLIT = "1996-01-02"
 PRICE_COLS = ("open", "high", "low", "close", "adj_close", "volume")
 _ALL = (*METRICS, *BH, "excess_total_return", "excess_cagr")
@@ -70,9 +71,9 @@ def date_slice(spark, d):
     return prices.between(bars(spark, d), *DAYS).select("symbol", "date", "close")
 
 
-@query("p4_drop_incomplete", with_sql(B, select="SELECT symbol, date, close FROM bars WHERE date <> DATE '1994-03-15'"))
+@query("p4_drop_incomplete", with_sql(B, select="SELECT symbol, date, close FROM bars WHERE date <> DATE '1998-03-04'"))
 def drop_incomplete(spark, d):
-    return prices.drop_incomplete(bars(spark, d), "1994-03-15 20:00:00", SETTINGS.session_complete_after).select("symbol", "date", "close")
+    return prices.drop_incomplete(bars(spark, d), "1998-03-04 20:00:00", SETTINGS.session_complete_after).select("symbol", "date", "close")
 
 
 _MAS = [MASpec("sma", 20), MASpec("sma", 50), MASpec("sma", 200)]
@@ -193,9 +194,9 @@ def beating(spark, d):
     return metrics.count_beating(grid.run_grid(bars(spark, d), _RULES, COST))
 
 
-@query("c5_evaluate", with_sql(B, targets_sql([EMA_RULE], "(SELECT * FROM bars WHERE date <= DATE '1996-12-31')"), INTERVALS_SQL, common_sql("1993-01-04"), compounded_sql("cw", COST), select="SELECT symbol, rule, date, round(equity, 8) equity, round(benchmark, 8) benchmark FROM eq"))
+@query("c5_evaluate", with_sql(B, targets_sql([EMA_RULE], "(SELECT * FROM bars WHERE date <= DATE '1999-12-31')"), INTERVALS_SQL, common_sql("1996-06-03"), compounded_sql("cw", COST), select="SELECT symbol, rule, date, round(equity, 8) equity, round(benchmark, 8) benchmark FROM eq"))
 def evaluate(spark, d):
-    return rounded(grid.evaluate(bars(spark, d), EMA_RULE, COST, "1993-01-04", "1996-12-31").select("symbol", "rule", "date", "equity", "benchmark"))
+    return rounded(grid.evaluate(bars(spark, d), EMA_RULE, COST, "1996-06-03", "1999-12-31").select("symbol", "rule", "date", "equity", "benchmark"))
 
 
 _HEAT = grid.heatmap_rules()
@@ -263,6 +264,42 @@ def period_means(spark, d):
     return rounded(b.groupBy("symbol", F.year("date").cast("long").alias("year")).agg(F.count("*").alias("n"), F.avg("close").alias("mean_close"), F.stddev_samp("close").alias("sd_close"), F.min("low").alias("low"), F.max("high").alias("high")), 6)
 
 
+_Q = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+@query("a27_describe", with_sql(bars_sql(8), select=" UNION ALL ".join(f"SELECT symbol, '{c}' AS \"column\", count({c}) n, round(avg({c}), 6) mean, round(stddev_samp({c}), 6) sd, min({c}) low, " + ", ".join(f"quantile_cont({c}, {q}) {k}" for k, q in _Q.items()) + f", max({c}) high FROM bars GROUP BY 1" for c in ("close", "volume"))))
+def describe(spark, d):
+    return rounded(metrics.describe(bars(spark, d, 8), ("close", "volume")), 6)
+
+
+_ROLL = "rr AS (SELECT symbol, rule, date, avg(ret) OVER w a, stddev_samp(ret) OVER w sd, count(*) OVER w n FROM eq WINDOW w AS (PARTITION BY symbol, rule ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"
+
+
+@query("c18_rolling_metrics", with_sql(*_BT, _ROLL, select="SELECT symbol, rule, date, round(sd * sqrt(252.0), 6) volatility, round(CASE WHEN sd > 0 THEN a / sd * sqrt(252.0) END, 6) sharpe FROM rr WHERE n = 60"))
+def rolling_metrics(spark, d):
+    return rounded(metrics.rolling(_result(spark, d), 60), 6)
+
+
+@query("c18_risk_return", with_sql(*_GRID, common_sql(), compounded_sql("cw", COST), summary_sql(), select="SELECT symbol, rule, round(cagr, 8) cagr, round(max_drawdown, 8) max_drawdown, round(sharpe, 8) sharpe, excess_total_return > 0 beats FROM sm"))
+def risk_return(spark, d):
+    return rounded(metrics.risk_return(grid.run_grid(bars(spark, d), _RULES, COST)))
+
+
+@query("s3_prices_file", with_sql(bars_sql(8), select="SELECT symbol, date, close, 'file' source FROM bars"))
+def prices_file(spark, d):
+    """Written by the sink and read back."""
+    path = fresh(spark, "prices")
+    files.write_prices(bars(spark, d, 8), path, "file")
+    return prices.read_prices(spark, path).select("symbol", "date", "close", "source")
+
+
+@query("k4_meta_document", with_sql(B, select="SELECT 1 schema_version, symbol ticker, arg_max(source, date) source, '2001-09-01T00:00:00Z' last_refresh, min(date) first_trading_day, max(date) last_trading_day, count(*) prices, 1 detector_version FROM bars GROUP BY symbol"))
+def meta_document(spark, d):
+    path = fresh(spark, "meta.json")
+    files.write_meta(spark, path, snapshots.document(bars(spark, d), "2001-09-01T00:00:00+00:00"))
+    return files.read_meta(spark, path).select("schema_version", "ticker", "source", "last_refresh", "first_trading_day", "last_trading_day", "row_counts.prices", "detector_version")
+
+
 @query("w8_drawdown", with_sql(bars_sql(8), select="SELECT symbol, date, round(close / max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 8) drawdown FROM bars"))
 def drawdown_query(spark, d):
     return rounded(drawdown(bars(spark, d, 8)).select("symbol", "date", "drawdown"))
