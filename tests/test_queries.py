@@ -9,7 +9,7 @@ import __spark_entry__
 from tidewatch.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["s2_normalise", "w2_ema", "a9_metrics_table", "c7_rolling_start", "w15_rally_legs", "f29_holidays", "s15_current_page", "f20_effective_records", "f19_source_filter", "c14_snapshot_violations"]
+SAMPLE = ["s2_normalise", "w2_ema", "a9_metrics_table", "c7_rolling_start", "w15_rally_legs", "f29_holidays", "s15_current_page", "f20_effective_records", "f19_source_filter", "c14_snapshot_violations", "c16_answers", "s7_overrides_document", "a27_describe", "c9_in_out_of_sample"]
 
 
 def norm(v):
