@@ -215,6 +215,21 @@ def test_forward_backward_by_enumeration():
         np.testing.assert_allclose(crf_language.forward_backward(scores, trans, sizes, block)[0], np.concatenate(want), atol=1e-12)
 
 
+def test_segments_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    crf = crf_language.Crf(["a", "b", "c"], rng.normal(size=(1024, 3)).astype(np.float32) / 3, {"w3": [1]}, np.eye(3, dtype=np.float32), rng.normal(size=(3, 3)))
+    words = [f"w{chr(97 + k)}" for k in rng.integers(0, 20, 101)]
+    whole = crf.marginals(words, np.array([101]))
+    for size in (1, 7, 50, 101, 200):
+        np.testing.assert_allclose(np.concatenate(list(crf.segments(words, size))), whole, atol=1e-10)
+    texts = [" ".join(words), "", "wa wb", " ".join(words[:30]), None, "wc"]
+    docs = spark.createDataFrame([(i, t, "a", "s", 1) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    once = [r[1:] for r in crf_language.predict(docs, crf).collect()]
+    monkeypatch.setattr(crf_language, "SEGMENT_SCORES", 40)
+    for (a, x, *more), (b, y, *same) in zip(once, [r[1:] for r in crf_language.predict(docs, crf).collect()]):
+        assert (a, more) == (b, same) and abs(x - y) < 1e-9
+
+
 def test_features_are_of_their_word():
     alone = [sorted(crf_language.features([w])[0].tolist()) for w in ("été", "a", "word")]
     slots, owners = crf_language.features(["été", "a", "word"])

@@ -12,7 +12,8 @@ score.
 Every label that stands in the table is a class.  Fitting takes a bounded sample: of each language the DOCS documents
 of smallest md5 of their id, and of each of these WINDOWS runs of RUN words, spread over the whole text.  Some runs of
 different languages are joined to chains, so that transitions are learned from switches.  Everything else covers all
-rows and whole texts: a long chain is cut into blocks whose transfer matrices are multiplied, which is exact.  With many
+rows and whole texts: a long chain is cut into blocks whose transfer matrices are multiplied, and a longer one into
+segments that hand each other what they know, which is exact, too, and bounds what is held at once.  With many
 languages features are hashed to fewer slots, so that a model holds MODEL_BYTES at most; over MOST_LANGS labels are no
 languages and an error.
 
@@ -37,8 +38,8 @@ from .shared import named, small_batches
 DOCS, WINDOWS, RUN, MOST_LANGS = 300, 4, 24, 2048
 #: Slots of hashed weights, fewer with many languages; bytes of all of these.
 SLOTS, MODEL_BYTES = 1 << 16, 1 << 25
-#: Scores kept in a Python worker, in numbers; words of a block; numbers of a word and language labelled at a time.
-CACHE_SCORES, BLOCK, BATCH_SCORES = 600_000, 32, 400_000
+#: Scores kept in a Python worker, in numbers; words of a block; numbers of a word and language labelled at a time, and those of a segment of a longer text.
+CACHE_SCORES, BLOCK, BATCH_SCORES, SEGMENT_SCORES = 600_000, 32, 400_000, 400_000
 LEXICON, LEXICON_SHARE = 200, 0.8
 #: Letters of a word; a longer run is several words.
 LONGEST = 40
@@ -152,6 +153,30 @@ class Crf:
         return forward_backward(self.scores(words), self.transitions, sizes)[0]
 
 
+    def segments(self, words: list[str], size: int):
+        """The marginals of one chain, segment after segment of size words; what a segment's neighbours know of its ends is added to the scores of its first and last word."""
+        step = np.exp(self.transitions - self.transitions.max())
+        parts = [words[k : k + size] for k in range(0, len(words), size)]
+        before, after = [None] * len(parts), [None] * len(parts)
+
+        def run(k: int, left: bool, right: bool):
+            s = self.scores(parts[k])
+            if left and before[k] is not None:
+                s[0] += np.log(np.maximum(before[k], 1e-300))
+            if right and after[k] is not None:
+                s[-1] += np.log(np.maximum(after[k], 1e-300))
+            return s, *forward_backward(s, self.transitions, np.array([len(parts[k])]))
+
+        for k in range(len(parts) - 1):
+            s, _, fore = run(k, True, False)
+            own = fore[-1] * np.exp(s[-1] - s[-1].max())
+            before[k + 1] = own / own.sum() @ step
+        for k in range(len(parts) - 1, 0, -1):
+            after[k - 1] = step @ run(k, False, True)[1][0]
+        for k in range(len(parts)):
+            yield run(k, True, True)[1]
+
+
 def forward_backward(scores: np.ndarray, transitions: np.ndarray, sizes: np.ndarray, block: int = BLOCK):
     """Marginals of every word, and each word's forward vector before its own score; sizes: words of each chain, none 0.
 
@@ -379,25 +404,36 @@ def predict(docs: DataFrame, crf: Crf | None, keep: list[str] | None = None) ->
         out = []
         lists, total = [], 0
 
+        def told(parts, n):
+            """The label, score, words and switches of a text, from its marginals, part after part."""
+            total, switches, last = 0.0, 0, None
+            for q in parts:
+                label = q.argmax(1)
+                total = total + q.sum(0)
+                switches += int((label[1:] != label[:-1]).sum()) + (last is not None and last != label[0])
+                last = label[-1]
+            best = int((total / n).argmax())
+            return own.langs[best], float(min(1.0, total[best] / n)), n, int(switches)
+
         def flush():
             sizes = np.array([len(x) for x in lists])
             full = sizes > 0
             p = own.marginals([w for x in lists for w in x], sizes[full]) if full.any() else None
             at = 0
             for n in sizes.tolist():
-                if not n:
-                    out.append((UNKNOWN, 0.0, 0, 0))
-                    continue
-                q = p[at : at + n]
+                out.append(told([p[at : at + n]], n) if n else (UNKNOWN, 0.0, 0, 0))
                 at += n
-                mean = q.mean(0)
-                best, label = int(mean.argmax()), q.argmax(1)
-                out.append((own.langs[best], float(min(1.0, mean[best])), n, int((label[1:] != label[:-1]).sum())))
             lists.clear()
 
         for t in texts:
-            lists.append(words_of(t.as_py()))
-            total += len(lists[-1])
+            words = words_of(t.as_py())
+            if len(words) * len(own.langs) > SEGMENT_SCORES:
+                flush()
+                total = 0
+                out.append(told(own.segments(words, max(1, SEGMENT_SCORES // len(own.langs))), len(words)))
+                continue
+            lists.append(words)
+            total += len(words)
             if total * len(own.langs) >= BATCH_SCORES:
                 flush()
                 total = 0
