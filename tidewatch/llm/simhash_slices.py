@@ -212,23 +212,28 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row of each group, columns as they are: of its rows the one of smallest doc_id, null last, then of smallest text hash."""
+    """One row of each group, columns as they are: the one of smallest doc_id, null last, then of smallest text hash, then of smallest hash of the other columns.
+
+    A row is known by these three, so that only its key and fingerprint are written on the way, and the rows themselves
+    move once, to meet the keys that stay.  Rows that share all three are alike, and one of them stays.
+    """
     small_batches(docs.sparkSession)
-    place, held = docs.columns.index("text"), docs.schema["text"].dataType.typeName() == "string"  # the text goes to Python once, inside its row
-    kept = docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), whole_rows(docs).alias("row"), *([] if held else [named(docs, "text").cast("string").alias("text")]))
-    kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("row", kept.schema["row"].dataType)])
+    others = [named(docs, f.name) for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    doc_id, text = named(docs, "doc_id").cast("long"), named(docs, "text").cast("string")
+    key = [doc_id.isNull().alias("_null"), F.coalesce(doc_id, F.lit(0)).alias("_id"), F.xxhash64(text).alias("_text"), F.xxhash64(*others).alias("_rest")]
+    names = ["_null", "_id", "_text", "_rest"]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(1).field(place) if held else batch.column(2)
-            fps = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(1)], ["doc_id", "fp", "row"])
-
-    marked = kept.mapInArrow(run, kind).withColumn("place", F.monotonically_increasing_id())
-    rows = written(marked.withColumn("hashed", F.xxhash64(F.col("row").getField("text"))), "fingerprints")  # read again, a row's place stays
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hashed", "place")
-    firsts = rows.groupBy("fp").agg(F.min(order).alias("first")).join(groups(rows.select("doc_id", "fp"), chunk), "fp")
-    keep = written(firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.place"), "kept")
-    return rows.select("place", "row").join(keep, "place", "left_semi").select("row.*")
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(4)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(fps)], [*names, "fp"])
+
+    marked = docs.select(*key, text.alias("text")).mapInArrow(run, "_null boolean, _id long, _text long, _rest long, fp long")
+    rows = written(marked, "fingerprints")
+    of_fp = rows.groupBy("fp").agg(F.min(F.struct(*names)).alias("first"))
+    ids = rows.select("fp", F.when(~F.col("_null"), F.col("_id")).alias("doc_id"))
+    keep = of_fp.join(groups(ids, chunk), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    keyed = docs.select(*key, whole_rows(docs).alias("row"))
+    return keyed.join(written(keep, "kept"), names, "left_semi").dropDuplicates(names).select("row.*")
