@@ -97,8 +97,11 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights=WEIGHTS, share:
         rows = written(rows, "sizes")
     sums = (rows if not carry else written(sized(docs), "sizes")).groupBy("key", "range").agg(F.sum("size").alias("range_size"))
     plan = targets(sums.groupBy("key").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
-    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sums.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0))).drop("range_size").join(plan, "key")
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda what, by, order: F.coalesce(F.sum(what).over(earlier(by, order)), F.lit(0))
+    sums = sums.withColumn("top", F.substring("range", 1, 2))
+    tops = sums.groupBy("key", "top").agg(F.sum("range_size").alias("top_size")).withColumn("top_start", running("top_size", ["key"], "top")).drop("top_size").join(plan, "key")
+    ranges = sums.withColumn("range_start", running("range_size", ["key", "top"], "range")).drop("range_size").join(tops, ["key", "top"]).withColumn("range_start", F.col("range_start") + F.col("top_start")).drop("top", "top_start")
     inside = Window.partitionBy("key", "range").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["key", "range"])
     d = d.withColumn("start", F.col("range_start") + F.col("inside"))
