@@ -6,7 +6,9 @@ docs.  Null texts go at the first stage, as their language is unknown; an empty
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.llm import crf_language, curriculum_mix, forced_bpe, quality_rules, simhash_slices
 from tidewatch.llm.queries import tokenizer_path
@@ -34,8 +36,20 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row."""
-    return forced_bpe.encode_decode(docs, tokenizer_path(), with_ids=True)
+    """Token ids of every row, and its place in the training order.
+
+    The mixture is written by ranges of training time, so the number of a row's file, and its number there, order the
+    rows; both are null for rows that come from no file.
+    """
+    text = docs["text"].alias("text")
+    try:
+        placed = docs.select(F.struct(docs["doc_id"], F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("int").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"), text)
+        placed.schema  # noqa: B018 - tells whether the rows come from files
+    except AnalysisException:
+        none = F.lit(None)
+        placed = docs.select(F.struct(docs["doc_id"], none.cast("int").alias("file"), none.cast("long").alias("row")).alias("at"), text)
+    coded = forced_bpe.encode_decode(placed, tokenizer_path(), id_col="at", with_ids=True)
+    return coded.select("at.*", *[c for c in coded.columns if c != "at"])
 
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("encoding", encoding)]

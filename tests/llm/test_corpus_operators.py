@@ -528,8 +528,19 @@ def test_pipeline_against_brute_force(spark, tmp_path):
                 ids = tokenizer.encode(text, add_special_tokens=False).ids
                 want[r[0], len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()] += 1
             at += len(ends)
-    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in out)
     assert got == want and sum(got.values()) > 100
+    # files and rows hold the training order
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = shared.written(stage(spark, docs, ""), name)
+    due = {r.doc_id: r.positions for r in curriculum_mix.mix(docs).collect() if r.doc_id is not None}
+    order = [r.doc_id for r in sorted(out, key=lambda r: (r.file, r.row)) if r.doc_id is not None]
+    nth, times = Counter(), []
+    for i in order:
+        times.append(due[i][nth[i]])
+        nth[i] += 1
+    assert times == sorted(times) and len(set(times)) > 50
 
 
 def test_stages_keep_odd_columns(spark):
@@ -538,7 +549,8 @@ def test_stages_keep_odd_columns(spark):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), docs.schema)
-    assert corpus_pipeline.encoding(spark, docs, "").count() == docs.count() > 50
+    coded = corpus_pipeline.encoding(spark, docs, "")
+    assert coded.count() == docs.count() > 50 and coded.filter("file IS NOT NULL").count() == 0
 
 
 def test_stages(spark):
