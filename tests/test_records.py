@@ -1,3 +1,4 @@
+import io
 import json
 from html import unescape
 
@@ -89,6 +90,29 @@ def test_vendor_source_and_retry(spark):
     assert "KEY" not in str(e.value)
 
 
+def test_fetching_text_and_names():
+    class Answer(io.BytesIO):
+        status = 200
+
+    asked = []
+
+    def opener(url, timeout):
+        asked.append((url, timeout))
+        answer = Answer(b"\xef\xbb\xbfpage")
+        answer.status = 404 if "gone" in url else 200
+        return answer
+
+    assert vendor.fetch_text("https://x/a", 5.0, opener) == "page" and asked == [("https://x/a", 5.0)]
+    with pytest.raises(ValueError, match="https://x/gone: 404") as e:
+        vendor.fetch_text("https://x/gone?api_key=KEY", 5.0, opener)
+    assert "KEY" not in str(e.value)
+    assert vendor.fetch_release_name("https://x", 10, "KEY", get=lambda url: '{"releases": [{"name": "Prices"}]}') == "Prices"
+    with pytest.raises(ValueError, match="release 10") as e:
+        vendor.fetch_release_name("https://x", 10, "KEY", get=lambda url: (_ for _ in ()).throw(OSError(url)))
+    assert "KEY" not in str(e.value)
+    assert vendor.fetch_release_dates("https://x", 10, "KEY", "2020-01-01", get=lambda url: url).startswith("https://x/release/dates?release_id=10")
+
+
 def test_cost_of_unknown_model(spark):
     u = spark.createDataFrame([("m", 1, 1, 1)], "model string, input_tokens long, output_tokens long, web_search_requests long")
     with pytest.raises(Exception, match="no price"):
