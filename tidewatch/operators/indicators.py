@@ -61,12 +61,11 @@ def add_averages(bars: DataFrame, specs: list[MASpec], column: str = "close") ->
     so_far, w = by_date().rowsBetween(Window.unboundedPreceding, 0), by_date()
     exact = F.col(column).try_cast("decimal(28,12)")
     sums = out.withColumns({"_sum": F.coalesce(F.sum(exact).over(so_far), F.lit(0)).cast("decimal(37,12)"), "_n": F.count(exact).over(so_far)})
-    none = F.lit(0).cast("decimal(37,12)")
+    over = "OVER (PARTITION BY symbol ORDER BY date)"
 
     def mean(n):
-        full = F.col("_n") - F.lag("_n", n, 0).over(w) == n
-        before = F.coalesce(F.lag("_sum", n).over(w), none)
-        return F.when(full, (F.col("_sum") - before).cast("double") / n)
+        before = f"coalesce(lag(_sum, {n}) {over}, CAST(0 AS DECIMAL(37,12)))"
+        return F.expr(f"CASE WHEN _n - lag(_n, {n}, 0L) {over} = {n} THEN CAST(_sum - {before} AS DOUBLE) / {n} END")
 
     return sums.withColumns({s.label: mean(s.period) for s in smas}).drop("_sum", "_n")
 
