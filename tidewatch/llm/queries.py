@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_language, curriculum_mix, forced_bpe, license_scan, permutation_index, quality_rules, quotation_linking, simhash_slices, temporal_url_filter, token_files
+from . import best_fit_packing, crf_language, curriculum_mix, forced_bpe, importance_resampling, license_scan, permutation_index, quality_rules, quotation_linking, simhash_slices, temporal_url_filter, token_alignment, token_files
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {
         "op1_license_sentences": op1,
@@ -105,6 +117,9 @@ def queries() -> dict:
         "op8_token_files": op8,
         "op9_simhash_slices": op9,
         "op10_curriculum_mix": op10,
+        "op11_token_alignment": op11,
+        "op12_importance_resampling": op12,
+        "op13_best_fit_packing": op13,
     }
 
 
