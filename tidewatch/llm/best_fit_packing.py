@@ -20,17 +20,28 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import named, small_batches, written
-
-#: Chunks between white space whose ids a worker remembers, and the longest of these.  When full it starts anew.
-CACHE_ENTRIES, CACHED_BYTES = 200_000, 48
+from .forced_bpe import byte_alphabet
+from .shared import WORD, named, small_batches, written
+
+#: Words whose ids a worker remembers, and the longest of these.  When full it starts anew.
+CACHE_ENTRIES, CACHED_CHARS = 400_000, 32
+#: Fixed values of the tokenizer's file: the mark of a word's end, and how lower-case text is split.
+WORD_END, END_BYTE = "</w>", b"\xff"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters and numbers among SETTLED, characters whose class, case and composition no version of Unicode has changed.
+LETTERS, NUMBERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u2c65\u2c66", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+SETTLED = re.compile(r"[\x09-\x0D\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20ac]*")
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\x20\x09-\x0D{LETTERS}{NUMBERS}]+")
+CHUNKS = re.compile(WORD)
 #: Rows that a writer gives out at a time.
 ROWS = 4096
 #: Bits of a piece's number in the key of a lookup; lengths take those above.
@@ -122,8 +133,13 @@ def placements(counts: dict[int, int], bins: Bins) -> tuple[np.ndarray, int]:
     return np.array(out, np.int64).reshape(-1, 6), opened
 
 
-class ChunkEncoder:
-    """A tokenizer that drops white space: chunks between ASCII white space are encoded apart, and remembered."""
+class WordEncoder:
+    """A tokenizer that drops white space, and splits what stands between into words that it encodes apart.
+
+    Words of settled characters are split here and merged by a routine for single words with the same ranks; whatever
+    stands between white space and holds another character, or a special token, goes to the tokenizer library.  Both
+    are remembered.
+    """
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -132,24 +148,57 @@ class ChunkEncoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[bytes, bytes] = {}
+        parsed = json.loads(spec)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in parsed["added_tokens"]) or r"(?!)")
+        self.ranked = self._ranked(parsed["model"])
+        self.cache: dict[str, bytes] = {}
+
+    @staticmethod
+    def _ranked(model: dict):
+        """The merges as ranks of bytes, if ids stand in their order; the end of a word is a byte that no text holds."""
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if model["end_of_word_suffix"] != WORD_END or [model["vocab"].get(m) for m in made] != list(range(512, 512 + len(made))):
+            return None
+        import tiktoken
+
+        alphabet = byte_alphabet()
+        raw = lambda t: bytes(map(alphabet.__getitem__, t.removesuffix(WORD_END))) + END_BYTE * t.endswith(WORD_END)
+        return tiktoken.Encoding("ranked", pat_str=r"\S+", mergeable_ranks={raw(t): i for t, i in model["vocab"].items() if i < 512 + len(made)}, special_tokens={})
+
+    def words(self, text: str) -> list[str]:
+        """Words, and chunks for the library with a blank before them."""
+        if self.ranked and SETTLED.fullmatch(text) and not self.added.search(text):
+            return WORDS.findall(text.lower())
+        out: list[str] = []
+        for chunk in CHUNKS.findall(text):
+            if self.ranked and SETTLED.fullmatch(chunk) and not self.added.search(chunk):
+                out += WORDS.findall(chunk.lower())
+            else:
+                out.append(" " + chunk)
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        cache, parts = self.cache, text.encode().split()
+        cache, parts = self.cache, self.words(text)
         found = list(map(cache.get, parts))
         if None in found:
-            missing = list({p for p, f in zip(parts, found) if f is None})
-            coded = self.library.encode_batch_fast([m.decode() for m in missing], add_special_tokens=False)
-            new = {m: np.asarray(e.ids, "<u4").tobytes() for m, e in zip(missing, coded)}
+            new = self._encoded(list({p for p, f in zip(parts, found) if f is None}))
             found = [new[p] if f is None else f for p, f in zip(parts, found)]
             if len(cache) + len(new) > CACHE_ENTRIES:
                 cache.clear()
-            cache.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_BYTES)
+            cache.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_CHARS)
         return b"".join(found)
 
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        odd = [p for p in parts if p[0] == " "]
+        new = {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(odd, self.library.encode_batch_fast([p[1:] for p in odd], add_special_tokens=False))}
+        if self.ranked:
+            one = self.ranked._core_bpe.encode_single_piece
+            new.update((p, array("I", one(p.encode() + END_BYTE)).tobytes()) for p in parts if p[0] != " ")
+        return new
+
 
 def drops_blanks(spec: str) -> bool:
     """Whether the file splits at white space, drops it, and does nothing else that could reach over it."""
@@ -157,20 +206,20 @@ def drops_blanks(spec: str) -> bool:
     flat = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
     before, split = flat(parsed["normalizer"], "normalizers"), flat(parsed["pre_tokenizer"], "pretokenizers")
     plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in before)
-    words = bool(split) and split[0]["type"] == "Split" and split[0]["behavior"] == "Removed" and split[0]["invert"] and r"[^\s\p{L}\p{N}]" in split[0]["pattern"].get("Regex", "")
+    words = bool(split) and split[0]["type"] == "Split" and split[0]["behavior"] == "Removed" and split[0]["invert"] and split[0]["pattern"].get("Regex") == SPLIT
     apart = not any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in parsed["added_tokens"])
     return plain and words and apart and parsed["post_processor"] is None
 
 
-_LOADED: dict[int, ChunkEncoder] = {}
+_LOADED: dict[int, WordEncoder] = {}
 
 
-def loaded(spec) -> ChunkEncoder:
+def loaded(spec) -> WordEncoder:
     """The encoder of a broadcast vocabulary; one in each Python worker."""
     key = hash(spec.value)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = ChunkEncoder(spec.value)
+        _LOADED[key] = WordEncoder(spec.value)
     return _LOADED[key]
 
 
