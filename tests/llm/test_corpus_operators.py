@@ -120,6 +120,14 @@ def test_links_by_hand(spark):
     assert one == sorted(one) and quotation_linking.conversations(rows.limit(0)).count() == 0
 
 
+def test_unlike_messages_of_one_turn(spark):
+    m = [(1, 0, "Start"), (1, 1, "> Start\nA"), (1, 1, "B, without a quote"), (1, 1, "B, without a quote"), (1, 2, "> B, without a quote\nC"), (1, 2, "> Start\nD"), (1, 3, "> C\nE")]
+    got = quotation_linking.link(spark.createDataFrame([(*x, "u") for x in m], "conv_id long, turn long, text string, role string")).collect()
+    told = sorted((r.own_text, r.n_quoted, r.n_linked, r.parent_turn, r.root_turn, r.depth) for r in got)
+    b = ("B, without a quote", 0, 0, None, 1, 0)
+    assert told == [("A", 1, 1, 0, 0, 1), b, b, ("C", 1, 1, 1, 0, 2), ("D", 1, 1, 0, 0, 1), ("E", 1, 1, 2, 0, 3), ("Start", 0, 0, None, 0, 0)]
+
+
 def test_long_chain(spark):
     rows = spark.createDataFrame([(1, t, (f"> m{t - 1}\n" if t else "") + f"m{t}", "u") for t in range(40)], "conv_id long, turn long, text string, role string")
     assert all((r.root_turn, r.depth) == (0, r.turn) for r in quotation_linking.link(rows).collect())

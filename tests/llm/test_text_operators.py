@@ -138,9 +138,15 @@ def brute_identifiers(text):
         k += 1
     paragraphs.append("\n".join(held))
     known = [(f"{n}", re.compile(rf"(?:{p})(?![\w-])")) for n, p in license_scan.SENTENCES]
-    under = r"(?:under|by|subject to) (?:the |a |an )?(?:terms (?:and conditions )?of )?(?:the |a |an )?"
-    known += [(f"notice:{n}", re.compile(rf"{under}(?:{p})(?![\w-])")) for n, p in license_scan.NAMES]
-    titles = [(f"title:{n}", re.compile(rf"(?:the )?(?:{p})(?=$|,? \(|,? copyright|,? version|,? january|,? http)", re.M)) for n, p in license_scan.NAMES]
+    end, bare = r"(?![\w+-]|\.\d)", license_scan.NAMES + license_scan.SHORT
+    article, terms = "(?:the |a |an )?", "(?:terms (?:and conditions )?of )?(?:either (?:of )?|both )?"
+    verb = "(?:licensed|released|distributed|available|published|provided|offered)"
+    names = [(f"notice:{n}", re.compile(rf"(?:under|by|subject to) {article}{terms}{article}(?:{p}){end}")) for n, p in license_scan.NAMES]
+    names += [(f"notice:{n}", re.compile(rf"{verb} under {article}{terms}{article}(?:{p}){end}|license ?[:=] ?(?:{p}){end}|(?:{p}){end}[ -]licensed(?![\w-])")) for n, p in bare]
+    further = [(f"notice:{n}", re.compile(rf"(?:,? (?:and|or) |, ?|/ ?)(?:the )?(?:{p}){end}")) for n, p in bare]
+    month = "(?:january|february|march|april|may|june|july|august|september|october|november|december)"
+    titles = [(f"title:{n}", re.compile(rf"(?:the )?(?:{p}){end}(?=$|[, ]*\(|,? copyright|,? version|,? (?:\d\d? )?{month} \d{{4}}|,? http)", re.M)) for n, p in license_scan.NAMES]
+    taken_back = re.compile(rf"(?:\bnot|\bnever|n[o']?t)(?: (?:been |currently |yet ))?(?: ?{verb})? *$")
     for paragraph in paragraphs:
         sentences, now = [], ""
         for i, c in enumerate(paragraph):
@@ -158,16 +164,21 @@ def brute_identifiers(text):
         while i < len(lines):
             hit = None
             if i == 0 or not re.match(r"[\w-]", lines[i - 1]):
-                hit = next(((n, m) for n, p in known if (m := p.match(lines, i))), None)
+                hit = next(((n, m) for n, p in known + names if (m := p.match(lines, i))), None)
+                if hit and hit[0].startswith("notice:") and taken_back.search(lines[max(0, i - 40) : i].rpartition("\n")[2]):
+                    i = hit[1].end()
+                    continue
                 if hit is None and (i == 0 or lines[i - 1] == "\n"):
                     hit = next(((n, m) for n, p in titles if (m := p.match(lines, i))), None)
             if hit is None:
                 i += 1
                 continue
-            n, m = hit
-            found.append((i, f"spdx:{m['spdx']}" if n == "spdx" else f"{n}:{m['epl']}" if n == "epl-available" else n))
-            told.update(range(lines.count("\n", 0, i), lines.count("\n", 0, m.end()) + 1))
-            i = m.end()
+            while hit:
+                n, m = hit
+                found.append((i, f"spdx:{m['spdx']}" if n == "spdx" else f"{n}:{m['epl']}" if n == "epl-available" else n))
+                told.update(range(lines.count("\n", 0, i), lines.count("\n", 0, m.end()) + 1))
+                i = m.end()
+                hit = next(((n, m) for n, p in further if (m := p.match(lines, i))), None) if n.startswith("notice:") else None
         at = 0
         for n, x in enumerate(sentences):
             if n not in told and any(w in x for w in license_scan.WORDS):
@@ -179,7 +190,7 @@ def brute_identifiers(text):
 
 def test_license_scan_against_brute_force():
     random.seed(7)
-    bits = [t for _, t in STANDARD] + ["the licence is odd", "Permission is denied.", "SPDX-License-Identifier: MIT OR ISC", "the code is under the MIT license", "plain words", "Apache License\nVersion 2.0", "BSD License", "Copyright (c) 2001 X", "a copy of the MPL", "in the public domain; so it is", "you may not", "see the"]
+    bits = [t for _, t in STANDARD] + ["the licence is odd", "Permission is denied.", "SPDX-License-Identifier: MIT OR ISC", "the code is under the MIT license", "it is not licensed under the ISC license", "MIT licensed", "license: BSD", "plain words", "Apache License\nVersion 2.0", "BSD License", "Copyright (c) 2001 X", "a copy of the MPL", "in the public domain; so it is", "you may not", "see the"]
     joints = [" ", "\n", ". ", "; ", "\n\n", "\n# ", "\n//\n", ": ", ":\n", "?! ", ", "]
     for _ in range(150):
         text = "".join(random.choice(bits) + random.choice(joints) for _ in range(random.randint(1, 6)))
@@ -270,6 +281,65 @@ def test_every_label_is_a_class(spark):
     assert sum(r.row.lang == r.lang_pred for r in told) / len(told) > 0.9
 
 
+#: Notices as people write them, and the licences that they name, written by hand.
+NOTICES = [
+    ("Licensed under GPL-3.0-or-later", "GPL-3.0-or-later"), ("released under the GPLv2 or later.", "GPL-2.0-or-later"), ("It is licensed under GPLv3+.", "GPL-3.0-or-later"),
+    ("distributed under the GNU GPL version 2 or any later version", "GPL-2.0-or-later"), ("under the terms of the GNU General Public License v3.0 or later", "GPL-3.0-or-later"),
+    ("under LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("under the LGPLv3 or newer", "LGPL-3.0-or-later"), ("licensed under AGPL-3.0+", "AGPL-3.0-or-later"), ("under the GNU AGPL v3 or (at your option) any later version", "AGPL-3.0-or-later"),
+    ("under the terms of the GNU Lesser General Public License, version 2.1, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    ("Licensed under GPL-3.0-only", "GPL-3.0-only"), ("under the GPLv2 only", "GPL-2.0-only"), ("Licensed under the GPL v2.", "GPL-2.0-only"), ("under the GNU GPL, version 3", "GPL-3.0-only"), ("under LGPL-2.1", "LGPL-2.1-only"), ("under the AGPLv3 license", "AGPL-3.0-only"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2, or (at your option) any later version.", "GPL-2.0-or-later"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0-or-later"),
+    ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1, or any later version.", "LGPL-2.1-or-later"),
+    ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GPL-3.0-only"), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0-only"), ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "AGPL-3.0-only"), ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "LGPL-2.1-only"),
+    ("Apache License, Version 2.0, January 2004", "Apache-2.0"), ("The MIT License (MIT)", "MIT"), ("BSD 3-Clause License", "BSD-3-Clause"), ("Mozilla Public License Version 2.0", "MPL-2.0"),
+    ("This project is MIT licensed.", "MIT"), ("The code is BSD-3-Clause licensed", "BSD-3-Clause"), ("is Apache 2.0 licensed", "Apache-2.0"), ("License: MIT", "MIT"), ('license = "MIT"', "MIT"), ('"license": "ISC"', "ISC"), ("Licence: Apache-2.0", "Apache-2.0"), ("license: GPL-3.0-or-later", "GPL-3.0-or-later"), ("License: BSD", "BSD"),
+    ("Dual licensed under MIT and Apache 2.0", "MIT Apache-2.0"), ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0 MIT"), ("available under MIT or GPLv2+", "MIT GPL-2.0-or-later"), ("licensed under the MIT, Apache-2.0 and ISC licenses", "MIT Apache-2.0 ISC"),
+    ("License: MIT OR Apache-2.0", "MIT Apache-2.0"), ("Not under the MIT license", ""), ("This is not licensed under the GPLv3.", ""), ("It was never released under the Apache License, Version 2.0.", ""), ("The study was done under MIT supervision.", ""), ("We met at MIT and ISC.", ""), ("Read the license before use.", ""),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT Apache-2.0"), ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0", "GPL-2.0-only"),
+]
+
+
+@pytest.mark.parametrize("around", ["{}", "See below.\n\n{}\n\nThanks.", "# {}", " * {}", "Note. {}"])
+def test_notices_written_by_hand(around):
+    wrong = []
+    for text, want in NOTICES:
+        names = [x for _, x in license_scan.identifiers(around.format(text.replace("\n", "\n# ") if around == "# {}" else text.replace("\n", "\n * ") if around.startswith(" *") else text))]
+        got = list(dict.fromkeys(license_scan.licences(names)))
+        if got != want.split():
+            wrong.append((text, got))
+    assert not wrong
+
+
+def md5_of(k):
+    return hashlib.md5(str(k).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("pick", [min, max])
+def test_an_id_that_rows_repeat_counts_once(spark, monkeypatch, pick):
+    """One English id on thousands of rows, of lowest or highest mark, beside German rows: both languages are learned, from bounded texts."""
+    ids = [k for k in range(1, 400) if zlib.crc32(str(k).encode()) % 5]
+    one = pick(ids, key=md5_of)
+    english, german = "the cat sat on the mat here and there was a hat", "der hund lief durch den wald und dann nach haus"
+    rows = [(one, english, "en", "s", 1)] * 5000 + [(k, german, "de", "s", 1) for k in ids if k != one][:4]
+    seen = []
+    kept = crf_language.fit
+    monkeypatch.setattr(crf_language, "fit", lambda chains, langs: seen.extend(chains) or kept(chains, langs))
+    crf = crf_language.train(spark.createDataFrame(rows, SCHEMA).repartition(8))
+    assert crf.langs == ["de", "en"] and sum(len(w) for w, _ in seen) < 2000
+    texts = spark.createDataFrame([(1, "the cat sat on the mat here", "x", "s", 1), (2, "der hund lief durch den wald", "x", "s", 1)], SCHEMA)
+    assert {r.row.doc_id: r.lang_pred for r in crf_language.predict(texts, crf).collect()} == {1: "en", 2: "de"}
+
+
+def test_of_unlike_rows_of_an_id_the_smallest_digest_is_learned(spark, monkeypatch):
+    a, b = sorted(("alpha beta gamma", "delta epsilon zeta"), key=md5_of)
+    k = next(k for k in range(1, 50) if zlib.crc32(str(k).encode()) % 5)
+    seen = []
+    monkeypatch.setattr(crf_language, "fit", lambda chains, langs: seen.extend(chains))
+    crf_language.train(spark.createDataFrame([(k, b, "el", "s", 1), (k, a, "el", "s", 1), (k, None, "el", "s", 1), (k, a, "el", "t", 2), (k, "12 34", "nn", "s", 1)], SCHEMA))
+    assert [w for w, _ in seen] == [a.split()]
+
+
 def test_ties_and_long_texts():
     crf = crf_language.Crf(["aa", "bb"], np.zeros((256, 2), np.float32), {}, np.zeros((2, 2), np.float32), np.zeros((2, 2)))
     assert {(x, p) for _, x, p in crf_language.label_words(crf, "one two three")} == {("aa", 0.5)}
@@ -366,6 +436,13 @@ def place_of(text):
     return h - (1 << 64) if h >> 63 else h
 
 
+def test_shards_stand_in_the_order_of_their_numbers():
+    sizes = [(f"{k:05d}", 1, 3) for k in range(100_001)]
+    random.Random(1).shuffle(sizes)
+    got = token_files.in_order([*sizes, ("100001", 0, 0)])
+    assert [x[0] for x in got] == [f"{k:05d}" for k in range(100_001)] and [x[1] for x in got] == list(range(0, 300_003, 3))
+
+
 def test_token_files(spark, odd, none, library):
     rows = [*ODD, *[(None, f"no id {k}", "en", "s", 1) for k in range(20)], *[(9, f"same id {k % 7}", "en", "s", 1) for k in range(20)]]
     for docs, shards in ((spark.createDataFrame(rows, SCHEMA), 3), (spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"lang": "h", "source": "a.b"}), None)):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import named, small_batches
+from .shared import named, small_batches, written
 
 DOCS, WINDOWS, RUN, MOST_LANGS = 300, 4, 24, 2048
 #: Slots of hashed weights, fewer with many languages; bytes of all of these.
@@ -321,23 +321,24 @@ def train(docs: DataFrame) -> Crf | None:
     """From text and lang of the labelled documents that aren't held out."""
     spark = docs.sparkSession
     narrow = docs.select(named(docs, "doc_id").alias("doc_id"), named(docs, "lang").cast("string").alias("lang"), named(docs, "text").cast("string").alias("text"))
-    known = narrow.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "lang")
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
-    langs = sorted(counts)
-    if not langs:
+    known = narrow.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    digest = F.md5("text")
+    # an id counts once in a language, whatever rows repeat it; of these the text of smallest digest stands for it
+    ids = written(known.groupBy("lang", F.col("doc_id").cast("long").alias("id")).agg(F.min(digest).alias("digest")), "labelled")
+    counts = {r.lang: r["count"] for r in ids.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if not counts:
         return None
-    if len(langs) > MOST_LANGS:
+    if len(counts) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} labels are no languages")
     # the DOCS smallest of a language's marks, which are uniform, are among those under twice the mark that this many
     # have on average, 12 standard deviations sure; so a few rows of a language are ordered, whatever it holds
     bounds = spark.createDataFrame([(x, 2.0 * DOCS / n) for x, n in counts.items()], "lang string, bound double")
-    marked = known.withColumn("mark", F.md5(F.col("id").cast("string"))).join(F.broadcast(bounds), "lang")
+    marked = ids.withColumn("mark", F.md5(F.col("id").cast("string"))).join(F.broadcast(bounds), "lang")
     near = marked.filter(F.conv(F.substring("mark", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) < F.col("bound"))
     first = Window.partitionBy("lang").orderBy("mark", "id")
-    picked = near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= DOCS).select("id", "lang")
-    chosen = picked.collect()  # MOST_LANGS x DOCS ids at most
-    ids = spark.createDataFrame(sorted({(r.id,) for r in chosen}), "id long")
-    texts = narrow.select(F.col("doc_id").cast("long").alias("id"), "lang", "text")
+    picked = near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= DOCS).select("id", "lang", "digest")
+    chosen = spark.createDataFrame(picked.collect(), "id long, lang string, digest string")  # MOST_LANGS x DOCS rows at most
+    texts = known.select(F.col("doc_id").cast("long").alias("id"), "lang", "text", digest.alias("digest"))
 
     def cut(batches):
         import pyarrow as pa
@@ -346,10 +347,11 @@ def train(docs: DataFrame) -> Crf | None:
             found = [(a, " ".join(r)) for a, t in zip(batch.column(0).to_pylist(), batch.column(1)) for r in runs_of(words_of(t.as_py())) if r]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["lang", "run"])
 
-    # the ids are MOST_LANGS x DOCS at most, so is what is broadcast
-    sample = texts.join(F.broadcast(ids), "id", "left_semi").filter(F.col("lang").isin(langs)).select("lang", "text").mapInArrow(cut, "lang string, run string")
-    runs = sorted((r.lang, r.run) for r in sample.collect())
-    if not runs:
+    # the ids are MOST_LANGS x DOCS at most, so is what is broadcast; rows that repeat one are alike, so tasks keep one
+    sample = texts.join(F.broadcast(chosen), ["id", "lang", "digest"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
+    runs = sorted((r.lang, r.run) for r in sample.select("lang", "text").mapInArrow(cut, "lang string, run string").collect())
+    langs = sorted({x for x, _ in runs})
+    if not langs:
         return None
     return fit(joined([(x, r.split(" ")) for x, r in runs], langs), langs)
 

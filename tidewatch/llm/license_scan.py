@@ -32,18 +32,23 @@ WORDS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant"
 HINTS = ("gpl", "the mpl", "mpl-", "apache", "bsd", "cc by", "cc-by", "cc0", "creative commons", "wtfpl", "epl-", "cddl", "source versions", "origin of this software", "this notice may not")
 UNKNOWN = "unknown"
 
+
+def _gnu(short: str, long: str, version: str) -> tuple[tuple[str, str], tuple[str, str]]:
+    """A version of a GNU licence with what says that later ones hold too, and without."""
+    major, minor = version.split(".")
+    number = rf"{major}(?:\.0)?(?!\.?\d)" if minor == "0" else rf"{major}\.{minor}"
+    name = rf"(?:(?:gnu )?{long}(?: \({short.lower()}\))?|(?:gnu )?{short.lower()}),?(?: license)?,?[ \n]?-?(?:version |v[. ]*)?{number}(?: license)?"
+    return (f"{short}-{version}-or-later", rf"{name}(?:\+|-or-later|,? or (?:\(?at your option\)? )?(?:any )?(?:later|newer|above|greater)(?: versions?)?)"), (f"{short}-{version}-only", rf"{name}(?:-only| only)?")
+
+
 #: Licences that notices and titles name: SPDX identifier and pattern of the name.  Fixed values.
 NAMES = (
-    ("AGPL-3.0-or-later", r"gnu affero general public license,? (?:\(agpl\) )?(?:version |v ?)3(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?"),
-    ("AGPL-3.0-only", r"(?:gnu affero general public license|agpl),?(?: license)?(?: version| v)? ?-?v?3(?:\.0)?(?: license)?"),
-    ("LGPL-2.1-or-later", r"gnu lesser general public license,? (?:version |v ?)2\.1,? or (?:\(at your option\) )?(?:any )?later(?: version)?"),
-    ("LGPL-3.0-or-later", r"gnu lesser general public license,? (?:version |v ?)3(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?"),
-    ("LGPL-2.1-only", r"(?:gnu lesser general public license|lgpl),?(?: license)?(?: version| v)? ?-?v?2\.1(?: license)?"),
-    ("LGPL-3.0-only", r"(?:gnu lesser general public license|lgpl),?(?: license)?(?: version| v)? ?-?v?3(?:\.0)?(?: license)?"),
-    ("GPL-2.0-or-later", r"gnu general public license,? (?:version |v ?)2(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?"),
-    ("GPL-3.0-or-later", r"gnu general public license,? (?:version |v ?)3(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?"),
-    ("GPL-2.0-only", r"(?:gnu general public license|gnu gpl|gpl),?(?: license)?(?: version| v)? ?-?v?2(?:\.0)?(?: license)?"),
-    ("GPL-3.0-only", r"(?:gnu general public license|gnu gpl|gpl),?(?: license)?(?: version| v)? ?-?v?3(?:\.0)?(?: license)?"),
+    *_gnu("AGPL", "affero general public license", "3.0"),
+    *_gnu("LGPL", "(?:lesser|library) general public license", "2.0"),
+    *_gnu("LGPL", "(?:lesser|library) general public license", "2.1"),
+    *_gnu("LGPL", "(?:lesser|library) general public license", "3.0"),
+    *_gnu("GPL", "general public license", "2.0"),
+    *_gnu("GPL", "general public license", "3.0"),
     ("GPL", r"gnu general public license|gnu gpl|gpl license"),
     ("LGPL", r"gnu lesser general public license|lgpl license"),
     ("Apache-2.0", r"apache(?: software)?(?: license)?,?(?: version| v)? ?-?v?2(?:\.0)?(?: license)?"),
@@ -80,7 +85,7 @@ NAMES = (
 
 #: What stands between two known halves of a sentence that holds a stop: a stop's place, or nothing of the kind.
 _GAP = r"[;:,]?[ \n]"
-_OR_LATER = rf"you can redistribute it and or modify it under the terms of the {{}} as published by the free software foundation{_GAP}either version {{}} of the license, or (?:\(at your option\) )?any later version"
+_OR_LATER = rf"you can redistribute it and or modify it under the terms of the {{}} as published by the free software foundation{_GAP}either version {{}}(?: of the license)?,? or (?:\(at your option\) )?any later version"
 #: Known sentences, as patterns over normalised ones.  Fixed values.
 SENTENCES = (
     ("spdx", r"spdx-license-identifier: ?(?P<spdx>\(*[a-z0-9.+-]+\)*(?: (?:or|and|with) \(*[a-z0-9.+-]+\)*)*)"),
@@ -195,25 +200,46 @@ def normalised(sentence: str) -> str:
     return " ".join(NOISE.sub(" ", _AND.sub("and or", s)).split()).strip(" .!?:;,-")
 
 
+#: Names that stand for a licence only where a notice or a tag says so.  Fixed values.
+SHORT = (("MIT", "(?:mit|expat)(?: licenses?)?"), ("ISC", "isc(?: licenses?)?"), ("BSD", "bsd(?: licenses?)?"), ("Zlib", "zlib(?: licenses?)?"), ("Apache-2.0", "apache(?: license)?,? ?-?(?:version |v)?2(?:\\.0)?(?: licenses?)?"), ("MPL-2.0", "mpl-?2\\.0"), ("BSL-1.0", "bsl-?1\\.0"), ("Unlicense", "unlicense"), ("BSD-3-Clause", "bsd[ -]3-clause|3-clause bsd"), ("BSD-2-Clause", "bsd[ -]2-clause|2-clause bsd"))
+ALL_NAMES = NAMES + SHORT
+#: What may not follow a name: more of a word, or of a version.
+_END = r"(?![\w+-]|\.\d)"
+
+
+def _named(kind: str, of=ALL_NAMES, first: int = 0) -> str:
+    """The longest kinds of names come first in NAMES, so of those that fit at a place the first counts."""
+    return "(?:" + "|".join(f"(?P<{kind}{first + k}>(?:{p}){_END})" for k, (_, p) in enumerate(of)) + ")"
+
+
 def _known() -> dict[str, re.Pattern]:
     """Known sentences by the word that they start with, each set in one pattern; of those that fit at a place the first counts."""
     by_word: dict[str, list[str]] = {}
     for k, (_, p) in enumerate(SENTENCES):
         first = re.match(r"(?:\(\?m:\^\))?(?:\(\?:([a-z|]+)\)|([a-z-]+))", p)
         for word in (first[1] or first[2]).split("|"):
-            by_word.setdefault(word, []).append(f"(?P<s{k}>{p})")
-    under = r"(?:under|by|subject to) (?:the |a |an )?(?:terms (?:and conditions )?of )?(?:the |a |an )?"
-    notice = f"{under}(?:" + "|".join(f"(?P<n{k}>{p})" for k, (_, p) in enumerate(NAMES)) + ")"
+            by_word.setdefault(word, []).append(f"(?P<s{k}>(?:{p})(?![\\w-]))")
+    under = r"(?:under|by|subject to) (?:the |a |an )?(?:terms (?:and conditions )?of )?(?:either (?:of )?|both )?(?:the |a |an )?"
     for word in ("under", "by", "subject"):
-        by_word.setdefault(word, []).append(notice)
-    return {w: re.compile("(?:" + "|".join(ps) + r")(?![\w-])") for w, ps in by_word.items()}
+        by_word.setdefault(word, []).append(under + _named("n", NAMES))
+    granted = r"(?:licensed|released|distributed|available|published|provided|offered) under (?:the |a |an )?(?:terms (?:and conditions )?of )?(?:either (?:of )?|both )?(?:the |a |an )?"
+    for word in ("licensed", "released", "distributed", "available", "published", "provided", "offered"):
+        by_word.setdefault(word, []).append(granted + _named("n"))
+    by_word["license"] = [r"license ?[:=] ?" + _named("n")]
+    return {w: re.compile("(?:" + "|".join(ps) + ")") for w, ps in by_word.items()}
 
 
 KNOWN = _known()
+#: A further name of the same notice.
+ALSO = re.compile(r"(?:,? (?:and|or) |, ?|/ ?)(?:the )?" + _named("n"))
+#: The name before what it says: "MIT licensed".
+LICENSED = re.compile(_named("n") + r"(?:[ -]licensed)(?![\w-])")
+#: What takes a notice back, right before it.
+DENIED = re.compile(r"(?:\bnot|\bnever|n[o']?t)(?: (?:been |currently |yet ))?(?: ?(?:licensed|released|distributed|available|published|provided|offered))?[ ]*$")
 #: A licence's name as a sentence's beginning that nothing but a heading's rest follows.
-TITLE = re.compile("(?:the )?(?:" + "|".join(f"(?P<t{k}>{p})" for k, (_, p) in enumerate(NAMES)) + r")(?=$|,? \(|,? copyright|,? version|,? january|,? http)", re.M)
+TITLE = re.compile("(?:the )?" + _named("t", NAMES) + r"(?=$|[, ]*\(|,? copyright|,? version|,? (?:\d{1,2} )?(?:january|february|march|april|may|june|july|august|september|october|november|december) \d{4}|,? http)", re.M)
 #: Where a known sentence may start.
-START = re.compile(r"(?m)^|(?<![\w-])(?=(?:" + "|".join(sorted(map(re.escape, KNOWN))) + r")(?![\w-]))")
+START = re.compile(r"(?m)^|(?<![\w-])(?=(?:" + "|".join(sorted(map(re.escape, KNOWN))) + r")(?![\w-]))|(?<![\w-])(?=\S{2,30}(?: \S{1,20})? ?-?licensed(?![\w-]))")
 FIRST = re.compile(r"[\w-]*")
 
 
@@ -221,7 +247,7 @@ def _name(m: re.Match) -> str:
     """The identifier of a match."""
     kind, k = m.lastgroup[0], int(m.lastgroup[1:])
     if kind == "n":
-        return f"notice:{NAMES[k][0]}"
+        return f"notice:{ALL_NAMES[k][0]}"
     if kind == "t":
         return f"title:{NAMES[k][0]}"
     name = SENTENCES[k][0]
@@ -237,11 +263,16 @@ def known_in(lines: str) -> list[re.Match]:
             continue
         pattern = KNOWN.get(FIRST.match(lines, i)[0])
         m = pattern.match(lines, i) if pattern else None
+        m = m or LICENSED.match(lines, i)
         if m is None and (i == 0 or lines[i - 1] == "\n"):
             m = TITLE.match(lines, i)
-        if m:
+        if m and m.lastgroup[0] == "n" and DENIED.search(lines[max(0, i - 40) : i].rpartition("\n")[2]):
+            at = m.end()
+            continue
+        while m:
             out.append(m)
             at = m.end()
+            m = ALSO.match(lines, at) if m.lastgroup[0] == "n" else None
     return out
 
 

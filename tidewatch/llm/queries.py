@@ -63,15 +63,16 @@ URL_LIST = (
 
 
 def _spelling():
-    """By page_id: as it is, with a user, with a port, with signs that a strict parser refuses, with upper case and a dot after the host."""
-    n, cut = F.col("page_id") % 5, r"^([a-z]+://)([^/?#]+)"
+    """By page_id: as it is, with a user, with a port, with signs that a strict parser refuses, with upper case and a dot after the host, behind a tab and with a %-sign, with backslashes."""
+    n, cut = F.col("page_id") % 7, r"^([a-z]+://)([^/?#]+)"
     put = lambda to: F.regexp_replace("url", cut, to)
     upper = F.concat(F.regexp_extract("url", cut, 1), F.upper(F.regexp_extract("url", cut, 2)), F.lit("."), F.regexp_replace("url", cut, ""))
-    return F.when(n == 1, put("$1crawler:x@$2")).when(n == 2, put("$1$2:8080")).when(n == 3, F.concat("url", F.lit("|a b%zz"))).when(n == 4, upper).otherwise(F.col("url"))
+    odd = F.concat(F.lit("\t "), F.regexp_extract("url", cut, 1), F.replace(F.regexp_extract("url", cut, 2), F.lit("."), F.lit("%2e")), F.regexp_replace("url", cut, ""), F.lit("\n"))
+    return F.when(n == 5, odd).when(n == 6, F.concat(F.regexp_extract("url", cut, 1), F.regexp_extract("url", cut, 2), F.lit("\\@good.example.net/"))).when(n == 1, put("$1crawler:x@$2")).when(n == 2, put("$1$2:8080")).when(n == 3, F.concat("url", F.lit("|a b%zz"))).when(n == 4, upper).otherwise(F.col("url"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages hold no time of capture: each gets a day of 2024 from its id, and its URL one of the spellings that captures have."""
+    """Pages hold no time of capture: each gets a day of 2024 from its id, and its URL one of seven spellings that captures have."""
     pages = _table(spark, sf_dir, "pages").select("page_id", _spelling().alias("url"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 366).cast("int"))
     entries = spark.createDataFrame(list(URL_LIST), "pattern string, since string, action string").withColumn("since", F.col("since").cast("date"))
@@ -162,9 +163,10 @@ _LIST = ", ".join(f"('{p}', DATE '{d}', '{a}')" for p, d, a in URL_LIST)
 OP7_SQL = rf"""
 WITH l(pattern, since, action) AS (VALUES {_LIST}),
 i AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) until FROM l),
-u AS (SELECT page_id, CASE page_id % 5 WHEN 1 THEN regexp_replace(url, '^([a-z]+://)([^/?#]+)', '\1crawler:x@\2') WHEN 2 THEN regexp_replace(url, '^([a-z]+://)([^/?#]+)', '\1\2:8080')
+u AS (SELECT page_id, CASE page_id % 7 WHEN 5 THEN chr(9) || ' ' || regexp_extract(url, '^([a-z]+://)([^/?#]+)', 1) || replace(regexp_extract(url, '^([a-z]+://)([^/?#]+)', 2), '.', '%2e') || regexp_replace(url, '^([a-z]+://)([^/?#]+)', '') || chr(10)
+             WHEN 6 THEN regexp_extract(url, '^([a-z]+://)([^/?#]+)', 1) || regexp_extract(url, '^([a-z]+://)([^/?#]+)', 2) || '\@good.example.net/' WHEN 1 THEN regexp_replace(url, '^([a-z]+://)([^/?#]+)', '\1crawler:x@\2') WHEN 2 THEN regexp_replace(url, '^([a-z]+://)([^/?#]+)', '\1\2:8080')
              WHEN 3 THEN url || '|a b%zz' WHEN 4 THEN regexp_extract(url, '^([a-z]+://)([^/?#]+)', 1) || upper(regexp_extract(url, '^([a-z]+://)([^/?#]+)', 2)) || '.' || regexp_replace(url, '^([a-z]+://)([^/?#]+)', '') ELSE url END url FROM pages),
-p AS (SELECT page_id, nullif(rtrim(lower(trim(regexp_extract(trim(url), '{temporal_url_filter.HOST}', 1))), '.'), '') host,
+p AS (SELECT page_id, nullif(rtrim(lower(trim(url_decode(replace(regexp_extract(replace(trim(url, ' ' || chr(9) || chr(10)), '\', '/'), '{temporal_url_filter.HOST}', 1), '+', '%2B')))), '.'), '') host,
              DATE '2024-01-01' + CAST(page_id * 7919 % 366 AS INTEGER) fetched FROM u),
 m AS (SELECT page_id, pattern, action, since, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC) r
       FROM p JOIN i ON (host = pattern OR ends_with(host, '.' || pattern)) AND fetched >= since AND (until IS NULL OR fetched < until) AND action <> 'drop')

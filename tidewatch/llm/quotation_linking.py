@@ -12,7 +12,8 @@ lines only, as they are written but for blank lines at the text's ends.
 The join is as of the quoting turn: a conversation's turns are cut to spans of SPAN, each span of a passage gets the
 latest holder before it, and the rest is a running last value inside the span.  So a passage that stands in a third of
 all messages is many small windows.  A null or empty text has no lines of its own and no quotes.  Rows without
-conversation or turn are told, but link to nothing.  Repeated rows stay, with equal links.  A quote whose original isn't
+conversation or turn are told, but link to nothing.  Repeated rows stay, with equal links; messages of one turn
+with unlike texts are told apart by a hash of their passages, and later ones follow the one whose quote counts most.  A quote whose original isn't
 found, or stands in no earlier turn, links to nothing.  An empty table gives an empty table.
 """
 
@@ -79,18 +80,19 @@ def units(passages: list[tuple[int, str]]) -> list[tuple[int, int, str]]:
 
 
 def latest_holders(each: DataFrame, span: int = SPAN) -> DataFrame:
-    """conv_id, turn, level, kind, hash of units -> conv_id, turn, hash, where, whole, original: quotes with the latest earlier turn that holds them."""
+    """conv_id, turn, row, level, kind, hash of units -> conv_id, turn, row, hash, where, whole, original: quotes with the latest earlier turn that holds them."""
     at = F.floor(F.col("turn") / span)
-    # a turn's quotes of a passage and its own lines are one row of each sort
-    rows = each.groupBy("conv_id", "hash", "turn", (F.col("level") == 0).alias("own")).agg(F.min(F.struct("level", "kind")).alias("where"), F.max((F.col("kind") == 0).cast("int")).alias("whole"))
+    # a message's quotes of a passage are one row, and so are all own lines of a turn
+    own = F.col("level") == 0
+    rows = each.groupBy("conv_id", "hash", "turn", F.when(~own, F.col("row")).alias("row"), own.alias("own")).agg(F.min(F.struct("level", "kind")).alias("where"), F.max((F.col("kind") == 0).cast("int")).alias("whole"))
     rows = rows.withColumn("span", at)
     last = rows.filter("own").groupBy("conv_id", "hash", "span").agg(F.max("turn").alias("last"))
     spans = rows.filter("NOT own").select("conv_id", "hash", "span").distinct().join(last, ["conv_id", "hash", "span"], "full")
     before = Window.partitionBy("conv_id", "hash").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    brought = spans.withColumn("turn", F.max("last").over(before)).filter("turn IS NOT NULL").select("conv_id", "hash", "turn", F.lit(True).alias("own"), F.lit(None).cast(rows.schema["where"].dataType).alias("where"), F.lit(0).alias("whole"), "span")
+    brought = spans.withColumn("turn", F.max("last").over(before)).filter("turn IS NOT NULL").select("conv_id", "hash", "turn", F.lit(None).cast("long").alias("row"), F.lit(True).alias("own"), F.lit(None).cast(rows.schema["where"].dataType).alias("where"), F.lit(0).alias("whole"), "span")
     earlier = Window.partitionBy("conv_id", "hash", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     met = rows.unionByName(brought).withColumn("original", F.max(F.when(F.col("own"), F.col("turn"))).over(earlier))
-    return met.filter("NOT own AND original IS NOT NULL").select("conv_id", "turn", "hash", "where", "whole", "original")
+    return met.filter("NOT own AND original IS NOT NULL").select("conv_id", "turn", "row", "hash", "where", "whole", "original")
 
 
 def link(messages: DataFrame, carry: tuple[str, ...] = ("role",)) -> DataFrame:
@@ -110,14 +112,16 @@ def link(messages: DataFrame, carry: tuple[str, ...] = ("role",)) -> DataFrame:
     more = F.struct(*[named(messages, c).alias(c) for c in carry])
     rows = messages.select(messages["conv_id"].cast("long").alias("conv_id"), messages["turn"].cast("long").alias("turn"), more.alias("more"), messages["text"].cast("string").alias("text"))
     out = T._parse_datatype_string("conv_id long, turn long, own_text string, units array<struct<level:int,kind:int,hash:string>>, n_quoted long").fields
-    told = written(rows.mapInArrow(run, T.StructType([*out[:2], rows.schema["more"], *out[2:]])), "parsed")
-    each = told.select("conv_id", "turn", F.explode("units").alias("u")).select("conv_id", "turn", "u.*").filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    told = written(rows.mapInArrow(run, T.StructType([*out[:2], rows.schema["more"], *out[2:]])).withColumn("row", F.xxhash64("units")), "parsed")
+    each = told.select("conv_id", "turn", "row", F.explode("units").alias("u")).select("conv_id", "turn", "row", "u.*").filter("conv_id IS NOT NULL AND turn IS NOT NULL")
     linked = latest_holders(each)
     best = F.min_by("original", F.struct("where.level", "where.kind", -F.col("original"))).alias("parent_turn")
-    parents = written(linked.groupBy("conv_id", "turn").agg(best, F.sum("whole").alias("n_linked")), "parents")
-    # (turn, up, steps): up is an ancestor, steps away; doubled until every up has no parent.  Messages that have
-    # arrived leave the rounds, and are still there to be looked up
-    active, arrived = parents.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.lit(1).cast("long").alias("steps")), []
+    place = F.min(F.struct("where.level", "where.kind", -F.col("original"))).alias("place")
+    parents = written(linked.groupBy("conv_id", "turn", "row").agg(best, place, F.sum("whole").alias("n_linked")), "parents")
+    # (turn, up, steps): up is an ancestor, steps away; doubled until every up has no parent.  Turns leave the rounds when
+    # they have arrived, and are still there to be looked up.  Of messages of one turn the quote that counts most is followed
+    turns = parents.groupBy("conv_id", "turn").agg(F.min_by("parent_turn", "place").alias("up"))
+    active, arrived = turns.withColumn("steps", F.lit(1).cast("long")), []
     while True:
         chain = active
         for done in arrived:
@@ -131,8 +135,9 @@ def link(messages: DataFrame, carry: tuple[str, ...] = ("role",)) -> DataFrame:
     chain = arrived[0]
     for done in arrived[1:]:
         chain = chain.unionByName(done)
-    links = parents.join(chain, ["conv_id", "turn"])
-    out = told.join(links, ["conv_id", "turn"], "left")
+    above = chain.select("conv_id", F.col("turn").alias("parent_turn"), "up", "steps")
+    links = parents.join(above, ["conv_id", "parent_turn"], "left").select("conv_id", "turn", "row", "n_linked", "parent_turn", F.coalesce("up", "parent_turn").alias("up"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    out = told.join(links, ["conv_id", "turn", "row"], "left")
     return out.select(
         "conv_id", "turn", *[F.col("more").getField(c).alias(c) for c in carry], "own_text", "n_quoted",
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),

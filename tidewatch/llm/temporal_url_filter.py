@@ -10,7 +10,7 @@ which bounds what is broadcast.  Only hosts, not captures, are paired with patte
 
 A null, empty or unreadable URL has no host and is not kept; a null time meets no entry.  Of entries with equal pattern
 and time the one first in the order block, allow, drop counts.  Entries without pattern, time or known action, and
-captures' other columns, play no part.  An empty list keeps every capture that has a host; repeated captures are judged
+captures' other columns, play no part.  Hosts in letters beyond ASCII and their xn-- forms are not the same here.  An empty list keeps every capture that has a host; repeated captures are judged
 alike.
 """
 
@@ -26,17 +26,25 @@ ACTIONS = ("block", "allow", "drop")
 PARTS = 1024
 #: Scheme, user if any, host: nothing else of a URL has to be well-formed.
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
+#: White space and controls at a URL's ends, and tabs and line ends anywhere in it, are no part of it.
+OUTSIDE, INSIDE = r"^[\x00-\x20]+|[\x00-\x20]+$", r"[\t\n\r]"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without final dot; null if there is none."""
-    host = F.rtrim(F.lower(F.trim(F.regexp_extract(F.trim(url), HOST, 1))), F.lit("."))
+    """Lower-case host without final dot; null if there is none.
+
+    As browsers read it: a backslash is a slash, and signs written with % are the signs that they stand for.
+    """
+    plain = F.regexp_replace(F.regexp_replace(url, OUTSIDE, ""), INSIDE, "")
+    raw = F.regexp_extract(F.translate(plain, "\\", "/"), HOST, 1)
+    read = F.when(raw.contains("%"), F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)).otherwise(raw)
+    host = F.rtrim(F.lower(F.regexp_replace(read, OUTSIDE, "")), F.lit("."))
     return F.when(host != "", host)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, since, until (null: still), action, for block and allow."""
-    known = entries.select(F.lower(F.rtrim(F.trim(entries["pattern"]), F.lit("."))).alias("pattern"), entries["since"].alias("since"), entries["action"].alias("action"))
+    known = entries.select(host_of(F.concat(F.lit("//"), F.regexp_replace(entries["pattern"], OUTSIDE, ""))).alias("pattern"), entries["since"].alias("since"), entries["action"].alias("action"))
     known = known.filter(F.col("pattern").isNotNull() & (F.col("pattern") != "") & F.col("since").isNotNull() & F.col("action").isin(*ACTIONS))
     turn = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
     one = known.groupBy("pattern", "since").agg(F.min_by("action", turn).alias("action"))

@@ -87,10 +87,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int | None =
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64())], ["name", "docs", "ids"])
 
     # one row of three values for each shard: as many as there are partitions
-    sizes = sorted(map(tuple, ordered.mapInArrow(run, "name string, docs long, ids long").collect()))
-    sizes = [x for x in sizes if x[1]]
-    bases = np.cumsum([0, *(x[2] for x in sizes)]).tolist()
-    return TokenFiles(root, dtype, tuple((name, base, docs, ids) for (name, docs, ids), base in zip(sizes, bases)))
+    return TokenFiles(root, dtype, in_order(ordered.mapInArrow(run, "name string, docs long, ids long").collect()))
+
+
+def in_order(sizes) -> tuple[tuple[str, int, int, int], ...]:
+    """(name, documents, ids) of shards as they come -> (name, base, documents, ids) by number; those without documents go."""
+    kept = sorted((tuple(x) for x in sizes if x[1]), key=lambda x: int(x[0]))
+    bases = np.cumsum([0, *(x[2] for x in kept)]).tolist()
+    return tuple((name, base, docs, ids) for (name, docs, ids), base in zip(kept, bases))
 
 
 def _pieces(spec: str) -> range:
