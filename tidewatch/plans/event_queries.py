@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import events, macro, regimes, reports, sessions, snapshots
+from ..operators import events, macro, regimes, reports, resume, sessions, snapshots
 from ..operators.enrichment import bad_ids, narrowed, null_explanations, read_overrides, to_records, write_overrides
 from ..settings import SETTINGS
 from ..sources import files
@@ -159,6 +160,24 @@ def detect_symbols(spark, d):
     return rounded(events.detect(bars(spark, d, 20)), 6)
 
 
+CUTS = ("1994-01-01", "1995-07-03", "1998-02-02")
+
+
+@query("c10_detect_resumed", with_sql(*detect_sql(20), select=f"SELECT {EP_SELECT} FROM ep"))
+def detect_resumed(spark, d):
+    """Bars in four parts: each is read from the state that the one before left; what closed in each, and what is open after the last."""
+    b, states, told, since = bars(spark, d, 20), None, [], None
+    for until in (*CUTS, None):
+        part = b if since is None else b.filter(F.col("date") >= F.lit(since).cast("date"))
+        part = part if until is None else part.filter(F.col("date") < F.lit(until).cast("date"))
+        path = fresh(spark, "resumed")
+        resume.resume(part, states).write.parquet(path)
+        done, since = spark.read.schema(resume.RESUMED).parquet(path), until
+        states, episodes = resume.states_of(done), resume.episodes_of(done)
+        told.append(episodes if until is None else episodes.filter("status = 'closed'"))
+    return rounded(reduce(DataFrame.unionByName, told), 6)
+
+
 @query("a23_duplicate_ids", with_sql(*detect_sql(8), "tw AS (SELECT symbol, episode_id FROM ep UNION ALL SELECT symbol, episode_id FROM ep WHERE trigger = 'gap')", select="SELECT symbol, episode_id, count(*) AS count FROM tw GROUP BY 1, 2 HAVING count(*) > 1"))
 def duplicates(spark, d):
     """Detected episodes, those of gaps twice."""
