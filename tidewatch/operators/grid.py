@@ -42,8 +42,15 @@ def common_window(target_frame: DataFrame, start=None, days: DataFrame | None =
 
 
 def run_grid(bars: DataFrame, rules: list[Strategy], cost_bps: float = 0.0, start=None, end=None) -> DataFrame:
-    """All metrics of every rule over the window they share, best excess first."""
-    out = metrics.summarise(_compounded(bars, rules, cost_bps, start, end))
+    """All metrics of every rule over the window they share, best excess first.
+
+    Rules stay arrays to the end: a symbol's bars are folded in blocks, and no bar is fanned out.
+    """
+    if all(map(steady, rules)):
+        returns = backtest.array_returns(backtest.shared_intervals(_bars(bars, rules, end), start), cost_bps)
+        out = metrics.summarise_folded(backtest.folded(returns), [r.name for r in rules])
+    else:
+        out = metrics.summarise(_compounded(bars, rules, cost_bps, start, end))
     return out.orderBy(F.desc("excess_total_return"), "rule")
 
 
@@ -68,15 +75,15 @@ def evaluate(bars: DataFrame, rule: Strategy, cost_bps: float = 0.0, start=None,
 def heatmap(bars: DataFrame, rules: list[MACrossover] | None = None, cost_bps: float = 0.0, start=None, end=None) -> DataFrame:
     """symbol, short, long, excess: only the excess, each distinct average once.
 
-    The last equity is the product of all returns: one aggregation by rule, whose partial products are taken where a
-    bar fans out.
+    The last equity is the product of all returns, taken element by element of the rules' array in blocks of bars.
     """
     rules = rules or heatmap_rules()
-    each = backtest.fanned(backtest.shared_intervals(_bars(bars, rules, end), start), rules, cost_bps)
-    out = each.groupBy("symbol", "rule").agg((F.product(1 + F.col("ret")) - F.product(1 + F.col("bh_ret"))).alias("excess"))
-    pair = F.split("rule", "__")
-    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("int")
-    return out.select("symbol", number(pair[0]).alias("short"), number(pair[1]).alias("long"), "excess")
+    if not all(map(steady, rules)):
+        raise ValueError("the rules' targets have to stay known once they are")
+    last = backtest.last_equities(backtest.array_returns(backtest.shared_intervals(_bars(bars, rules, end), start), cost_bps))
+    pairs = F.array(*[F.struct(F.lit(r.short.period).alias("short"), F.lit(r.long.period).alias("long")) for r in rules])
+    out = last.select("symbol", F.element_at("last", -1).alias("held"), F.posexplode(F.slice("last", 1, len(rules))).alias("k", "e"))
+    return out.select("symbol", F.get(pairs, F.col("k")).alias("at"), (F.col("e") - F.col("held")).alias("excess")).select("symbol", "at.short", "at.long", "excess")
 
 
 def pivoted(cells: DataFrame, longs: list[int]) -> DataFrame:

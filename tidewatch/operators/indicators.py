@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -42,13 +43,11 @@ def sma(n: int, column: str = "close") -> Column:
 
 
 def add_averages(bars: DataFrame, specs: list[MASpec], column: str = "close") -> DataFrame:
-    """A column for each spec.  Simple ones come from one running sum, exponential ones from one pass in Python.
+    """A column for each spec.  Simple ones come from one running sum, exponential ones from blocks of the recursion.
 
-    The running sum is a decimal of 12 places, so the difference of two of its values is the window's sum without the
-    error that doubles would gather, however long the series; each further period costs a lag and no frame of its own.
-
-    The exponential average is a recursion, which no window function holds.  A group is one symbol's bars: days, so
-    its size is bounded by the calendar and not by the data.
+    The running sum is a decimal of 20 places of the values over a power of two near their symbol's largest, so the
+    difference of two of its values is the window's sum without the error that doubles would gather, however long the
+    series and whatever the size of its prices; each further period costs a lag and no frame of its own.
     """
     specs = sorted(set(specs))
     out = bars
@@ -59,32 +58,56 @@ def add_averages(bars: DataFrame, specs: list[MASpec], column: str = "close") ->
     if not smas:
         return out
     so_far, w = by_date().rowsBetween(Window.unboundedPreceding, 0), by_date()
-    exact = F.col(column).try_cast("decimal(28,12)")
-    sums = out.withColumns({"_sum": F.coalesce(F.sum(exact).over(so_far), F.lit(0)).cast("decimal(37,12)"), "_n": F.count(exact).over(so_far)})
+    largest = F.max(F.abs(F.col(column).cast("double"))).over(by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out = out.withColumn("_unit", F.when(largest > 0, F.pow(F.lit(2.0), F.floor(F.log2(F.when(largest > 0, largest))))).otherwise(1.0))
+    exact = (F.col(column) / F.col("_unit")).try_cast("decimal(28,20)")
+    sums = out.withColumns({"_sum": F.coalesce(F.sum(exact).over(so_far), F.lit(0)).cast("decimal(37,20)"), "_n": F.count(exact).over(so_far)})
     over = "OVER (PARTITION BY symbol ORDER BY date)"
 
     def mean(n):
-        before = f"coalesce(lag(_sum, {n}) {over}, CAST(0 AS DECIMAL(37,12)))"
-        return F.expr(f"CASE WHEN _n - lag(_n, {n}, 0L) {over} = {n} THEN CAST(_sum - {before} AS DOUBLE) / {n} END")
+        before = f"coalesce(lag(_sum, {n}) {over}, CAST(0 AS DECIMAL(37,20)))"
+        return F.expr(f"CASE WHEN _n - lag(_n, {n}, 0L) {over} = {n} THEN CAST(_sum - {before} AS DOUBLE) * _unit / {n} END")
 
-    return sums.withColumns({s.label: mean(s.period) for s in smas}).drop("_sum", "_n")
+    return sums.withColumns({s.label: mean(s.period) for s in smas}).drop("_sum", "_n", "_unit")
 
 
-def _with_emas(bars: DataFrame, specs: list[MASpec], column: str) -> DataFrame:
-    labels, periods = [s.label for s in specs], [s.period for s in specs]
-    names = bars.columns
-    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema] + [f"{x} double" for x in labels])
+#: A block's smallest weight is about exp(-this), at most; so it is a double, and nothing beside 1.
+BLOCK_DECAY = 600.0
+
 
-    def run(pdf):
-        import numpy as np
+def ema_block(n: int) -> int:
+    """Bars of a block of the average of n, a power of two."""
+    return 1 << int(math.log2(BLOCK_DECAY / -math.log(1 - 2.0 / (n + 1))))
 
-        pdf = pdf.sort_values("date")
-        for label, n in zip(labels, periods):
-            ema = pdf[column].ewm(span=n, adjust=False, min_periods=n).mean()
-            pdf[label] = ema.astype(object).where(np.isfinite(ema), None)
-        return pdf[[*names, *labels]]
 
-    return bars.groupBy("symbol").applyInPandas(run, types)
+def _with_emas(bars: DataFrame, specs: list[MASpec], column: str) -> DataFrame:
+    """The recursion ema = alpha x + beta ema, as blocked composition of affine maps.
+
+    Inside a block of known values the average from 0 on is a running sum of x / beta^k, times alpha beta^k.  What a
+    block hands on is its last such value: what went into it has decayed to nothing.  That, or before the first
+    block the first value of all, decays over the next one.  Windows by symbol only, no join and no Python.  A null
+    keeps the average that stands before it.
+    """
+    w = by_date()
+    so_far, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = F.col(column).cast("double")
+    d = bars.withColumns({"_c": F.count(x).over(so_far), "_first": F.first(x, ignorenulls=True).over(whole)})
+    real, helpers = [s for s in specs if s.period > 1], ["_c", "_first"]
+    k = {s: F.greatest(F.col("_c") - 1, F.lit(0)) % ema_block(s.period) for s in real}
+    for s in real:
+        beta, block = 1 - 2.0 / (s.period + 1), F.floor((F.col("_c") - 1) / ema_block(s.period))
+        d = d.withColumn("_b", block)
+        inside = Window.partitionBy("symbol", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn(f"_l{s.period}", F.lit(1 - beta) * F.pow(F.lit(beta), k[s]) * F.sum(x * F.pow(F.lit(beta), -k[s])).over(inside)).drop("_b")
+        helpers.append(f"_l{s.period}")
+    opens = {s: (k[s] == 0) & x.isNotNull() for s in real}
+    d = d.withColumns({f"_i{s.period}": F.when(opens[s], F.when(F.col("_c") == 1, F.col("_first")).otherwise(F.lag(f"_l{s.period}").over(w))) for s in real})
+    out = {s.label: F.last(x, ignorenulls=True).over(so_far) for s in specs if s.period == 1}
+    for s in real:
+        beta, brought = 1 - 2.0 / (s.period + 1), F.last(f"_i{s.period}", ignorenulls=True).over(so_far)
+        out[s.label] = F.when(F.col("_c") >= s.period, F.col(f"_l{s.period}") + F.pow(F.lit(beta), k[s] + 1) * brought)
+        helpers.append(f"_i{s.period}")
+    return d.withColumns(out).drop(*helpers)
 
 
 def ema_fold(n: int, column: str = "close", reach: int = 20) -> Column:

@@ -46,6 +46,26 @@ def summarise(result: DataFrame, by: tuple[str, ...] = ("symbol", "rule")) -> Da
     return out.withColumn("excess_total_return", F.col("total_return") - F.col("bh_total_return")).withColumn("excess_cagr", F.col("cagr") - F.col("bh_cagr"))
 
 
+def summarise_folded(folded: DataFrame, names: list[str]) -> DataFrame:
+    """What summarise() gives by symbol and rule, from backtest.folded() over rules of these names."""
+    d = folded.select("symbol", "opens", "closes", "n", F.element_at("all", -1).alias("b"), F.posexplode(F.slice("all", 1, len(names))).alias("k", "a"))
+    d = d.select("symbol", F.get(F.array(*map(F.lit, names)), F.col("k")).alias("rule"), "n", "a", "b", (F.datediff("closes", "opens") / F.lit(365.25)).alias("years"))
+
+    def of(v: str, prefix: str) -> list[str]:
+        cagr = f"CASE WHEN years > 0 AND {v}.e > 0 THEN pow({v}.e, 1 / CASE WHEN years > 0 THEN years END) - 1 END"
+        sd = f"sqrt(greatest(({v}.q - {v}.s * {v}.s / n) / CASE WHEN n > 1 THEN n - 1 END, 0D))"
+        down = f"sqrt({v}.w / n) * sqrt({YEAR}D)"
+        return [
+            f"{v}.e - 1 AS {prefix}total_return", f"{cagr} AS {prefix}cagr", f"{v}.dd AS {prefix}max_drawdown",
+            f"CASE WHEN {sd} > 0 THEN {v}.s / n / {sd} END * sqrt({YEAR}D) AS {prefix}sharpe",
+            f"CASE WHEN {down} > 0 THEN {v}.s / n * {YEAR} / ({down}) END AS {prefix}sortino",
+            f"CASE WHEN {v}.dd < 0 THEN ({cagr}) / abs({v}.dd) END AS {prefix}calmar",
+        ]
+
+    out = d.selectExpr("symbol", "rule", *of("a", ""), "a.x / n AS time_in_market", "a.f AS fills", *of("b", "bh_"))
+    return out.selectExpr("*", "total_return - bh_total_return AS excess_total_return", "cagr - bh_cagr AS excess_cagr")
+
+
 def metrics_table(summary: DataFrame, by: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
     """by, metric, strategy, buy_and_hold in long form; buy and hold is always in the market and trades once."""
     rows = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("strategy"), F.col(f"bh_{m}").alias("buy_and_hold")) for m in STRATEGY]

@@ -87,9 +87,10 @@ def sma_query(spark, d):
 _EMAS = [MASpec("ema", 10), MASpec("ema", 50), MASpec("ema", 200)]
 
 
-@query("w2_ema", with_sql(bars_sql(8), averages_sql(_EMAS), select="SELECT symbol, date, round(ema10, 6) ema10, round(ema50, 6) ema50, round(ema200, 6) ema200 FROM m"))
+@query("w2_ema", with_sql(bars_sql(8), averages_sql(_EMAS), select="SELECT symbol, date, round(ema10, 4) ema10, round(ema50, 4) ema50, round(ema200, 4) ema200 FROM m"))
 def ema_query(spark, d):
-    return rounded(add_averages(bars(spark, d, 8), _EMAS).select("symbol", "date", "ema10", "ema50", "ema200"), 6)
+    """Prices are near 100,000: at 6 places the order in which doubles are added would show."""
+    return rounded(add_averages(bars(spark, d, 8), _EMAS).select("symbol", "date", "ema10", "ema50", "ema200"), 4)
 
 
 @query("w2_ema_fold", with_sql(bars_sql(8), averages_sql([MASpec("ema", 10)]), select="SELECT symbol, date, round(ema10, 6) ema10 FROM m"))
