@@ -200,6 +200,13 @@ def estimate(prices: DataFrame, episodes: int, searches: float = 1.5, input_toke
     return prices.select("model", (F.lit(float(episodes)) * each).alias("estimate_usd"))
 
 
+def estimate_for(prices: DataFrame, pending: DataFrame, **how) -> DataFrame:
+    """model, episodes, estimate_usd of explaining every row of pending; its count, one row, meets each model's price."""
+    one = pending.agg(F.count("*").alias("episodes")).withColumn("_one", F.lit(1))
+    each = estimate(prices, 1, **how).withColumn("_one", F.lit(1))
+    return each.join(one, "_one").select("model", "episodes", (F.col("episodes") * F.col("estimate_usd")).alias("estimate_usd"))
+
+
 #: What the provider that explains nothing says.
 NOTHING_ASKED = ("No explanation was asked for", "The null provider asks nobody and explains nothing.")
 

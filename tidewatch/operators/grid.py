@@ -27,6 +27,16 @@ def heatmap_rules(kinds: tuple[str, str] = ("sma", "sma"), settings: Settings =
     return [MACrossover(MASpec(kinds[0], a), MASpec(kinds[1], b)) for a, b in product(steps(settings.heatmap_short), steps(settings.heatmap_long)) if a < b]
 
 
+def possible_rules(bars: DataFrame, rules: list[MACrossover]) -> DataFrame:
+    """symbol, rule and its averages, for the rules whose longest average each symbol has bars enough for."""
+    one = lambda r: F.struct(
+        F.lit(r.name).alias("rule"), F.lit(r.short.kind).alias("short_kind"), F.lit(r.short.period).alias("short_n"), F.lit(r.long.kind).alias("long_kind"), F.lit(r.long.period).alias("long_n"),
+        F.lit(max(x.period for x in r.needs())).alias("longest"),
+    )
+    counted = bars.groupBy("symbol").agg(F.count("*").alias("n"))
+    return counted.select("symbol", "n", F.inline(F.array(*map(one, rules)))).filter("longest <= n").drop("n", "longest")
+
+
 def common_window(target_frame: DataFrame, start=None, days: DataFrame | None = None) -> DataFrame:
     """symbol, opens, closes: from the bar after the slowest rule's first target (or start, if later) to the last bar.
 

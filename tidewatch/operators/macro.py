@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import month_number, plain_text, safe_url
 from ..settings import SETTINGS, Settings
+from .ranges import interval_places, point_places
 
 COLUMNS = ("date", "release", "release_type", "scheduled", "source_url")
 KEY = ("date", "release", "release_type")
@@ -129,8 +130,19 @@ def forbidden_changes(old: DataFrame, fresh: DataFrame, today: str) -> DataFrame
     return differences(old, fresh).filter((F.col("date") < F.lit(today).cast("date")) & ((F.col("change") == "removed") | F.col("scheduled")))
 
 
+def sound(rows: DataFrame) -> DataFrame:
+    """One row per key, in order of date, release and type: the last to arrive where rows tell (arrival), else the one whose other columns come last."""
+    order = F.struct(*[c for c in ("arrival", "scheduled", "source_url") if c in rows.columns])
+    one = rows.groupBy(*KEY).agg(F.max_by(F.struct("scheduled", "source_url"), order).alias("x"))
+    return one.select(*KEY, "x.*").orderBy(*KEY)
+
+
 def merge(old: DataFrame | None, fresh: DataFrame, today: str, accept: bool = False) -> DataFrame:
-    """fresh, once its past has been held against old's; ValueError if the past was rewritten and accept is false."""
+    """The next calendar: fresh without repeated keys and in order, once its past has been held against old's.
+
+    ValueError if the past was rewritten and accept is false.
+    """
+    fresh = sound(fresh)
     if old is not None and not accept:
         bad = forbidden_changes(old, fresh, today).orderBy(*KEY).limit(10).collect()
         if bad:
@@ -176,14 +188,15 @@ def validate(calendar: DataFrame, today: str, settings: Settings = SETTINGS) ->
 def tag(episodes: DataFrame, calendar: DataFrame) -> DataFrame:
     """Episodes with scheduled_releases and unscheduled_releases ("release date", by date) and catalyst.
 
-    A window is some days long: each episode is spelled out in the days of its window, so that releases join by an
-    equality and no side need be small, and gathered again; episodes are read once.  Every episode stays.
+    A window lies in one or two buckets of its length, in which releases are looked up (see ranges); no side need be small,
+    and what is gathered again follows the episodes and their releases.  Episodes are read once, and every one stays.
     """
-    days = episodes.withColumn("date", F.explode_outer(F.sequence("search_from", "search_to")))
+    windows = episodes.withColumn("_at", F.explode_outer(interval_places(F.col("search_from"), F.col("search_to"))))
     label = F.concat_ws(" ", "release", F.col("date").cast("string"))
-    release = calendar.select("date", "scheduled", F.struct("date", "release", "release_type", label.alias("label")).alias("x"))
+    release = calendar.select(F.explode(point_places(F.col("date"))).alias("_there"), F.col("date").alias("_day"), "scheduled", F.struct("date", "release", "release_type", label.alias("label")).alias("x"))
+    held = (F.col("_at") == F.col("_there")) & F.col("_day").between(F.col("search_from"), F.col("search_to"))
     one_kind = lambda on: F.transform(F.array_sort(F.collect_list(F.when(F.col("scheduled") == on, F.col("x")))), lambda x: x["label"])
-    out = days.join(release, "date", "left").groupBy(*episodes.columns).agg(one_kind(True).alias("scheduled_releases"), one_kind(False).alias("unscheduled_releases"))
+    out = windows.join(release, held, "left").groupBy(*episodes.columns).agg(one_kind(True).alias("scheduled_releases"), one_kind(False).alias("unscheduled_releases"))
     return out.withColumn("catalyst", F.when(F.size("scheduled_releases") > 0, "scheduled").otherwise("surprise"))
 
 

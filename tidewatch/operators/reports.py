@@ -14,6 +14,7 @@ from ..functions.text import decade
 from ..settings import SETTINGS, Settings
 from . import enrichment as E
 from .macro import coverage
+from .ranges import interval_places, point_places
 
 
 def episode_tallies(episodes: DataFrame) -> DataFrame:
@@ -27,9 +28,10 @@ def episode_tallies(episodes: DataFrame) -> DataFrame:
 
 
 def containing(episodes: DataFrame, probes: DataFrame) -> DataFrame:
-    """probes (label, probe) with the episodes whose days hold probe, and how many there are; a probe's days join by equality."""
-    days = episodes.select("symbol", "episode_id", "start_date", "end_date", "trigger", "move_pct", F.explode(F.sequence("start_date", "end_date")).alias("probe"))
-    d = probes.join(days, "probe", "left")
+    """probes (label, probe) with the episodes whose days hold probe, and how many there are; they meet in buckets of the episodes' lengths."""
+    spans = episodes.select("symbol", "episode_id", "start_date", "end_date", "trigger", F.explode(interval_places(F.col("start_date"), F.col("end_date"))).alias("_at"))
+    points = probes.select("label", "probe", F.explode_outer(point_places(F.col("probe"))).alias("_there"))
+    d = points.join(spans, (F.col("_there") == F.col("_at")) & F.col("probe").between(F.col("start_date"), F.col("end_date")), "left")
     return d.groupBy("label", "probe").agg(F.count("episode_id").alias("matches"), F.min("episode_id").alias("episode_id"), F.min("trigger").alias("trigger"))
 
 

@@ -33,8 +33,18 @@ def easter(y: Column) -> Column:
     return F.date_add(F.make_date(y, F.lit(3), F.lit(28)), past.cast("int"))
 
 
-def holidays(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """date, name of every holiday from start to end."""
+def symbol_spans(bars: DataFrame) -> DataFrame:
+    """symbol, lo, hi: each symbol's first and last bar."""
+    return bars.groupBy("symbol").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+
+
+def _span(spark: SparkSession, start: str, end: str) -> DataFrame:
+    day = lambda x: F.lit(str(x)).cast("date")
+    return spark.range(1).select(F.lit("").alias("symbol"), day(start).alias("lo"), day(end).alias("hi"))
+
+
+def holidays_in(spans: DataFrame) -> DataFrame:
+    """symbol, date, name of every holiday from lo to hi of a symbol's span."""
     y = F.col("y")
     on = lambda m, d: F.make_date(y, F.lit(m), F.lit(d))
     new_year = on(1, 1)
@@ -50,20 +60,33 @@ def holidays(spark: SparkSession, start: str, end: str) -> DataFrame:
         "Thanksgiving": _nth(y, 11, "THU", 4),
         "Christmas": _nearest(on(12, 25)),
     }
-    years = spark.range(int(str(start)[:4]) - 1, int(str(end)[:4]) + 2).select(F.col("id").cast("int").alias("y"))
-    ruled = years.select(F.inline(F.array(*[F.struct(d.alias("date"), F.lit(n).alias("name")) for n, d in rules.items()])))
-    special = spark.createDataFrame([(d, "special closure") for d in SPECIAL_CLOSURES], "date string, name string").withColumn("date", F.col("date").cast("date"))
-    both = ruled.unionByName(special).filter(F.col("date").between(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")))
-    return both.groupBy("date").agg(F.min("name").alias("name"))
+    years = spans.select("symbol", "lo", "hi", F.explode(F.sequence(F.year("lo") - 1, F.year("hi") + 1)).alias("y"))
+    one = lambda date, name: F.struct(date.alias("date"), F.lit(name).alias("name"))
+    ruled = years.select("symbol", "lo", "hi", F.inline(F.array(*[one(d, n) for n, d in rules.items()])))
+    special = spans.select("symbol", "lo", "hi", F.inline(F.array(*[one(F.lit(d).cast("date"), "special closure") for d in SPECIAL_CLOSURES])))
+    return ruled.unionByName(special).filter(F.col("date").between(F.col("lo"), F.col("hi"))).groupBy("symbol", "date").agg(F.min("name").alias("name"))
+
+
+def business_days_in(spans: DataFrame) -> DataFrame:
+    """symbol, date of every Monday to Friday from lo to hi."""
+    return spans.select("symbol", F.explode(F.sequence("lo", "hi")).alias("date")).filter(F.weekday("date") < 5)
+
+
+def sessions_in(spans: DataFrame) -> DataFrame:
+    return business_days_in(spans).join(holidays_in(spans).select("symbol", "date"), ["symbol", "date"], "left_anti")
+
+
+def holidays(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """date, name of every holiday from start to end."""
+    return holidays_in(_span(spark, start, end)).drop("symbol")
 
 
 def business_days(spark: SparkSession, start: str, end: str) -> DataFrame:
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date"))).alias("date"))
-    return days.filter(F.weekday("date") < 5)
+    return business_days_in(_span(spark, start, end)).drop("symbol")
 
 
 def sessions(spark: SparkSession, start: str, end: str) -> DataFrame:
-    return business_days(spark, start, end).join(holidays(spark, start, end).select("date"), "date", "left_anti")
+    return sessions_in(_span(spark, start, end)).drop("symbol")
 
 
 def missing_sessions(bars: DataFrame, session_days: DataFrame) -> DataFrame:

@@ -221,6 +221,19 @@ def tallies(spark, d):
     return reports.episode_tallies(tagged(spark, d, 8))
 
 
+_TWICE = """cr AS (SELECT *, source_url || '#' || n source FROM cal, (VALUES (1), (2)) v(n) WHERE n = 1 OR day(date) < 12)"""
+
+
+@query("c12_merged_calendar", with_sql(CAL, _TWICE, select="SELECT row_number() OVER (ORDER BY date, release, release_type) nth, date, release, release_type, bool_or(scheduled) scheduled, max(source) source_url FROM cr GROUP BY date, release, release_type"))
+def merged_calendar(spark, d):
+    """A fresh calendar in which many rows stand twice; the later counts, and rows come in order."""
+    rows = calendar(spark, d).withColumn("arrival", F.explode(F.when(F.dayofmonth("date") < 12, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    fresh_rows = rows.withColumn("source_url", F.concat("source_url", F.lit("#"), F.col("arrival").cast("string")))
+    merged = macro.merge(calendar(spark, d).filter("release <> 'FOMC' OR scheduled"), fresh_rows, "2001-01-01")
+    nth = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # as the rows come
+    return merged.select(nth.cast("long").alias("nth"), "*")
+
+
 @query("j2_probe", with_sql(*detect_sql(1), "pr AS (SELECT 'probe ' || CAST(m AS VARCHAR) AS label, make_date(1995, CAST(m AS INTEGER), 15) probe FROM (SELECT unnest(range(1, 13)) m))", select="SELECT pr.label, pr.probe, count(ep.episode_id) matches, min(ep.episode_id) episode_id, min(ep.trigger) AS trigger FROM pr LEFT JOIN ep ON pr.probe BETWEEN start_date AND end_date GROUP BY 1, 2"))
 def probe(spark, d):
     probes = spark.range(1, 13).select(F.concat(F.lit("probe "), F.col("id").cast("string")).alias("label"), F.make_date(F.lit(1995), F.col("id").cast("int"), F.lit(15)).alias("probe"))
@@ -326,16 +339,11 @@ def release_dates(spark, d):
     return macro.parse_release_dates(payload.withColumns({"release": F.lit("CPI"), "release_type": F.lit("release")}))
 
 
-@query("f28_business_days", "SELECT CAST(d AS DATE) AS date FROM range(DATE '1993-01-01', DATE '2001-01-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6")
-def business_days(spark, d):
-    return sessions.business_days(spark, "1993-01-01", "2000-12-31")
-
-
-_HOLIDAYS = """ys AS (SELECT unnest(range(1990, 2031)) y),
+_HOLIDAYS = """ys AS (SELECT unnest(range(1984, 2031)) y),
 ea AS (SELECT y, y % 19 a, y // 100 b, y % 100 c FROM ys), eb AS (SELECT *, (19*a + b - b//4 - (b - (b+8)//25 + 1)//3 + 15) % 30 h, b % 4 e, c // 4 i, c % 4 k FROM ea),
 ec AS (SELECT *, (32 + 2*e + 2*i - h - k) % 7 l FROM eb), ed AS (SELECT *, (a + 11*h + 22*l)//451 m FROM ec),
 gf AS (SELECT CAST(make_date(CAST(y AS INTEGER), CAST((h + l - 7*m + 114)//31 AS INTEGER), CAST((h + l - 7*m + 114) % 31 + 1 AS INTEGER)) - 2 AS DATE) AS date FROM ed),
-dy AS (SELECT CAST(d AS DATE) AS date, month(d) m, day(d) dd, isodow(d) w, year(d) y FROM range(DATE '1993-01-01', DATE '2027-01-01', INTERVAL 1 DAY) t(d)),
+dy AS (SELECT CAST(d AS DATE) AS date, month(d) m, day(d) dd, isodow(d) w, year(d) y FROM range(DATE '1985-01-01', DATE '2027-01-01', INTERVAL 1 DAY) t(d)),
 ho AS (SELECT date FROM dy WHERE (m = 1 AND dd = 1 AND w <> 7) OR (m = 1 AND dd = 2 AND w = 1) OR (m = 1 AND w = 1 AND dd BETWEEN 15 AND 21 AND y >= 1998) OR (m = 2 AND w = 1 AND dd BETWEEN 15 AND 21)
  OR (m = 5 AND w = 1 AND dd >= 25) OR (y >= 2022 AND m = 6 AND ((dd = 19 AND w < 6) OR (dd = 18 AND w = 5) OR (dd = 20 AND w = 1))) OR (m = 7 AND ((dd = 4 AND w < 6) OR (dd = 3 AND w = 5) OR (dd = 5 AND w = 1)))
  OR (m = 9 AND w = 1 AND dd <= 7) OR (m = 11 AND w = 4 AND dd BETWEEN 22 AND 28) OR (m = 12 AND ((dd = 25 AND w < 6) OR (dd = 24 AND w = 5) OR (dd = 26 AND w = 1)))
@@ -343,14 +351,22 @@ ho AS (SELECT date FROM dy WHERE (m = 1 AND dd = 1 AND w <> 7) OR (m = 1 AND dd
  UNION SELECT CAST(x AS DATE) FROM (VALUES """ + ", ".join(f"('{x}')" for x in sessions.SPECIAL_CLOSURES) + """) v(x))"""
 
 
-@query("f29_holidays", with_sql(_HOLIDAYS, select="SELECT date FROM ho"))
+_SPANS = "rg AS (SELECT symbol, min(date) lo, max(date) hi FROM bars GROUP BY 1)"
+
+
+@query("f28_business_days", with_sql(bars_sql(50), _SPANS, select="SELECT symbol, CAST(d AS DATE) AS date FROM rg, LATERAL (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) d) WHERE isodow(d) < 6"))
+def business_days(spark, d):
+    return sessions.business_days_in(sessions.symbol_spans(bars(spark, d, 50)))
+
+
+@query("f29_holidays", with_sql(bars_sql(50), _HOLIDAYS, _SPANS, select="SELECT symbol, ho.date FROM ho JOIN rg ON ho.date BETWEEN lo AND hi"))
 def holidays(spark, d):
-    return sessions.holidays(spark, "1993-01-01", "2026-12-31").select("date")
+    return sessions.holidays_in(sessions.symbol_spans(bars(spark, d, 50))).select("symbol", "date")
 
 
-@query("u3_sessions", with_sql(_HOLIDAYS, select="SELECT date FROM dy WHERE w < 6 AND date NOT IN (SELECT date FROM ho)"))
+@query("u3_sessions", with_sql(bars_sql(50), _HOLIDAYS, _SPANS, select="SELECT symbol, dy.date FROM dy JOIN rg ON dy.date BETWEEN lo AND hi WHERE w < 6 AND dy.date NOT IN (SELECT date FROM ho)"))
 def session_query(spark, d):
-    return sessions.sessions(spark, "1993-01-01", "2026-12-31")
+    return sessions.sessions_in(sessions.symbol_spans(bars(spark, d, 50)))
 
 
 @query("j7_missing_sessions", with_sql(bars_sql(50), _HOLIDAYS, "rg AS (SELECT symbol, min(date) lo, max(date) hi FROM bars GROUP BY 1)", select="SELECT symbol, dy.date FROM dy JOIN rg ON dy.date BETWEEN lo AND hi WHERE w < 6 AND dy.date NOT IN (SELECT date FROM ho) AND NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = rg.symbol AND b.date = dy.date)"))

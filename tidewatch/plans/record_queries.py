@@ -152,9 +152,14 @@ def ledger_total(spark, d):
     return rounded(E.ledger_total(E.cost(_usage(spark, d), prices(spark))), 6)
 
 
-@query("a26_estimate", "SELECT model, round(142 * (10.0 * 1.5 / 1000 + 5000 * i / 1e6 + 500 * o / 1e6), 8) estimate_usd FROM (VALUES ('base', 0.1::DOUBLE, 0.5::DOUBLE), ('large', 2.0::DOUBLE, 10.0::DOUBLE)) v(model, i, o)")
+_PENDING = """pe AS (SELECT count(*) n FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'))"""
+
+
+@query("a26_estimate", f"WITH {_PENDING} SELECT model, n AS episodes, round(n * (10.0 * 1.5 / 1000 + 5000 * i / 1e6 + 500 * o / 1e6), 8) estimate_usd FROM pe, (VALUES ('base', 0.1::DOUBLE, 0.5::DOUBLE), ('large', 2.0::DOUBLE, 10.0::DOUBLE)) v(model, i, o)")
 def estimate(spark, d):
-    return rounded(E.estimate(prices(spark), 142))
+    """For as many episodes as the table has users who bought something."""
+    pending = table(spark, d, "events").filter("event_type = 'purchase'").select("user_id").distinct()
+    return rounded(E.estimate_for(prices(spark), pending))
 
 
 @query("a20_record_tallies", f"""WITH {REC}, dr AS (SELECT unnest(range(event_id % 3)) k, CASE event_id % 3 WHEN 0 THEN 'not_in_search_results' WHEN 1 THEN 'no_page_age' ELSE 'outside_window' END reason FROM rec),

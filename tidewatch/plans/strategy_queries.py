@@ -163,10 +163,13 @@ def downside(spark, d):
 _RULES = grid.default_rules()
 
 
-@query("j11_rule_product", with_sql("k(kind) AS (VALUES ('sma'), ('ema'))", "s(n) AS (VALUES (10), (20), (50))", "l(n) AS (VALUES (100), (200))", select="SELECT a.kind || s.n || '__' || b.kind || l.n AS rule, a.kind short_kind, s.n short_n, b.kind long_kind, l.n long_n FROM k a, s, k b, l"))
+_COUNTS = "cn AS (SELECT symbol, count(*) n FROM bars GROUP BY 1)"
+
+
+@query("j11_rule_product", with_sql(bars_sql(70), _COUNTS, "k(kind) AS (VALUES ('sma'), ('ema'))", "s(n) AS (VALUES (10), (20), (50))", "l(n) AS (VALUES (100), (200))", select="SELECT cn.symbol, a.kind || s.n || '__' || b.kind || l.n AS rule, a.kind short_kind, s.n short_n, b.kind long_kind, l.n long_n FROM cn, k a, s, k b, l WHERE l.n <= cn.n"))
 def rule_product(spark, d):
-    rows = [(r.name, r.short.kind, r.short.period, r.long.kind, r.long.period) for r in _RULES]
-    return spark.createDataFrame(rows, "rule string, short_kind string, short_n int, long_kind string, long_n int")
+    """The rules for which each of 70 symbols has bars enough."""
+    return grid.possible_rules(bars(spark, d, 70), _RULES).select("symbol", "rule", "short_kind", "short_n", "long_kind", "long_n")
 
 
 _GRID = (B, targets_sql(_RULES), INTERVALS_SQL)
@@ -205,11 +208,9 @@ _HEAT_SQL = (B, targets_sql(_HEAT), INTERVALS_SQL, common_sql(), compounded_sql(
 _CELLS = "cells AS (SELECT symbol, CAST(regexp_extract(rule, 'sma(\\d+)__', 1) AS INTEGER) short, CAST(regexp_extract(rule, '__sma(\\d+)', 1) AS INTEGER) long, arg_max(equity, date) - arg_max(benchmark, date) excess FROM eq GROUP BY symbol, rule)"
 
 
-@query("j12_heatmap_pairs", with_sql("s AS (SELECT unnest(range(5, 61, 5)) n)", "l AS (SELECT unnest(range(100, 251, 10)) n)", select="SELECT CAST(s.n AS INTEGER) short, CAST(l.n AS INTEGER) long FROM s, l WHERE s.n < l.n"))
+@query("j12_heatmap_pairs", with_sql(bars_sql(70), _COUNTS, "s AS (SELECT unnest(range(5, 61, 5)) n)", "l AS (SELECT unnest(range(100, 251, 10)) n)", select="SELECT cn.symbol, CAST(s.n AS INTEGER) short, CAST(l.n AS INTEGER) long FROM cn, s, l WHERE s.n < l.n AND l.n <= cn.n"))
 def heatmap_pairs(spark, d):
-    short = spark.range(1).select(F.explode(F.sequence(F.lit(5), F.lit(60), F.lit(5))).alias("short"))
-    long = F.explode(F.sequence(F.lit(100), F.lit(250), F.lit(10))).alias("long")
-    return short.select("short", long).filter("short < long")
+    return grid.possible_rules(bars(spark, d, 70), _HEAT).select("symbol", F.col("short_n").alias("short"), F.col("long_n").alias("long"))
 
 
 @query("c6_heatmap", with_sql(*_HEAT_SQL, _CELLS, select="SELECT symbol, short, long, round(excess, 8) excess FROM cells"))
@@ -247,6 +248,36 @@ def in_out(spark, d):
     return rounded(out.select("symbol", "rule", "segment", *_ALL, "fills"))
 
 
+B8 = bars_sql(8)
+_BT8 = (B8, targets_sql([RULE]), INTERVALS_SQL, compounded_sql("iv", COST))
+
+
+@query("c1_backtest_curve_symbols", with_sql(*_BT8, select="SELECT symbol, rule, date, 1.0::DOUBLE equity, 1.0::DOUBLE benchmark FROM eq WHERE first UNION ALL SELECT symbol, rule, ends, round(equity, 8), round(benchmark, 8) FROM eq"))
+def curve_symbols(spark, d):
+    return rounded(backtest.curve(backtest.run(targets(bars(spark, d, 8), [RULE]), COST)))
+
+
+@query("c5_evaluate_symbols", with_sql(B8, targets_sql([EMA_RULE], "(SELECT * FROM bars WHERE date <= DATE '1999-12-31')"), INTERVALS_SQL, common_sql("1996-06-03"), compounded_sql("cw", COST), select="SELECT symbol, rule, date, round(equity, 8) equity, round(benchmark, 8) benchmark FROM eq"))
+def evaluate_symbols(spark, d):
+    return rounded(grid.evaluate(bars(spark, d, 8), EMA_RULE, COST, "1996-06-03", "1999-12-31").select("symbol", "rule", "date", "equity", "benchmark"))
+
+
+@query("c6_heatmap_symbols", with_sql(B8, targets_sql(_HEAT), INTERVALS_SQL, common_sql(), compounded_sql("cw", COST), _CELLS, select="SELECT symbol, short, long, round(excess, 8) excess FROM cells"))
+def heat_symbols(spark, d):
+    return rounded(grid.heatmap(bars(spark, d, 8), _HEAT, COST))
+
+
+@query("c7_rolling_start_symbols", SQL["c7_rolling_start"].replace(B.replace("AS (SELECT", "AS MATERIALIZED (SELECT"), B8.replace("AS (SELECT", "AS MATERIALIZED (SELECT")))
+def rolling_symbols(spark, d):
+    return rounded(grid.rolling_start(bars(spark, d, 8), RULE, 2, COST))
+
+
+@query("c9_in_out_of_sample_symbols", SQL["c9_in_out_of_sample"].replace(B.replace("AS (SELECT", "AS MATERIALIZED (SELECT"), B8.replace("AS (SELECT", "AS MATERIALIZED (SELECT")))
+def in_out_symbols(spark, d):
+    out = grid.in_out_of_sample(bars(spark, d, 8), RULE, SPLIT, None, COST)
+    return rounded(out.select("symbol", "rule", "segment", *_ALL, "fills"))
+
+
 @query("f30_january_starts", with_sql(B, select="SELECT DISTINCT symbol, make_date(CAST(year(date) + 1 AS INTEGER), 1, 1) start FROM bars WHERE make_date(CAST(year(date) + 1 AS INTEGER), 1, 1) <= (SELECT max(date) FROM bars)"))
 def january_starts(spark, d):
     span = bars(spark, d).groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
