@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import backtest, grid, metrics, snapshots
+from ..operators import backtest, grid, metrics, scans, snapshots
 from ..operators.indicators import MASpec, add_averages, ema_fold
 from ..operators.regimes import drawdown
 from ..operators.signals import Both, MACrossover, TrendFilter, crossings, targets
@@ -332,6 +332,35 @@ def meta_document(spark, d):
     return files.read_meta(spark, path).select("schema_version", "ticker", "source", "last_refresh", "first_trading_day", "last_trading_day", "row_counts.prices", "detector_version")
 
 
+def _long(spark, d):
+    return prices.derive_long_bars(table(spark, d, "orders"))
+
+
+@query("w1_sma_long", with_sql(B, averages_sql(_MAS), select="SELECT symbol, date, round(sma20, 8) sma20, round(sma50, 8) sma50, round(sma200, 8) sma200 FROM m"))
+def sma_long(spark, d):
+    """One series, cut to chunks that hang over."""
+    b = scans.in_chunks(_long(spark, d), 199, lambda x: add_averages(x, _MAS))
+    return rounded(b.select("symbol", "date", "sma20", "sma50", "sma200"))
+
+
+@query("w2_ema_long", with_sql(B, averages_sql(_EMAS), select="SELECT symbol, date, round(ema10, 4) ema10, round(ema50, 4) ema50, round(ema200, 4) ema200 FROM m"))
+def ema_long(spark, d):
+    return rounded(scans.running(_long(spark, d), {s.label: scans.Scan("ema", "close", s.period) for s in _EMAS}).select("symbol", "date", "ema10", "ema50", "ema200"), 4)
+
+
+@query("w7_compounding_long", with_sql(B, "pc AS (SELECT symbol, date, close / lag(close) OVER w - 1 ret FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date))", select="SELECT symbol, date, round(product(1 + ret) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 8) equity FROM pc WHERE ret IS NOT NULL"))
+def compounding_long(spark, d):
+    w = Window.partitionBy("symbol").orderBy("date")
+    r = scans.lagged(_long(spark, d).select("symbol", "date", "close"), {"grown": F.col("close") / F.lag("close").over(w)}, 1).filter("grown IS NOT NULL")
+    return rounded(scans.running(r, {"equity": scans.Scan("product", "grown")}).select("symbol", "date", "equity"))
+
+
+@query("w8_drawdown_long", with_sql(B, select="SELECT symbol, date, round(close / max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 8) drawdown FROM bars"))
+def drawdown_long(spark, d):
+    b = scans.running(_long(spark, d).select("symbol", "date", "close"), {"top": scans.Scan("max", "close")})
+    return rounded(b.select("symbol", "date", (F.col("close") / F.col("top") - 1).alias("drawdown")))
+
+
 @query("w8_drawdown", with_sql(bars_sql(8), select="SELECT symbol, date, round(close / max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 8) drawdown FROM bars"))
 def drawdown_query(spark, d):
     return rounded(drawdown(bars(spark, d, 8)).select("symbol", "date", "drawdown"))

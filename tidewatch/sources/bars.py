@@ -81,16 +81,33 @@ def derive_bars(orders: DataFrame, symbols: int = 1) -> DataFrame:
     One aggregation by symbol and day, then windows over days.  adj_close falls by five thousandths a year back
     from the last.
     """
+    w = Window.partitionBy("symbol").orderBy("date")
+    s = _steps(orders, symbols)
+    s = s.withColumn("walked", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _walked(s.withColumn("last_year", F.max(F.year("date")).over(Window.partitionBy("symbol"))))
+
+
+def derive_long_bars(orders: DataFrame, symbols: int = 1) -> DataFrame:
+    """derive_bars() for few and long series: a symbol's days are dealt to many tasks."""
+    from ..operators.scans import Scan, running
+
+    s = _steps(orders, symbols)
+    last = s.groupBy("symbol").agg(F.max(F.year("date")).alias("last_year"))
+    return _walked(running(s, {"walked": Scan("sum", "step")}).join(last, "symbol"))
+
+
+def _steps(orders: DataFrame, symbols: int) -> DataFrame:
     day = F.to_date("o_orderdate")
     symbol = F.concat(F.lit("S"), (F.col("o_custkey") % symbols).cast("string"))
     d = orders.groupBy(symbol.alias("symbol"), day.alias("date")).agg(F.min("o_custkey").alias("k"), F.max("o_orderkey").alias("x"), F.count("*").alias("n"))
     u, v, jump = (F.col("k") * 7919 + F.col("x") * 104729) % 2003, (F.col("k") * 15485 + F.col("x") * 32452) % 1009, (F.col("x") * 7877 + F.col("k") * 31) % 97
-    w = Window.partitionBy("symbol").orderBy("date")
     step = (u - 1001) * F.when(jump == 0, 6).otherwise(1) + 25
-    s = d.select("symbol", "date", "n", step.alias("step"), ((v - 504) * 4).alias("gap"))
-    s = s.withColumn("close_t", F.lit(100000) + F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = s.withColumn("open_t", F.coalesce(F.lag("close_t").over(w), F.lit(100000)) + F.col("gap"))
-    last_year = F.max(F.year("date")).over(Window.partitionBy("symbol"))
-    s = s.withColumn("factor", (F.lit(1000) - 5 * (last_year - F.year("date"))) / F.lit(1000.0))
+    return d.select("symbol", "date", "n", step.alias("step"), ((v - 504) * 4).alias("gap"))
+
+
+def _walked(s: DataFrame) -> DataFrame:
+    s = s.withColumn("close_t", F.lit(100000) + F.col("walked"))
+    s = s.withColumn("open_t", F.col("close_t") - F.col("step") + F.col("gap"))
+    s = s.withColumn("factor", (F.lit(1000) - 5 * (F.col("last_year") - F.year("date"))) / F.lit(1000.0))
     c, o = F.col("close_t").cast("double"), F.col("open_t").cast("double")
     return s.select("symbol", "date", o.alias("open"), F.greatest(o, c).alias("high"), F.least(o, c).alias("low"), c.alias("close"), (c * F.col("factor")).alias("adj_close"), F.col("n").cast("double").alias("volume"), F.lit("orders").alias("source"))
