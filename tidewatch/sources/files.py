@@ -11,6 +11,7 @@ takes the name in one rename.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,10 @@ OVERRIDE_SCHEMA = "episode_id string, action string, fields map<string,string>,
 LEDGER_SCHEMA = "run_id string, provider string, model string, prompt_version string, episodes_attempted long, episodes_written long, failures long, input_tokens long, output_tokens long, web_search_requests long, cost_usd double, mode string"
 
 
+#: Times 50 ms that are left to a writer between its steps, before a reader finishes them.
+GRACE = 10
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -43,6 +48,10 @@ def adopt(spark: SparkSession, path: str) -> None:
     """Finish a replacement of path that was broken off."""
     fs, there = _fs(spark, path)
     left = [s.getPath() for s in fs.globStatus(_fs(spark, f"{path}.old-*")[1]) or []]
+    for _ in range(GRACE if left and not fs.exists(there) else 0):  # a writer at work is done in a moment
+        time.sleep(0.05)
+        if fs.exists(there):
+            break
     for old in left:
         _, new = _fs(spark, f"{path}.new-{old.getName().rsplit('.old-', 1)[1]}")
         if fs.exists(there):
@@ -72,7 +81,12 @@ def swap(spark: SparkSession, staged: str, path: str) -> None:
             raise OSError(f"can't write {path}")
         return
     for a, b in ((new, ready), (there, old), (ready, there)):
-        if not fs.rename(a, b):
+        try:
+            moved = fs.rename(a, b)
+        except Exception:
+            moved = False
+        # a reader that came between the last two steps has finished the replacement
+        if not moved and not (a is ready and fs.exists(there) and not fs.exists(ready)):
             adopt(spark, path)
             raise OSError(f"can't move {a} to {b}")
     fs.delete(old, True)
