@@ -25,7 +25,9 @@ def intervals(target_frame: DataFrame) -> DataFrame:
 
 def decided(averaged: DataFrame, rules: list[Strategy]) -> DataFrame:
     """symbol, date, open, now: the targets of all rules at a bar, as an array in their order."""
-    return averaged.select("symbol", "date", "open", F.array(*[r.target() for r in rules]).alias("now"))
+    told = [getattr(r, "text", None) for r in rules]
+    now = F.expr(f"array({', '.join(told)})") if all(told) else F.array(*[r.target() for r in rules])
+    return averaged.select("symbol", "date", "open", now.alias("now"))
 
 
 def shared_intervals(bars: DataFrame, start=None, segment: Column | None = None) -> DataFrame:

@@ -61,7 +61,8 @@ def run_grid(bars: DataFrame, rules: list[Strategy], cost_bps: float = 0.0, star
         out = metrics.summarise_folded(backtest.folded(returns), [r.name for r in rules])
     else:
         out = metrics.summarise(_compounded(bars, rules, cost_bps, start, end))
-    return out.orderBy(F.desc("excess_total_return"), "rule")
+    # a sort by ranges samples its input first: what was folded is dealt out before, or it would be folded twice
+    return out.repartition("symbol").orderBy(F.desc("excess_total_return"), "rule")
 
 
 def _bars(bars: DataFrame, rules: list[Strategy], end=None) -> DataFrame:
@@ -91,7 +92,7 @@ def heatmap(bars: DataFrame, rules: list[MACrossover] | None = None, cost_bps: f
     if not all(map(steady, rules)):
         raise ValueError("the rules' targets have to stay known once they are")
     last = backtest.last_equities(backtest.array_returns(backtest.shared_intervals(_bars(bars, rules, end), start), cost_bps))
-    pairs = F.array(*[F.struct(F.lit(r.short.period).alias("short"), F.lit(r.long.period).alias("long")) for r in rules])
+    pairs = F.expr(f"array({', '.join(f'named_struct({chr(39)}short{chr(39)}, {r.short.period}, {chr(39)}long{chr(39)}, {r.long.period})' for r in rules)})")
     out = last.select("symbol", F.element_at("last", -1).alias("held"), F.posexplode(F.slice("last", 1, len(rules))).alias("k", "e"))
     return out.select("symbol", F.get(pairs, F.col("k")).alias("at"), (F.col("e") - F.col("held")).alias("excess")).select("symbol", "at.short", "at.long", "excess")
 

@@ -42,72 +42,56 @@ def sma(n: int, column: str = "close") -> Column:
     return F.when(F.count(column).over(frame) == n, F.avg(column).over(frame))
 
 
-def add_averages(bars: DataFrame, specs: list[MASpec], column: str = "close") -> DataFrame:
-    """A column for each spec.  Simple ones come from one running sum, exponential ones from blocks of the recursion.
-
-    The running sum is a decimal of 20 places of the values over a power of two near their symbol's largest, so the
-    difference of two of its values is the window's sum without the error that doubles would gather, however long the
-    series and whatever the size of its prices; each further period costs a lag and no frame of its own.
-    """
-    specs = sorted(set(specs))
-    out = bars
-    emas = [s for s in specs if s.kind == "ema"]
-    if emas:
-        out = _with_emas(out, emas, column)
-    smas = [s for s in specs if s.kind == "sma"]
-    if not smas:
-        return out
-    so_far, w = by_date().rowsBetween(Window.unboundedPreceding, 0), by_date()
-    largest = F.max(F.abs(F.col(column).cast("double"))).over(by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = out.withColumn("_unit", F.when(largest > 0, F.pow(F.lit(2.0), F.floor(F.log2(F.when(largest > 0, largest))))).otherwise(1.0))
-    exact = (F.col(column) / F.col("_unit")).try_cast("decimal(28,20)")
-    sums = out.withColumns({"_sum": F.coalesce(F.sum(exact).over(so_far), F.lit(0)).cast("decimal(37,20)"), "_n": F.count(exact).over(so_far)})
-    over = "OVER (PARTITION BY symbol ORDER BY date)"
-
-    def mean(n):
-        before = f"coalesce(lag(_sum, {n}) {over}, CAST(0 AS DECIMAL(37,20)))"
-        return F.expr(f"CASE WHEN _n - lag(_n, {n}, 0L) {over} = {n} THEN CAST(_sum - {before} AS DOUBLE) * _unit / {n} END")
-
-    return sums.withColumns({s.label: mean(s.period) for s in smas}).drop("_sum", "_n", "_unit")
-
-
-#: A block's smallest weight is about exp(-this), at most; so it is a double, and nothing beside 1.
+#: A block's smallest weight is about exp(-this), at most, so it is a double.
 BLOCK_DECAY = 600.0
+#: What has decayed to exp(-this) is nothing beside what it is added to.
+FORGOTTEN = 40.0
 
 
 def ema_block(n: int) -> int:
-    """Bars of a block of the average of n, a power of two."""
+    """Bars of a block in which the weights of an average of n are doubles; a power of two."""
     return 1 << int(math.log2(BLOCK_DECAY / -math.log(1 - 2.0 / (n + 1))))
 
 
-def _with_emas(bars: DataFrame, specs: list[MASpec], column: str) -> DataFrame:
-    """The recursion ema = alpha x + beta ema, as blocked composition of affine maps.
+def add_averages(bars: DataFrame, specs: list[MASpec], column: str = "close") -> DataFrame:
+    """A column for each spec: windows by symbol only, whose expressions are text, as one call to the JVM holds them all.
+
+    Simple ones come from one running sum.  It is a decimal of 20 places of the values over a power of two near their symbol's
+    first, so the difference of two of its values is the window's sum without the error that doubles would gather,
+    however long the series and whatever the size of its prices; each further period costs a lag and no frame of its own.
 
-    Inside a block of known values the average from 0 on is a running sum of x / beta^k, times alpha beta^k.  What a
-    block hands on is its last such value: what went into it has decayed to nothing.  That, or before the first
-    block the first value of all, decays over the next one.  Windows by symbol only, no join and no Python.  A null
-    keeps the average that stands before it.
+    Exponential ones are the recursion ema = alpha x + beta ema as blocked composition of affine maps.  Inside a block
+    of known values the average from 0 on is a running sum of x / beta^k, times alpha beta^k.  A block as a whole maps
+    what goes in to beta^block times that, and its own last value; the last maps before a block are folded to what goes
+    into it, and the first value of all goes into the first.  A null keeps the average that stands before it.
     """
-    w = by_date()
-    so_far, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = F.col(column).cast("double")
-    d = bars.withColumns({"_c": F.count(x).over(so_far), "_first": F.first(x, ignorenulls=True).over(whole)})
-    real, helpers = [s for s in specs if s.period > 1], ["_c", "_first"]
-    k = {s: F.greatest(F.col("_c") - 1, F.lit(0)) % ema_block(s.period) for s in real}
-    for s in real:
-        beta, block = 1 - 2.0 / (s.period + 1), F.floor((F.col("_c") - 1) / ema_block(s.period))
-        d = d.withColumn("_b", block)
-        inside = Window.partitionBy("symbol", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        d = d.withColumn(f"_l{s.period}", F.lit(1 - beta) * F.pow(F.lit(beta), k[s]) * F.sum(x * F.pow(F.lit(beta), -k[s])).over(inside)).drop("_b")
-        helpers.append(f"_l{s.period}")
-    opens = {s: (k[s] == 0) & x.isNotNull() for s in real}
-    d = d.withColumns({f"_i{s.period}": F.when(opens[s], F.when(F.col("_c") == 1, F.col("_first")).otherwise(F.lag(f"_l{s.period}").over(w))) for s in real})
-    out = {s.label: F.last(x, ignorenulls=True).over(so_far) for s in specs if s.period == 1}
-    for s in real:
-        beta, brought = 1 - 2.0 / (s.period + 1), F.last(f"_i{s.period}", ignorenulls=True).over(so_far)
-        out[s.label] = F.when(F.col("_c") >= s.period, F.col(f"_l{s.period}") + F.pow(F.lit(beta), k[s] + 1) * brought)
-        helpers.append(f"_i{s.period}")
-    return d.withColumns(out).drop(*helpers)
+    specs = sorted(set(specs))
+    x, by = f"CAST(`{column}` AS DOUBLE)", "OVER (PARTITION BY symbol ORDER BY date)"
+    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    run = f"OVER (PARTITION BY symbol ORDER BY date {so_far}"
+    d = bars.selectExpr("*", f"count({x}) {run} AS _c", f"first({x}, true) {run} AS _first", f"coalesce(pow(2D, floor(log2(abs(first(nullif({x}, 0D), true) {run})))), 1D) AS _unit")
+    out = {s: f"last({x}, true) {run}" for s in specs if s.kind == "ema" and s.period == 1}
+    emas = [s.period for s in specs if s.kind == "ema" and s.period > 1]
+    if emas:
+        block, betas = min(map(ema_block, emas)), {n: 1 - 2.0 / (n + 1) for n in emas}
+        d = d.selectExpr("*", f"CAST(greatest(_c - 1, 0) % {block} AS INT) AS _k", f"CAST(greatest(_c - 1, 0) div {block} AS INT) AS _b")
+        inside = f"OVER (PARTITION BY symbol, _b ORDER BY date {so_far}"
+        d = d.selectExpr("*", *[f"{1 - b!r}D * pow({b!r}D, _k) * sum({x} * pow({b!r}D, -_k)) {inside} AS _l{n}" for n, b in betas.items()])
+        own = f"array({', '.join(f'_l{n}' for n in emas)})"
+        d = d.selectExpr("*", f"collect_list(CASE WHEN _k = {block - 1} AND {x} IS NOT NULL THEN {own} END) {run} AS _ends")
+        for i, (n, b) in enumerate(betas.items()):
+            many = math.ceil(FORGOTTEN / (block * -math.log(b)))
+            before = f"slice(_ends, greatest(_b - {many}, 0) + 1, least(_b, {many}))"
+            brought = f"aggregate({before}, _first, (acc, e) -> {b**block!r}D * acc + e[{i}])"
+            out[MASpec("ema", n)] = f"CASE WHEN _c >= {n} THEN _l{n} + pow({b!r}D, _k + 1) * {brought} END"
+    smas = [s.period for s in specs if s.kind == "sma"]
+    if smas:
+        d = d.selectExpr("*", f"CAST(coalesce(sum(try_cast({x} / _unit AS DECIMAL(28,20))) {run}, 0) AS DECIMAL(37,20)) AS _sum")
+        for n in smas:
+            before = f"coalesce(lag(_sum, {n}) {by}, CAST(0 AS DECIMAL(37,20)))"
+            out[MASpec("sma", n)] = f"CASE WHEN _c - lag(_c, {n}, 0L) {by} = {n} THEN CAST(_sum - {before} AS DOUBLE) * _unit / {n} END"
+    kept = [f"`{c}`" for c in bars.columns]
+    return d.selectExpr(*kept, *[f"{out[s]} AS {s.label}" for s in specs])
 
 
 def ema_fold(n: int, column: str = "close", reach: int = 20) -> Column:

@@ -49,7 +49,7 @@ def summarise(result: DataFrame, by: tuple[str, ...] = ("symbol", "rule")) -> Da
 def summarise_folded(folded: DataFrame, names: list[str]) -> DataFrame:
     """What summarise() gives by symbol and rule, from backtest.folded() over rules of these names."""
     d = folded.select("symbol", "opens", "closes", "n", F.element_at("all", -1).alias("b"), F.posexplode(F.slice("all", 1, len(names))).alias("k", "a"))
-    d = d.select("symbol", F.get(F.array(*map(F.lit, names)), F.col("k")).alias("rule"), "n", "a", "b", (F.datediff("closes", "opens") / F.lit(365.25)).alias("years"))
+    d = d.select("symbol", F.get(F.lit(names), F.col("k")).alias("rule"), "n", "a", "b", (F.datediff("closes", "opens") / F.lit(365.25)).alias("years"))
 
     def of(v: str, prefix: str) -> list[str]:
         cagr = f"CASE WHEN years > 0 AND {v}.e > 0 THEN pow({v}.e, 1 / CASE WHEN years > 0 THEN years END) - 1 END"

@@ -48,13 +48,17 @@ class MACrossover:
     def needs(self) -> list[MASpec]:
         return [self.short, self.long] + ([MASpec("sma", self.trend)] if self.trend else [])
 
-    def target(self) -> Column:
-        # as text, which costs one call to the JVM where a grid has hundreds of rules; the same as crossover() and both()
+    @property
+    def text(self) -> str:
+        """target() as text, so that hundreds of rules cost one call to the JVM; the same as crossover() and both()."""
         t = f"CAST({self.short.label} > {self.long.label} AS DOUBLE)"
         if self.trend is None:
-            return F.expr(t)
+            return t
         up = f"CAST(close > sma{self.trend} AS DOUBLE)"
-        return F.expr(f"CASE WHEN {t} IS NOT NULL AND {up} IS NOT NULL THEN least({t}, {up}) END")
+        return f"CASE WHEN {t} IS NOT NULL AND {up} IS NOT NULL THEN least({t}, {up}) END"
+
+    def target(self) -> Column:
+        return F.expr(self.text)
 
 
 @dataclass(frozen=True)
