@@ -22,6 +22,20 @@ def test_status_table(spark, status, n, conf, conflict, reviewed, want):
     assert got == want
 
 
+def test_dates_in_any_order(spark):
+    """Twenty-odd shapes of one date, and texts that tell none, or two."""
+    same = [
+        "March 16, 2020", "Mar 16 2020", "16 March 2020", "16th of March, 2020", "2020 March 16", "2020, 16th March", "March 2020, the 16th", "Mon, 16 Mar 2020 10:30:00 GMT", "16-Mar-2020", "Mar-16-2020", "2020-Mar-16",
+        "2020-03-16", "2020-03-16T10:00:00Z", "2020/3/16", "2020.03.16", "3/16/2020", "16/03/2020", "16.03.2020", "16-3-2020", "03-16-2020", "published on Monday the 16th, March 2020 at 9:45 pm", "MARCH 16TH 2020 (updated)", "Year 2020, month March, day 16", "at 7 pm on 16. march 2020",
+    ]
+    none = ["3 days ago", "yesterday", "March 16", "March 2020", "2020", "16 2020", "March 16 or 17 in 2020, who knows", "January or March in 2020, the 16th", "in 2019 and 2020, March, 16", "Foo 99, 2020", "February 30, 2020", "99/99/2020", "room 1234, March 5", ""]
+    d = spark.createDataFrame([(k, x) for k, x in enumerate(same + none)], "k int, age string").select("k", "age", text.page_date(F.col("age")).alias("at"))
+    got = {r.k: (r.age, None if r["at"] is None else str(r["at"])) for r in d.collect()}
+    assert [got[k] for k in range(len(same)) if got[k][1] != "2020-03-16"] == []
+    assert [got[k] for k in range(len(same), len(got)) if got[k][1] is not None] == []
+    assert str(spark.range(1).select(text.page_date(F.lit("03/04/2020"))).first()[0]) == "2020-03-04"
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert str(one(text.page_date(F.lit("Updated April 3, 2025 by x")))) == "2025-04-03" and one(text.page_date(F.lit("3 days ago"))) is None

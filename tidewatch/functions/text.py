@@ -58,16 +58,48 @@ def publisher(url: Column) -> Column:
 _DATE_LIKE = r"(\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|[A-Za-z]{3,9}\.? \d{1,2}(?:st|nd|rd|th)?,? \d{4}|\d{1,2}(?:st|nd|rd|th)? [A-Za-z]{3,9}\.?,? \d{4})"
 
 
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_MONTH_WORD = r"\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b"
+_YEAR_WORD = r"(?<![\d:./])((?:19|20)\d{2})(?![\d:/]|\.\d)"
+#: A number that may be a day: no part of a time, a year or a larger number.
+_DAY_WORD = r"(?<![\d:./])(\d{1,2})(?:st|nd|rd|th)?(?![\d:/]|\.\d|[a-z]| ?[ap]\.?m\b)"
+
+
+def _only(found: Column) -> Column:
+    """The one value of an array of equal ones, else null."""
+    return F.when(F.size(F.array_distinct(found)) == 1, F.get(found, F.lit(0)))
+
+
+def _date_of_words(age: Column) -> Column:
+    """A month's name, a year and a day in any order, with whatever between them; null if one of these is told in two ways."""
+    low = F.lower(age)
+    words = lambda pattern: F.regexp_extract_all(low, F.lit(pattern), F.lit(1))
+    month = _only(F.transform(words(_MONTH_WORD), lambda m: F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(m, 1, 3))))
+    day = _only(F.filter(F.transform(words(_DAY_WORD), lambda d: d.cast("int")), lambda d: d.between(1, 31)))
+    return F.try_to_date(F.concat(_only(words(_YEAR_WORD)), F.lit("-"), month.cast("string"), F.lit("-"), day.cast("string")), "yyyy-M-d")
+
+
+def _date_of_numbers(age: Column) -> Column:
+    """Day, month and year, or year, month and day, with dots, slashes or dashes; the month stands first unless it is none."""
+    last, first = r"(?<![\d./-])(\d{1,2})[./-](\d{1,2})[./-]((?:19|20)\d{2})(?!\d)", r"(?<![\d./-])((?:19|20)\d{2})[./-](\d{1,2})[./-](\d{1,2})(?!\d)"
+    a, b, y = (F.regexp_extract(age, last, k) for k in (1, 2, 3))
+    day_first = F.try_to_number(a, F.lit("99")) > 12
+    early = F.when(a != "", F.try_to_date(F.when(day_first, F.concat_ws("-", y, b, a)).otherwise(F.concat_ws("-", y, a, b)), "yyyy-M-d"))
+    return F.coalesce(early, F.try_to_date(F.concat_ws("-", *[F.regexp_extract(age, first, k) for k in (1, 2, 3)]), "yyyy-M-d"))
+
+
 def page_date(age: Column) -> Column:
     """The date in free text such as "April 30, 2025"; null without a year from 1900 to 2099 or a date that can be read.
 
-    A date inside prose is found by its shape.  Relative ages ("3 days ago") have no year and give null.
+    A date inside prose is found by its shape, or else by its words or numbers in any order.  Relative ages ("3 days ago")
+    have no year and give null, and so does a text whose words tell two dates.
     """
     found = F.regexp_extract(age, _DATE_LIKE, 1)
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(found, r"(?<=\d)(st|nd|rd|th)\b", ""), r"\.", ""), r"^([A-Za-z]+ \d{1,2}) (\d{4})$", "$1, $2")
     clean = F.initcap(F.regexp_replace(clean, r"^(\d{1,2} [A-Za-z]+), (\d{4})$", "$1 $2"))
     reads = [F.try_to_date(clean, f) for f in ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy-M-d", "yyyy/M/d", "M/d/yyyy")]
-    return F.when(age.rlike(r"\b(19|20)\d{2}\b") & (found != ""), F.coalesce(*reads))
+    by_shape = F.when(found != "", F.coalesce(*reads))
+    return F.when(age.rlike(r"\b(19|20)\d{2}\b"), F.coalesce(by_shape, _date_of_numbers(age), _date_of_words(age)))
 
 
 def safe_url(url: Column) -> Column:
