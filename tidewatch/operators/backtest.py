@@ -67,26 +67,26 @@ def fanned(shared: DataFrame, rules: list[Strategy], cost_bps: float = 0.0) -> D
 BLOCK = 64
 #: What a fold keeps of a rule: equity, its highest and lowest (1 at the start included), the deepest drawdown, sums of returns, their
 #: squares and the squares of losses, time in the market, fills.
-_STEP = """named_struct('e', a.e * (1 + x.ret), 'hi', greatest(a.hi, a.e * (1 + x.ret)), 'lo', least(a.lo, a.e * (1 + x.ret)),
- 'dd', least(a.dd, a.e * (1 + x.ret) / greatest(a.hi, a.e * (1 + x.ret)) - 1), 's', a.s + x.ret, 'q', a.q + x.ret * x.ret, 'w', a.w + pow(least(x.ret, 0D), 2), 'x', a.x + x.was, 'f', a.f + if(x.turn <> 0, 1L, 0L))"""
+_STEP = """named_struct('e', a.e * x.g, 'hi', greatest(a.hi, a.e * x.g), 'lo', least(a.lo, a.e * x.g), 'dd', least(a.dd, a.e * x.g / greatest(a.hi, a.e * x.g) - 1),
+ 's', a.s + x.ret, 'q', a.q + x.ret * x.ret, 'w', a.w + least(x.ret, 0D) * least(x.ret, 0D), 'x', a.x + x.was, 'f', a.f + if(x.turned, 1L, 0L))"""
 _JOIN = """named_struct('e', a.e * b.e, 'hi', greatest(a.hi, a.e * b.hi), 'lo', least(a.lo, a.e * b.lo), 'dd', least(a.dd, b.dd, a.e * b.lo / a.hi - 1),
  's', a.s + b.s, 'q', a.q + b.q, 'w', a.w + b.w, 'x', a.x + b.x, 'f', a.f + b.f)"""
 _NONE = "named_struct('e', 1D, 'hi', 1D, 'lo', 1D, 'dd', 0D, 's', 0D, 'q', 0D, 'w', 0D, 'x', 0D, 'f', 0L)"
 
 
 def array_returns(shared: DataFrame, cost_bps: float = 0.0) -> DataFrame:
-    """shared_intervals() with was, turn and ret, arrays of all rules and, as the last, of buy and hold; and block, the number of its BLOCK of bars."""
+    """shared_intervals() with each, an array of all rules' return (and 1 more, g), exposure and whether it changed, of which the last is buy and hold's; and block, the number of its BLOCK of bars."""
     held = shared.withColumn("block", F.floor((F.row_number().over(by_date()) - 1) / BLOCK))
-    none = "transform(was, x -> 0D)"
-    d = held.selectExpr("symbol", "block", "date", "ends", "r", "concat(was, array(1D)) was", f"concat(coalesce(before, {none}), array(if(before IS NULL, 0D, 1D))) before")
-    d = d.selectExpr("*", "zip_with(was, before, (a, b) -> a - b) turn")
-    return d.selectExpr("symbol", "block", "date", "ends", "was", "turn", f"zip_with(was, turn, (a, t) -> a * r - abs(t) * {float(cost_bps / 1e4)!r}D) ret")
+    before = "concat(coalesce(before, transform(was, x -> 0D)), array(if(before IS NULL, 0D, 1D)))"
+    d = held.selectExpr("symbol", "block", "date", "ends", "r", "concat(was, array(1D)) was", f"{before} before")
+    ret = f"a * r - abs(a - b) * {float(cost_bps / 1e4)!r}D"
+    return d.selectExpr("symbol", "block", "date", "ends", f"zip_with(was, before, (a, b) -> named_struct('ret', {ret}, 'g', 1 + ({ret}), 'was', a, 'turned', a <> b)) each")
 
 
 def last_equities(returns: DataFrame) -> DataFrame:
     """array_returns() -> symbol, last: the product of each rule's returns; buy and hold is the last."""
     product = "aggregate({0}, transform({0}[0], x -> 1D), (acc, y) -> zip_with(acc, y, (a, b) -> a * {1}))"
-    blocks = returns.groupBy("symbol", "block").agg(F.collect_list("ret").alias("rows")).selectExpr("symbol", product.format("rows", "(1 + b)") + " AS e")
+    blocks = returns.groupBy("symbol", "block").agg(F.collect_list("each").alias("rows")).selectExpr("symbol", product.format("rows", "b.g") + " AS e")
     return blocks.groupBy("symbol").agg(F.collect_list("e").alias("blocks")).selectExpr("symbol", product.format("blocks", "b") + " AS last")
 
 
@@ -96,11 +96,11 @@ def folded(returns: DataFrame) -> DataFrame:
     A block of bars is folded to a summary of each rule, and a symbol's summaries in the order of time to one: a drawdown
     from a top in one block to a low in a later one is told by the top so far and the lowest of the later one.
     """
-    rows = F.array_sort(F.collect_list(F.struct("date", "ret", "was", "turn"))).alias("rows")
-    b = returns.groupBy("symbol", "block").agg(rows, F.min("date").alias("opens"), F.max("ends").alias("closes"), F.count("*").alias("n"))
-    b = b.selectExpr("symbol", "block", "opens", "closes", "n", f"aggregate(rows, transform(rows[0].ret, x -> {_NONE}), (acc, y) -> zip_with(acc, arrays_zip(y.ret AS ret, y.was AS was, y.turn AS turn), (a, x) -> {_STEP})) AS kept".replace("y.ret AS ret, y.was AS was, y.turn AS turn", "y.ret, y.was, y.turn"))
+    fold = "aggregate({0}, transform({0}[0].{1}, x -> {2}), (acc, y) -> zip_with(acc, y.{1}, (a, {3}) -> {4}))"
+    b = returns.groupBy("symbol", "block").agg(F.array_sort(F.collect_list(F.struct("date", "each"))).alias("rows"), F.min("date").alias("opens"), F.max("ends").alias("closes"), F.count("*").alias("n"))
+    b = b.selectExpr("symbol", "block", "opens", "closes", "n", fold.format("rows", "each", _NONE, "x", _STEP) + " AS kept")
     s = b.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("block", "kept"))).alias("blocks"), F.min("opens").alias("opens"), F.max("closes").alias("closes"), F.sum("n").alias("n"))
-    return s.selectExpr("symbol", "opens", "closes", "n", f"aggregate(blocks, transform(blocks[0].kept, x -> {_NONE}), (acc, y) -> zip_with(acc, y.kept, (a, b) -> {_JOIN})) AS all")
+    return s.selectExpr("symbol", "opens", "closes", "n", fold.format("blocks", "kept", _NONE, "b", _JOIN) + " AS all")
 
 
 def with_equity(returns: DataFrame, by: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
