@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from glob import glob
 from itertools import groupby
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,6 +20,7 @@ from tidewatch.llm import importance_resampling as resampling
 from tidewatch.llm import token_alignment as alignment
 from tidewatch.llm.forced_bpe import byte_alphabet
 from tidewatch.llm.queries import tokenizer_path
+from tidewatch.llm.shared import shared_dir
 
 A, B, W = tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), tokenizer_path("word_bpe_49k.json")
 ODD = ["", None, "▁ no", "a  b\n\n c\t", "<|endoftext|> </s><s> <0x41>", "naïve Straße — 中文 😀 é", "\x00\x1c x", "word", "ﬁ ½ İ Σς", " lead", "trail "]
@@ -175,6 +178,11 @@ def test_sample_equals_a_plain_version(spark, how):
     assert sum(w[4] > 0 for w in want) > 10
 
 
+def stored_files(spark):
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}".removeprefix("file:")
+    return set(glob(f"{root}/csr-*/*.parquet"))
+
+
 def test_matrix_is_rows_of_counts(spark):
     blocks = resampling.matrix(spark.createDataFrame([(1, "a b a"), (2, None), (3, "ü A1")], "doc_id long, text string").coalesce(1), 50).collect()
     (b,) = blocks
@@ -184,6 +192,17 @@ def test_matrix_is_rows_of_counts(spark):
     assert b.n_features == [3, 0, 2] == b.n_words
 
 
+def test_stored_matrix_is_read_a_few_blocks_at_once(spark):
+    """Many blocks of one task: the reader's memory must not grow with them."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'some word' AS text").coalesce(1)
+    before = stored_files(spark)
+    got = resampling.resample(docs, docs.limit(5), least_words=1).collect()
+    assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 2001)) and {(r.n_features, r.weight) for r in got} == {(2, got[0].weight)}
+    (stored,) = map(pq.read_metadata, stored_files(spark) - before)
+    groups = [stored.row_group(k).num_rows for k in range(stored.num_row_groups)]
+    assert sum(groups) == 20 and max(groups) <= 16
+
+
 def test_sample_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "word " * 30), (2, None)], "doc_id long, text string")

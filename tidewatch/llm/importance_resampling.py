@@ -32,6 +32,8 @@ from .shared import named, small_batches, written
 
 #: A block ends when it has so many documents or entries.
 BLOCK_DOCS, BLOCK_ENTRIES = 1024, 1 << 16
+#: Blocks in a row group of the stored matrix, which a reader holds decoded at once: 8 MB or so.
+GROUP_BLOCKS = 16
 #: Words whose bucket a worker remembers; when full it starts anew.
 CACHE_ENTRIES = 200_000
 
@@ -180,7 +182,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least_words:
 
     Drawn are percent of the documents with least_words words or more.  target needs a column text.
     """
-    blocks = written(matrix(docs, n_buckets, max_n), "csr")
+    blocks = written(matrix(docs, n_buckets, max_n), "csr", GROUP_BLOCKS)
     wanted = matrix(target, n_buckets, max_n, None)
     gain = gains(column_sums(blocks, n_buckets), column_sums(wanted, n_buckets))
     rows = written(weighed(blocks, gain, seed), "weights")
